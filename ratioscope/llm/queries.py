@@ -49,7 +49,8 @@ WITH p AS (
   SELECT page_id, translate(regexp_extract(rest, '^[^/]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          CASE WHEN strpos(rest, '/') > 0 THEN substr(rest, strpos(rest, '/')) ELSE '' END AS path FROM p
 ), g AS (
-  SELECT *, list_filter(['casino', 'free-bets', 'cheap-pills', 'adult-', 'spam-farm'], x -> contains(host, x))[1] AS sign FROM q
+  SELECT *, CASE WHEN contains(host, 'casino') THEN 'casino' WHEN contains(host, 'free-bets') THEN 'free-bets' WHEN contains(host, 'cheap-pills') THEN 'cheap-pills'
+         WHEN contains(host, 'adult-') THEN 'adult-' WHEN contains(host, 'spam-farm') THEN 'spam-farm' END AS sign FROM q
 ), r AS (
   SELECT *, CASE WHEN ('.' || host) LIKE '%.example.net' AND starts_with(path, '/en/') THEN 'example.net/en/'
                  WHEN ('.' || host) LIKE '%.example.com' AND starts_with(path, '/de/') THEN 'example.com/de/'
