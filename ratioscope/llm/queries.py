@@ -96,6 +96,31 @@ FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT node, min(root) AS root
 """
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import remove_repeats
+
+    out = remove_repeats(table(spark, sf_dir, "documents"), window=13)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP8_SQL = """
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents
+), win AS (
+  SELECT doc_id, unnest(generate_series(1, len(words) - 12)) AS i, words FROM w WHERE len(words) >= 13
+), seq AS (SELECT doc_id, i, md5(array_to_string(words[i:i + 12], ' ')) AS k FROM win),
+least AS (SELECT k, min(doc_id) AS d FROM seq GROUP BY k),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(generate_series(i, i + 12)) AS j FROM seq JOIN least USING (k) WHERE least.d < seq.doc_id
+), each AS (SELECT doc_id, unnest(words) AS word, unnest(generate_series(1, len(words))) AS j FROM w),
+kept AS (
+  SELECT e.doc_id, string_agg(word, ' ' ORDER BY e.j) AS t, count(*) AS n FROM each e LEFT JOIN gone g ON g.doc_id = e.doc_id AND g.j = e.j WHERE g.j IS NULL GROUP BY e.doc_id
+)
+SELECT w.doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(kept.n, 0))::BIGINT AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import apply_quality, fit_quality
 
@@ -108,6 +133,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filter": op2_url_filter,
     "op4_packing": op4_packing,
     "op6_ngram_jaccard": op6_ngram_jaccard,
+    "op8_substring_dedup": op8_substring_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
-ORACLES: dict[str, str] = {"op2_url_filter": OP2_SQL, "op6_ngram_jaccard": OP6_SQL}
+ORACLES: dict[str, str] = {"op2_url_filter": OP2_SQL, "op6_ngram_jaccard": OP6_SQL, "op8_substring_dedup": OP8_SQL}
