@@ -31,22 +31,45 @@ ODD_ASCII = ODD_SPACE[:8]
 
 
 class WordCachedEncoder:
-    """Ids of a byte-level BPE tokenizer, as little-endian uint32 bytes.
+    """Ids of a byte-level BPE tokenizer of the ``tokenizers`` library, as little-endian uint32 bytes.
 
     Such a tokenizer never merges over the start of a blank-led word, so a text of words parted by single blanks or
-    newlines is the concatenation of its words' ids; words are encoded once, in batches, by the ``tokenizers`` library.
-    Any other text is encoded whole.
+    newlines is the concatenation of its words' ids; a word is encoded once per worker.  Any other text is encoded whole.
+    Unseen words of Latin script are merged, many in one call, by tiktoken's core over the JSON file's own vocabulary;
+    the first ``probe`` words of each worker are encoded by both libraries, and if any differs tiktoken is not used.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    LATIN = "\u024f"
+
+    def __init__(self, path: str, limit: int = 500_000, probe: int = 5_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
-        self.limit = limit
+        self.limit, self.probe = limit, probe
         self.cache: dict[str, bytes] = {}
-        self.newline = self.tok.encode("\n", add_special_tokens=False).ids
+        self.newline = np.asarray(self.tok.encode("\n", add_special_tokens=False).ids, "<u4")
         assert len(self.newline) == 1
+        self.core = self._core(path)
+
+    @staticmethod
+    def _core(path: str):
+        import json
+
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        if spec["model"]["type"] != "BPE" or (spec["pre_tokenizer"] or {}).get("type") != "ByteLevel":
+            return None
+        # the byte-level alphabet: printable bytes are themselves, the others follow from U+0100
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in set(shown)]
+        byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
+        added = {t["content"] for t in spec["added_tokens"]}
+        ranks = {bytes(byte[c] for c in k): i for k, i in spec["model"]["vocab"].items() if k not in added}
+        pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+        return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -62,37 +85,49 @@ class WordCachedEncoder:
         out[0] = "\r" + out[0]  # marks the word without a blank before it
         return out
 
-    def learn(self, new: set[str]) -> None:
-        """Encode unseen units in one call, parted by newlines, which no unit ends with."""
-        if len(self.cache) + len(new) > self.limit:
-            self.cache.clear()
-        todo = list(new)
-        plain = [u[1:] if u[0] in "\r\n" else " " + u for u in todo]
-        ids = np.asarray(self.tok.encode("\n".join(plain), add_special_tokens=False).ids, "<u4")
+    def _joined(self, plain: list[str], encode) -> list[bytes] | None:
+        """Ids of words, parted by newlines in one call; none of them holds a newline."""
+        ids = np.asarray(encode("\n".join(plain)), "<u4")
         cut = np.flatnonzero(ids == self.newline[0])
-        if len(cut) != len(todo) - 1:
-            for u, p in zip(todo, plain):
-                self.cache[u] = self.whole("\n" + p if u[0] == "\n" else p)
-            return
-        raw, lead, a = ids.tobytes(), np.asarray(self.newline, "<u4").tobytes(), 0
-        for u, b in zip(todo, [*cut.tolist(), len(ids)]):
-            self.cache[u] = (lead if u[0] == "\n" else b"") + raw[4 * a : 4 * b]
-            a = b + 1
+        if len(cut) != len(plain) - 1:
+            return None
+        raw = ids.tobytes()
+        return [raw[4 * a : 4 * b] for a, b in zip([0, *(cut + 1).tolist()], [*cut.tolist(), len(ids)])]
+
+    def learn(self, todo: list[str]) -> None:
+        if len(self.cache) + len(todo) > self.limit:
+            self.cache.clear()
+        by_tok = lambda t: self.tok.encode(t, add_special_tokens=False).ids
+        latin = [u for u in todo if max(u) <= self.LATIN] if self.core else []
+        for units, encode in ((latin, self.core and self.core.encode_ordinary), ([u for u in todo if max(u) > self.LATIN] if self.core else todo, by_tok)):
+            if not units:
+                continue
+            plain = [u[1:] if u[0] in "\r\n" else " " + u for u in units]
+            got = self._joined(plain, encode)
+            if encode is not by_tok and self.probe > 0:
+                n = min(self.probe, len(plain))
+                self.probe -= n
+                if got is None or got[:n] != [self.whole(p) for p in plain[:n]]:
+                    self.core = None
+                    return self.learn(todo)
+            if got is None:
+                got = [self.whole(p) for p in plain]
+            lead = self.newline.tobytes()
+            self.cache.update((u, lead + x if u[0] == "\n" else x) for u, x in zip(units, got))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [self.units(t) for t in texts]
-        known: set[str] = set()
-        for s in split:
-            if s:
-                known.update(s)
-        new = known.difference(self.cache)
-        if new:
-            if len(self.cache) + len(new) > self.limit:
-                self.cache.clear()
-                new = known
-            self.learn(new)
-        get = self.cache.__getitem__
-        return [b"".join(map(get, s)) if s else self.whole(t) if t else b"" for s, t in zip(split, texts)]
+        get = self.cache.get
+        found = [s and list(map(get, s)) for s in split]
+        miss = {s[i] for s, f in zip(split, found) if s and None in f for i, v in enumerate(f) if v is None}
+        if miss:
+            self.learn(list(miss))
+            for s, f in zip(split, found):
+                if s and None in f:
+                    for i, v in enumerate(f):
+                        if v is None:
+                            f[i] = self.cache[s[i]]
+        return [b"".join(f) if f else self.whole(t) if t else b"" for f, t in zip(found, texts)]
 
 
 def pack_lengths(lengths: list[int], max_tokens: int, linear: float = 1.0, quadratic: float = 1.0 / 2048) -> list[list[tuple[int, int, int]]]:
