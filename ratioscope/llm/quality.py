@@ -132,8 +132,9 @@ def train(idx: list[np.ndarray], val: list[np.ndarray], label: np.ndarray, *, l2
     held = np.arange(len(label)) % 5 == 4
     if len(set(label[held].tolist())) < 2 or len(set(label[~held].tolist())) < 2:
         held[:] = False
-    row = np.repeat(np.arange(len(idx)), [len(i) for i in idx])
+    row = np.repeat(np.arange(len(idx), dtype=np.int32), [len(i) for i in idx])
     col, v = np.concatenate(idx), np.concatenate(val)
+    idx = val = None
     y = label.astype(float)
     fit = ~held
     share = np.where(y > 0, 0.5 / max(y[fit].sum(), 1), 0.5 / max((1 - y[fit]).sum(), 1)) * fit
@@ -165,7 +166,7 @@ def train(idx: list[np.ndarray], val: list[np.ndarray], label: np.ndarray, *, l2
     return model
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, *, max_rows: int = 4_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> QualityModel:
+def fit_quality(docs: DataFrame, labels: DataFrame, *, max_rows: int = 1_500, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> QualityModel:
     """Fit on at most ``max_rows`` labelled rows, half of either class if both have as many.
 
     Null ids, labels and texts are left out; an id with both labels counts as low quality.  The broadcast side is bounded by ``max_rows``.
@@ -187,7 +188,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, max_rows: int = 4_000, id
     got = rows.select("doc_id", "text", "y").mapInArrow(go, "doc_id long, y int, i array<int>, v array<float>").toArrow()
     got = got.take(np.argsort(mix(got["doc_id"].to_numpy().astype(U64)), kind="stable"))
     idx, val = ([np.asarray(x.values) for x in got[c]] for c in "iv")
-    return train(idx, [v.astype(float) for v in val], got["y"].to_numpy())
+    return train(idx, val, got["y"].to_numpy())
 
 
 def measure(texts: list, model: QualityModel | None, *, window: int = 8, min_words: int = 20, max_repeat_percent: int = 30, threshold: float = 0.5) -> dict[str, np.ndarray]:
