@@ -121,6 +121,13 @@ FROM w LEFT JOIN kept USING (doc_id)
 """
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import dedup_lines
+
+    out = dedup_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import apply_quality, fit_quality
 
@@ -134,6 +141,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packing": op4_packing,
     "op6_ngram_jaccard": op6_ngram_jaccard,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_line_dedup": op9_line_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLES: dict[str, str] = {"op2_url_filter": OP2_SQL, "op6_ngram_jaccard": OP6_SQL, "op8_substring_dedup": OP8_SQL}

@@ -32,6 +32,7 @@ class Scratch:
         self.count += 1
         path = f"{self.root}/{self.count:03d}-{name}"
         df.write.mode("overwrite").parquet(path)
+        self.spark._jvm.System.gc()  # lets the driver's cleaner remove the shuffle files of finished plans
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
