@@ -64,6 +64,12 @@ FROM r
 """
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import shard_documents
+
+    return shard_documents(table(spark, sf_dir, "documents"), shards=40)
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
@@ -138,6 +144,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nearest_neighbours": op1_nearest_neighbours,
     "op2_url_filter": op2_url_filter,
+    "op3_sharding": op3_sharding,
     "op4_packing": op4_packing,
     "op6_ngram_jaccard": op6_ngram_jaccard,
     "op8_substring_dedup": op8_substring_dedup,
