@@ -76,6 +76,13 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(spark, "byte_bpe_50k.json"))
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spm import encode_documents
+
+    out = encode_documents(table(spark, sf_dir, "documents"), tokenizer_path(spark, "piece_bpe_32k.model"), with_ids=False)
+    return out.select("doc_id", "n_tokens", "n_unknown", "n_fallback", "ids_crc32", "round_trip", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_join import jaccard_components
 
@@ -146,6 +153,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filter": op2_url_filter,
     "op3_sharding": op3_sharding,
     "op4_packing": op4_packing,
+    "op5_sentencepiece": op5_sentencepiece,
     "op6_ngram_jaccard": op6_ngram_jaccard,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_line_dedup": op9_line_dedup,
