@@ -167,17 +167,18 @@ def jaccard_components(docs: DataFrame, *, n: int = 3, percent: int = 90, extra:
     lists = scratch.write(entries.join(met, "token", "left_semi").withColumn("block", block), "lists")
 
     by_key = classes.select(F.col("k1").alias("cls"), "n", "sketch")
-    members = lists.select("cls").distinct()
-    reps = classes.join(members.withColumnRenamed("cls", "k1"), "k1", "left_semi").select(F.col("rep").alias("doc_id"))
-    sets = scratch.write(rows.join(reps.distinct(), "doc_id", "left_semi").select("text").mapInArrow(lambda it: _set_pass(it, n), "k1 long, k2 long, items array<long>"), "sets")
-
     def verified(pairs: DataFrame) -> DataFrame:
         """Links, by the classes' smallest documents, among pairs (a, b) of keys."""
         a, b = (by_key.select(F.col("cls").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "ab")
         apart = sum((F.bit_count(F.col("sa")[i].bitwiseXOR(F.col("sb")[i])) for i in range(SKETCH)), F.lit(0))
         # |A & B| >= need; |A ^ B| <= na + nb - 2 need
         need = F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / F.lit(100 + percent))
-        near = pairs.join(a, "a").join(b, "b").where(apart <= F.col("na") + F.col("nb") - 2 * need).select("a", "b")
+        near = scratch.write(pairs.join(a, "a").join(b, "b").where(apart <= F.col("na") + F.col("nb") - 2 * need).select("a", "b"), "near")
+        # only sets of pairs that are still possible travel
+        keys = near.select(F.col("a").alias("k1")).union(near.select(F.col("b").alias("k1"))).distinct()
+        reps = classes.join(keys, "k1", "left_semi").select(F.col("rep").alias("doc_id")).distinct()
+        found = rows.join(reps, "doc_id", "left_semi").select("text").mapInArrow(lambda it: _set_pass(it, n), "k1 long, k2 long, items array<long>")
+        sets = scratch.write(found, "sets")
         sa, sb = (sets.select(F.col("k1").alias(c), F.col("k2").alias(f"{c}2"), F.col("items").alias(f"i{c}")) for c in "ab")
         both = F.size(F.array_intersect("ia", "ib")).cast("long")
         sure = near.join(sa, "a").join(sb, "b").where(100 * both >= percent * (F.size("ia") + F.size("ib") - both)).select("a", "a2", "b", "b2")
