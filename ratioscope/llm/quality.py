@@ -235,3 +235,18 @@ def apply_quality(docs: DataFrame, model: QualityModel, *, id_col: str = "doc_id
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(s, e - s), *(pa.array(m[c]) for c in list(m))], names=["doc_id", *m])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(go, SCHEMA)
+
+
+def keep_quality(docs: DataFrame, model: QualityModel, *, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that the rules and the model keep, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            t = b.column(at).to_pylist()
+            for s, e in pieces(t):
+                kept = measure(t[s:e], shared.value, threshold=threshold)["kept"]
+                yield b.slice(s, e - s).filter(pa.array(kept))
+
+    return docs.mapInArrow(go, docs.schema)

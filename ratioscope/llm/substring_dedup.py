@@ -279,11 +279,13 @@ def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 gone.append(n[-1] - len(words))
                 kept.append(b" ".join(words).decode("utf-8", "surrogatepass"))
                 clean.append(kept[-1] if gone[-1] else texts[i])
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(s, e - s), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string()), pa.array(clean, pa.string())], names=["doc_id", "n_words", "n_removed", "kept", "text"])
+            rest = [c.slice(s, e - s) for c in b.columns[3:]]
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(s, e - s), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string()), pa.array(clean, pa.string()), *rest], names=["doc_id", "n_words", "n_removed", "kept", "text", "row"][: 5 + len(rest)])
 
 
-def remove_repeats(docs: DataFrame, *, window: int = 13, anchor: int = 4, bloom_bits: int = 1 << 27, hot_share: int = 500, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row an input row: doc_id, n_words, n_removed, kept (its kept words joined by blanks), text.
+def remove_repeats(docs: DataFrame, *, window: int = 13, anchor: int = 4, bloom_bits: int = 1 << 27, hot_share: int = 500, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """One row an input row: doc_id, n_words, n_removed, kept (its kept words joined by blanks), text; with ``carry`` also the
+    input row, but for its text, as the struct ``row``.
 
     A word goes if a window of ``window`` words covers it whose word sequence also starts in a document of smaller id;
     windows are judged on the input.  ``text`` is the input's text where nothing goes, else ``kept``.  Null and empty texts
@@ -291,7 +293,7 @@ def remove_repeats(docs: DataFrame, *, window: int = 13, anchor: int = 4, bloom_
     share an id do not cover each other.  Other columns are not read; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("rid", F.xxhash64("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.struct(*(c for c in docs.columns if c != text_col)).alias("row")).withColumn("rid", F.xxhash64("text"))
     scan = rows.where("doc_id is not null and text is not null").select("doc_id", "rid", "text")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     slices = max(64, parts)
@@ -308,5 +310,6 @@ def remove_repeats(docs: DataFrame, *, window: int = 13, anchor: int = 4, bloom_
     routed = scan.mapInArrow(lambda it: _route_pass(it, window, anchor, shards, known), "shard int, kind int, ids binary, rids binary, starts binary, sizes binary, words binary")
     spans = routed.groupBy("shard").applyInArrow(lambda t: _shard(t, window), "doc_id long, rid long, span long")
     spans = spans.groupBy("doc_id", "rid").agg(F.collect_list("span").alias("spans"))
-    joined = rows.join(spans, ["doc_id", "rid"], "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(_strip, "doc_id long, n_words long, n_removed long, kept string, text string")
+    joined = rows.join(spans, ["doc_id", "rid"], "left").select("doc_id", "text", "spans", *(["row"] if carry else []))
+    schema = "doc_id long, n_words long, n_removed long, kept string, text string"
+    return joined.mapInArrow(_strip, schema + f", row {rows.schema['row'].dataType.simpleString()}" * carry)
