@@ -1,8 +1,7 @@
 """Exact n-gram Jaccard join that skips by set relations.
 
 Sets are the distinct word n-grams of whole texts.  Equal sets are one *class*.  Every class puts its rarest n-grams (its
-prefix, by a hashed corpus-wide count, ties by hash) into inverted lists; two classes that link share at least ``extra``
-prefix n-grams.
+prefix, by a hashed corpus-wide count, ties by hash) into inverted lists; two classes that link share a list.
 
 * Index level: lists are cut into blocks by set size, of which only the same and the next one can match, and an entry
   carries its position in its set's order, which bounds the overlap still possible, so entries are skipped by position.
@@ -10,7 +9,8 @@ prefix n-grams.
   they link, it takes over its leader's answers (they are one component).  Then only pairs of *different* components of one
   list are still open, and in those the members of the list's main component are never paired among themselves.
 
-Whatever passes a parity sketch (a lower bound of the sets' difference) is verified on the full sets.  Nothing is capped:
+Pairs are let out of a list only if their sizes, positions and parity sketches (whose distance bounds the sets' difference from
+below) allow a link, and are then verified on the full sets.  Nothing is capped:
 each linked pair of classes is found or already joined through others.
 """
 
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
@@ -93,12 +93,12 @@ def _merge_counts(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.R
         yield pa.RecordBatch.from_arrays([pa.array([hit.astype("<u4").tobytes()], pa.binary()), pa.array([counts[hit].astype("<u4").tobytes()], pa.binary())], names=["cells", "counts"])
 
 
-def prefix_length(size: int, percent: int, extra: int) -> int:
-    """So many first n-grams of a set hold at least ``extra`` (or all) of those it shares with any set it links to."""
-    return min(size, size - -(-percent * size // 100) + extra)
+def prefix_length(size: int, percent: int) -> int:
+    """So many first n-grams of a set hold at least one of those it shares with any set it links to."""
+    return size - -(-percent * size // 100) + 1
 
 
-def _prefix_pass(batches: Iterator[pa.RecordBatch], n: int, bits: int, counts, percent: int, extra: int) -> Iterator[pa.RecordBatch]:
+def _prefix_pass(batches: Iterator[pa.RecordBatch], n: int, bits: int, counts, percent: int) -> Iterator[pa.RecordBatch]:
     """List entries of every class met in this task."""
     seen: set[int] = set()
     rank = counts.value
@@ -113,7 +113,7 @@ def _prefix_pass(batches: Iterator[pa.RecordBatch], n: int, bits: int, counts, p
                 if k in seen:
                     continue
                 seen.add(k)
-                p = prefix_length(len(x), percent, extra)
+                p = prefix_length(len(x), percent)
                 common = rank[(x >> U64(64 - bits)).astype(np.int64)]
                 # rarest first, ties by hash (x is sorted)
                 first = np.argsort(common, kind="stable")[:p]
@@ -134,7 +134,7 @@ def _set_pass(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBa
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["k1", "k2", "items"])
 
 
-def jaccard_components(docs: DataFrame, *, n: int = 3, percent: int = 90, extra: int = 3, count_bits: int = 20, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
+def jaccard_components(docs: DataFrame, *, n: int = 3, percent: int = 90, count_bits: int = 20, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """One row an input row: doc_id, n_shingles, component_id.
 
     Two documents link when ``100 * |A & B| >= percent * |A | B|``; component_id is the smallest doc_id reachable.  Null
@@ -160,20 +160,24 @@ def jaccard_components(docs: DataFrame, *, n: int = 3, percent: int = 90, extra:
 
     classes = scratch.write(info.where("doc_id is not null and n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("sketch").alias("sketch")), "classes")
 
-    entries = rows.where("doc_id is not null").select("text").mapInArrow(lambda it: _prefix_pass(it, n, count_bits, shared, percent, extra), "token long, cls long, size int, pos int")
+    entries = rows.where("doc_id is not null").select("text").mapInArrow(lambda it: _prefix_pass(it, n, count_bits, shared, percent), "token long, cls long, size int, pos int")
     met = entries.groupBy("token").agg(F.min("cls").alias("c0"), F.max("cls").alias("c1")).where("c0 != c1").select("token")
     # sets of one block differ in size by at most the factor at which they can still link
     block = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
     lists = scratch.write(entries.join(met, "token", "left_semi").withColumn("block", block), "lists")
 
     by_key = classes.select(F.col("k1").alias("cls"), "n", "sketch")
+    def apart(one: str, other: str) -> Column:
+        return sum((F.bit_count(F.col(one)[i].bitwiseXOR(F.col(other)[i])) for i in range(SKETCH)), F.lit(0))
+
+    def may_link(na: str, nb: str, sa: str, sb: str) -> Column:
+        """|A & B| >= need and |A ^ B| = na + nb - 2 |A & B|, which the sketches' distance can't exceed."""
+        need = F.ceil(F.lit(percent) * (F.col(na) + F.col(nb)) / F.lit(100 + percent))
+        return apart(sa, sb) <= F.col(na) + F.col(nb) - 2 * need
+
     def verified(pairs: DataFrame) -> DataFrame:
         """Links, by the classes' smallest documents, among pairs (a, b) of keys."""
-        a, b = (by_key.select(F.col("cls").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "ab")
-        apart = sum((F.bit_count(F.col("sa")[i].bitwiseXOR(F.col("sb")[i])) for i in range(SKETCH)), F.lit(0))
-        # |A & B| >= need; |A ^ B| <= na + nb - 2 need
-        need = F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / F.lit(100 + percent))
-        near = scratch.write(pairs.join(a, "a").join(b, "b").where(apart <= F.col("na") + F.col("nb") - 2 * need).select("a", "b"), "near")
+        near = scratch.write(pairs, "near")
         # only sets of pairs that are still possible travel
         keys = near.select(F.col("a").alias("k1")).union(near.select(F.col("b").alias("k1"))).distinct()
         reps = classes.join(keys, "k1", "left_semi").select(F.col("rep").alias("doc_id")).distinct()
@@ -183,26 +187,28 @@ def jaccard_components(docs: DataFrame, *, n: int = 3, percent: int = 90, extra:
         both = F.size(F.array_intersect("ia", "ib")).cast("long")
         sure = near.join(sa, "a").join(sb, "b").where(100 * both >= percent * (F.size("ia") + F.size("ib") - both)).select("a", "a2", "b", "b2")
         ra, rb = (classes.select(F.col("k1").alias(c), F.col("k2").alias(f"{c}2"), F.col("rep").alias(f"r{c}")) for c in "ab")
-        return sure.join(ra, ["a", "a2"]).join(rb, ["b", "b2"]).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+        out = scratch.write(sure.join(ra, ["a", "a2"]).join(rb, ["b", "b2"]).select(F.col("ra").alias("a"), F.col("rb").alias("b")), "links")
+        scratch.drop(near, sets)
+        return out
 
     lead = lists.groupBy("token", "block").agg(F.min("cls").alias("b"), F.max("cls").alias("most")).where("b != most").drop("most")
     votes = lists.join(lead, ["token", "block"]).where("cls != b").groupBy(F.col("cls").alias("a"), "b").agg(F.count("*").alias("votes"))
     best = votes.groupBy("a").agg(F.max(F.struct("votes", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
-    links = scratch.write(verified(best), "links")
+    by_a, by_b = (by_key.select(F.col("cls").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "ab")
+    links = verified(best.join(by_a, "a").join(by_b, "b").where(may_link("na", "nb", "sa", "sb")).select("a", "b"))
     comp = scratch.write(components(links, scratch), "comp")
 
     home = classes.join(comp, F.col("rep") == F.col("node"), "left").select(F.col("k1").alias("cls"), F.coalesce("comp", "rep").alias("comp"))
     home = home.groupBy("cls").agg(F.min("comp").alias("comp"), F.max("comp").alias("other"))  # two sets of one key, if ever: keep both open
     homed = scratch.write(lists.join(home, "cls").select("token", "cls", "size", "pos", "block", F.when(F.col("comp") == F.col("other"), F.col("comp")).otherwise(-F.abs("cls") - 1).alias("comp")), "homed")
     main = homed.groupBy("token", "comp").agg(F.count("*").alias("k")).groupBy("token").agg(F.max(F.struct("k", "comp")).alias("m"), F.count("*").alias("comps")).where("comps > 1").select("token", F.col("m.comp").alias("main"))
-    open_ = homed.join(main, "token")
-    x = open_.where("comp != main").select("token", F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)).alias("block"), F.col("cls").alias("a"), F.col("size").alias("na"), F.col("pos").alias("pa"), F.col("comp").alias("ca"))
-    y = open_.select("token", "block", F.col("cls").alias("b"), F.col("size").alias("nb"), F.col("pos").alias("pb"), F.col("comp").alias("cb"), (F.col("comp") == F.col("main")).alias("in_main"))
+    open_ = homed.join(main, "token").join(by_key.select("cls", "sketch"), "cls")
+    x = open_.where("comp != main").select("token", F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)).alias("block"), F.col("cls").alias("a"), F.col("size").alias("na"), F.col("pos").alias("pa"), F.col("comp").alias("ca"), F.col("sketch").alias("sa"))
+    y = open_.select("token", "block", F.col("cls").alias("b"), F.col("size").alias("nb"), F.col("pos").alias("pb"), F.col("comp").alias("cb"), F.col("sketch").alias("sb"), (F.col("comp") == F.col("main")).alias("in_main"))
     reach = F.least("pa", "pb") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
     fits = (F.col("ca") != F.col("cb")) & (F.col("in_main") | (F.col("a") < F.col("b"))) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & ((100 + percent) * reach >= percent * (F.col("na") + F.col("nb")))
-    share = F.least(F.lit(extra), F.ceil(F.lit(percent) * F.greatest("na", "nb") / 100))
-    pairs = x.join(y, ["token", "block"]).where(fits).groupBy("a", "b", "na", "nb").agg(F.countDistinct("token").alias("k")).where(F.col("k") >= share).select("a", "b")
-    more = scratch.write(verified(pairs), "more")
+    pairs = x.join(y, ["token", "block"]).where(fits & may_link("na", "nb", "sa", "sb")).select("a", "b").distinct()
+    more = verified(pairs)
     comp = components(links.unionByName(more), scratch)
 
     out = info.join(classes.select("k1", "k2", "rep"), ["k1", "k2"], "left").join(comp, F.col("rep") == F.col("node"), "left")

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 
-RUN_BYTES = 3 << 20
+RUN_BYTES = 2 << 20
 U64 = np.uint64
 _GOLD = U64(0x9E3779B97F4A7C15)
 _M1, _M2 = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
