@@ -1 +1 @@
-"""functions."""
+"""Column functions."""

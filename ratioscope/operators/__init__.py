@@ -1 +1 @@
-"""operators."""
+"""Operators over streams: frames of keys, ``us`` (microseconds, bigint) and values."""

@@ -1 +1 @@
-"""sources."""
+"""Readers, writers and the synthetic source."""
