@@ -1 +1 @@
-"""plans."""
+"""Whole analyses, and the registered queries."""
