@@ -24,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .graph import components
-from .scratch import Scratch
+from ..operators.graph import components
+from ..scratch import Scratch
 from .words import U64, hash_words, mix, ngrams, pieces, split_run
 
 SKETCH = 8  # 64-bit words of the parity sketch
