@@ -144,12 +144,15 @@ class SpmModel:
 class SpmCodec:
     """Encodes and decodes with word-wise caching where no piece spans the start of a word."""
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 500_000):
         self.model = SpmModel.load(path)
         self.tok = self.model.tokenizer()
         self.norm = self.tok.normalizer
-        inner = any(MARK in p.lstrip(MARK) for p, _, k in self.model.pieces if k in (NORMAL, USER))
-        self.by_word = not inner
+        self.by_word = not any(MARK in p.lstrip(MARK) for p, _, k in self.model.pieces if k in (NORMAL, USER))
+        #: normalising is marking blanks and no more
+        self.plain = not self.model.charsmap and not self.model.strip_blanks and self.model.dummy_prefix
+        self.starts = np.asarray([p.startswith(MARK) for p, *_ in self.model.pieces])
+        self.shown = [bytes([int(p[3:-1], 16)]) if k == BYTE else p.replace(MARK, " ").encode() for p, _, k in self.model.pieces]
         self.limit = limit
         self.cache: dict[str, bytes] = {}
         from tokenizers import Tokenizer, decoders
@@ -158,42 +161,65 @@ class SpmCodec:
         self.raw.decoder = decoders.Fuse()
 
     def normalize(self, text: str) -> str:
+        if self.plain:
+            return MARK + text.replace(" ", MARK) if text else ""
         return self.norm.normalize_str(text) if text else ""
 
-    @staticmethod
-    def words(normal: str) -> list[str] | None:
-        """Words of normalized text, without their markers; None where a word has none or more than one."""
+    def words(self, text: str) -> list[str] | None:
+        """Words of the normalized text, without their markers; None where a word has none or more than one."""
+        if not self.by_word:
+            return None
+        if self.plain and MARK not in text:
+            return None if not text or text[0] == " " or text[-1] == " " or "  " in text else text.split(" ")
+        normal = self.normalize(text)
         if not normal.startswith(MARK) or MARK + MARK in normal or normal.endswith(MARK):
             return None
         return normal[1:].split(MARK)
 
+    def _learn(self, some: list[str], run: int = 512) -> None:
+        """Encode unseen words, ``run`` in a string, whose words' starts are those of pieces with a marker."""
+        if len(self.cache) + len(some) > self.limit:
+            self.cache.clear()
+        runs = [some[i : i + run] for i in range(0, len(some), run)]
+        for words, e in zip(runs, self.raw.encode_batch(["".join(MARK + w for w in r) for r in runs], add_special_tokens=False)):
+            ids = np.asarray(e.ids, "<u4")
+            cut = np.flatnonzero(self.starts[ids])
+            if len(cut) != len(words):
+                self.cache.update((w, self._one(w)) for w in words)
+                continue
+            raw, edge = ids.tobytes(), [*cut.tolist(), len(ids)]
+            self.cache.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(words, edge, edge[1:]))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian uint32 ids of each text."""
-        normal = [self.normalize(t) for t in texts]
-        split = [self.words(n) if self.by_word else None for n in normal]
+        split = [self.words(t) if t else None for t in texts]
         get = self.cache.get
         found = [s and list(map(get, s)) for s in split]
-        miss = {w for s, f in zip(split, found) if s and None in f for w, v in zip(s, f) if v is None}
+        miss = {s[i] for s, f in zip(split, found) if s and None in f for i, v in enumerate(f) if v is None}
         if miss:
-            if len(self.cache) + len(miss) > self.limit:
-                self.cache.clear()
-            some = list(miss)
-            for w, e in zip(some, self.raw.encode_batch([MARK + w for w in some], add_special_tokens=False)):
-                self.cache[w] = np.asarray(e.ids, "<u4").tobytes()
+            self._learn(list(miss))
             for s, f in zip(split, found):
                 if s and None in f:
                     for i, v in enumerate(f):
                         if v is None:
-                            f[i] = self.cache.get(s[i]) or self._one(s[i])
-        whole = [i for i, f in enumerate(found) if not f and normal[i]]
-        rest = dict(zip(whole, self.raw.encode_batch([normal[i] for i in whole], add_special_tokens=False))) if whole else {}
+                            f[i] = self.cache[s[i]]
+        whole = [i for i, f in enumerate(found) if not f and texts[i]]
+        rest = dict(zip(whole, self.raw.encode_batch([self.normalize(texts[i]) for i in whole], add_special_tokens=False))) if whole else {}
         return [b"".join(f) if f else np.asarray(rest[i].ids, "<u4").tobytes() if i in rest else b"" for i, f in enumerate(found)]
 
     def _one(self, word: str) -> bytes:
         return np.asarray(self.raw.encode(MARK + word, add_special_tokens=False).ids, "<u4").tobytes()
 
     def decode(self, ids: list[list[int]]) -> list[str]:
-        return self.tok.decode_batch(ids, skip_special_tokens=False)
+        """Texts of ids: the pieces' bytes where these are UTF-8, which is what the library gives too, else its own decoder."""
+        at, out = self.shown.__getitem__, []
+        for row in ids:
+            try:
+                t = b"".join(map(at, row)).decode("utf-8")
+                out.append(t[1:] if self.model.dummy_prefix and t.startswith(" ") else t)
+            except UnicodeDecodeError:
+                out.append(self.tok.decode(row, skip_special_tokens=False))
+        return out
 
 
 def verify(codec: SpmCodec, path: str, texts: list[str]) -> list[str]:
