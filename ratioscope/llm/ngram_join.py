@@ -163,7 +163,7 @@ def jaccard_components(docs: DataFrame, *, n: int = 3, percent: int = 90, count_
     entries = rows.where("doc_id is not null").select("text").mapInArrow(lambda it: _prefix_pass(it, n, count_bits, shared, percent), "token long, cls long, size int, pos int")
     met = entries.groupBy("token").agg(F.min("cls").alias("c0"), F.max("cls").alias("c1")).where("c0 != c1").select("token")
     # sets of one block differ in size by at most the factor at which they can still link
-    block = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
+    block = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int") if percent < 100 else F.col("size")
     lists = scratch.write(entries.join(met, "token", "left_semi").withColumn("block", block), "lists")
 
     by_key = classes.select(F.col("k1").alias("cls"), "n", "sketch")
