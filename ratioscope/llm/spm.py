@@ -132,6 +132,8 @@ class SpmModel:
         if self.dummy_prefix:
             steps.append(normalizers.Prepend(MARK))
         steps.append(normalizers.Replace(" ", MARK))
+        if self.strip_blanks:  # markers written in the text itself go at the end, too
+            steps.append(normalizers.Replace(Regex(MARK + "+$"), ""))
         tok = Tokenizer(model)
         tok.normalizer = normalizers.Sequence(steps)
         back: list = [decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()]
@@ -214,9 +216,15 @@ class SpmCodec:
         """Texts of ids: the pieces' bytes where these are UTF-8, which is what the library gives too, else its own decoder."""
         at, out = self.shown.__getitem__, []
         for row in ids:
+            parts = list(map(at, row))
+            if self.model.dummy_prefix or self.model.strip_blanks:
+                # the first piece loses its blank; where blanks are stripped so do those after it, while nothing is left
+                for i, p in enumerate(parts):
+                    parts[i] = p.removeprefix(b" ")
+                    if parts[i] or not self.model.strip_blanks:
+                        break
             try:
-                t = b"".join(map(at, row)).decode("utf-8")
-                out.append(t[1:] if self.model.dummy_prefix and t.startswith(" ") else t)
+                out.append(b"".join(parts).decode("utf-8"))
             except UnicodeDecodeError:
                 out.append(self.tok.decode(row, skip_special_tokens=False))
         return out
