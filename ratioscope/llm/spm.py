@@ -116,10 +116,11 @@ class SpmModel:
             raise ValueError("only models that mark blanks before words, without user-defined pieces, are supported")
         unk = self.pieces[self.unknown][0]
         if self.model_type == UNIGRAM:
-            # control and unused pieces never come out of a text
-            low = min(s for _, s, k in self.pieces if k == NORMAL) - 10
-            vocab = [(p, s if k in (NORMAL, USER) else -1e9 if k in (CONTROL, UNUSED) else low) for p, s, k in self.pieces]
-            model = models.Unigram(vocab, self.unknown, byte_fallback=self.byte_fallback)
+            # control, unused and byte pieces never match a text: their names here hold a blank, which normalized texts don't;
+            # unknown stretches become bytes in SpmCodec
+            low = min(s for _, s, k in self.pieces if k == NORMAL)
+            vocab = [(p, s) if k == NORMAL else (f" {i}", low) for i, (p, s, k) in enumerate(self.pieces)]
+            model = models.Unigram(vocab, self.unknown, byte_fallback=False)
         elif self.model_type == BPE:
             model = models.BPE({p: i for i, (p, _, _) in enumerate(self.pieces)}, self.merges(), unk_token=unk, fuse_unk=True, byte_fallback=self.byte_fallback)
         else:
@@ -155,6 +156,8 @@ class SpmCodec:
         self.plain = not self.model.charsmap and not self.model.strip_blanks and self.model.dummy_prefix
         self.starts = np.asarray([p.startswith(MARK) for p, *_ in self.model.pieces])
         self.shown = [bytes([int(p[3:-1], 16)]) if k == BYTE else p.replace(MARK, " ").encode() for p, _, k in self.model.pieces]
+        by_byte = {int(p[3:-1], 16): i for i, (p, _, k) in enumerate(self.model.pieces) if k == BYTE}
+        self.bytes = by_byte if self.model.model_type == UNIGRAM and self.model.byte_fallback else None
         self.limit = limit
         self.cache: dict[str, bytes] = {}
         from tokenizers import Tokenizer, decoders
@@ -178,13 +181,24 @@ class SpmCodec:
             return None
         return normal[1:].split(MARK)
 
+    def _ids(self, e, text: str) -> np.ndarray:
+        """Ids of an encoding; what a unigram model doesn't know becomes its bytes' pieces."""
+        ids = e.ids
+        if self.bytes is not None and self.model.unknown in ids:
+            out: list[int] = []
+            for i, (a, b) in zip(ids, e.offsets):
+                out += [self.bytes[x] for x in text[a:b].encode("utf-8", "surrogatepass")] if i == self.model.unknown else [i]
+            ids = out
+        return np.asarray(ids, "<u4")
+
     def _learn(self, some: list[str], run: int = 512) -> None:
         """Encode unseen words, ``run`` in a string, whose words' starts are those of pieces with a marker."""
         if len(self.cache) + len(some) > self.limit:
             self.cache.clear()
         runs = [some[i : i + run] for i in range(0, len(some), run)]
-        for words, e in zip(runs, self.raw.encode_batch(["".join(MARK + w for w in r) for r in runs], add_special_tokens=False)):
-            ids = np.asarray(e.ids, "<u4")
+        texts = ["".join(MARK + w for w in r) for r in runs]
+        for words, text, e in zip(runs, texts, self.raw.encode_batch(texts, add_special_tokens=False)):
+            ids = self._ids(e, text)
             cut = np.flatnonzero(self.starts[ids])
             if len(cut) != len(words):
                 self.cache.update((w, self._one(w)) for w in words)
@@ -206,11 +220,12 @@ class SpmCodec:
                         if v is None:
                             f[i] = self.cache[s[i]]
         whole = [i for i, f in enumerate(found) if not f and texts[i]]
-        rest = dict(zip(whole, self.raw.encode_batch([self.normalize(texts[i]) for i in whole], add_special_tokens=False))) if whole else {}
-        return [b"".join(f) if f else np.asarray(rest[i].ids, "<u4").tobytes() if i in rest else b"" for i, f in enumerate(found)]
+        normal = [self.normalize(texts[i]) for i in whole]
+        rest = {i: self._ids(e, t).tobytes() for i, t, e in zip(whole, normal, self.raw.encode_batch(normal, add_special_tokens=False))} if whole else {}
+        return [b"".join(f) if f else rest.get(i, b"") for i, f in enumerate(found)]
 
     def _one(self, word: str) -> bytes:
-        return np.asarray(self.raw.encode(MARK + word, add_special_tokens=False).ids, "<u4").tobytes()
+        return self._ids(self.raw.encode(MARK + word, add_special_tokens=False), MARK + word).tobytes()
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         """Texts of ids: the pieces' bytes where these are UTF-8, which is what the library gives too, else its own decoder."""
@@ -226,7 +241,7 @@ class SpmCodec:
             try:
                 out.append(b"".join(parts).decode("utf-8"))
             except UnicodeDecodeError:
-                out.append(self.tok.decode(row, skip_special_tokens=False))
+                out.append(b"".join(parts).decode("utf-8", "replace") if self.bytes is not None else self.tok.decode(row, skip_special_tokens=False))
         return out
 
 
