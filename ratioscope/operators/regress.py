@@ -147,11 +147,11 @@ def ratios(fit: DataFrame, *, min_points: int = 8, confidence: float = 0.95, sca
 
 
 def birge(fits: DataFrame, keys: list[str], slope: str = "slope", sigma: str = "sigma_slope") -> DataFrame:
-    """birge, mean, k of the fits of each key; null for fewer than two."""
+    """birge, mean, n_fits of the fits of each key; null for fewer than two."""
     w = 1 / F.pow(sigma, 2)
     ok = fits.where(F.col(slope).isNotNull() & (F.col(sigma) > 0))
     m = ok.groupBy(*keys).agg((F.sum(w * F.col(slope)) / F.sum(w)).alias("mean"))
-    return ok.join(m, keys).groupBy(*keys).agg(F.first("mean").alias("mean"), F.count("*").alias("k"), F.sum(w * F.pow(F.col(slope) - F.col("mean"), 2)).alias("_q")).select(*keys, F.sqrt(F.col("_q") / F.nullif(F.col("k") - 1, F.lit(0))).alias("birge"), "mean", "k")
+    return ok.join(m, keys).groupBy(*keys).agg(F.first("mean").alias("mean"), F.count("*").alias("n_fits"), F.sum(w * F.pow(F.col(slope) - F.col("mean"), 2)).alias("_q")).select(*keys, F.sqrt(F.col("_q") / F.nullif(F.col("n_fits") - 1, F.lit(0))).alias("birge"), "mean", "n_fits")
 
 
 def method_sigma(cells: DataFrame, keys: list[str], ratio: str = "ratio") -> DataFrame:

@@ -318,7 +318,7 @@ def birge_ratio(spark, sf):
     l = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_quantity", "l_extendedprice")
     o = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderpriority", F.date_trunc("month", "o_orderdate").alias("m"))
     fits = regress.ols(l.join(o, "l_orderkey"), ["o_orderpriority", "m"], "l_quantity", "l_extendedprice")
-    return regress.birge(fits, ["o_orderpriority"]).select("o_orderpriority", F.round("birge", 6).alias("birge"), F.round("mean", 3).alias("mean"), "k")
+    return regress.birge(fits, ["o_orderpriority"]).select("o_orderpriority", F.round("birge", 6).alias("birge"), F.round("mean", 3).alias("mean"), F.col("n_fits").alias("k"))
 
 
 @query("SELECT stream, round(fmod(degrees(atan2(s, c)) + 360, 360), 6) AS direction, round(degrees(sqrt(-2 * ln(least(1, sqrt(s * s + c * c))))), 6) AS sd, round(degrees(asin(sqrt(1 - (s * s + c * c))) * (1 + (2 / sqrt(3) - 1) * pow(1 - (s * s + c * c), 1.5))), 6) AS yamartino FROM (SELECT stream, avg(sin(radians(value * 3))) AS s, avg(cos(radians(value * 3))) AS c FROM $E GROUP BY stream)")
