@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -32,6 +33,7 @@ class Scratch:
         self.count += 1
         path = f"{self.root}/{self.count:03d}-{name}"
         df.write.mode("overwrite").parquet(path)
+        gc.collect()  # Python's handles keep plans alive in the JVM
         self.spark._jvm.System.gc()  # lets the driver's cleaner remove the shuffle files of finished plans
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
