@@ -165,6 +165,7 @@ def jaccard_components(docs: DataFrame, *, n: int = 3, percent: int = 90, count_
     # sets of one block differ in size by at most the factor at which they can still link
     block = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int") if percent < 100 else F.col("size")
     lists = scratch.write(entries.join(met, "token", "left_semi").withColumn("block", block), "lists")
+    shared.destroy()
 
     by_key = classes.select(F.col("k1").alias("cls"), "n", "sketch")
     def apart(one: str, other: str) -> Column:

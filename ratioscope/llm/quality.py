@@ -166,7 +166,7 @@ def train(idx: list[np.ndarray], val: list[np.ndarray], label: np.ndarray, *, l2
     return model
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, *, max_rows: int = 1_500, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> QualityModel:
+def fit_quality(docs: DataFrame, labels: DataFrame, *, max_rows: int = 1_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> QualityModel:
     """Fit on at most ``max_rows`` labelled rows, half of either class if both have as many.
 
     Null ids, labels and texts are left out; an id with both labels counts as low quality.  The broadcast side is bounded by ``max_rows``.

@@ -283,7 +283,7 @@ def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b.column(0).slice(s, e - s), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string()), pa.array(clean, pa.string()), *rest], names=["doc_id", "n_words", "n_removed", "kept", "text", "row"][: 5 + len(rest)])
 
 
-def remove_repeats(docs: DataFrame, *, window: int = 13, anchor: int = 4, bloom_bits: int = 1 << 27, hot_share: int = 500, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, window: int = 13, anchor: int = 4, bloom_bits: int = 1 << 26, hot_share: int = 500, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """One row an input row: doc_id, n_words, n_removed, kept (its kept words joined by blanks), text; with ``carry`` also the
     input row, but for its text, as the struct ``row``.
 
