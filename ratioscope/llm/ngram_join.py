@@ -29,6 +29,7 @@ from ..scratch import Scratch
 from .words import U64, hash_words, mix, ngrams, pieces, split_run
 
 SKETCH = 8  # 64-bit words of the parity sketch
+FINE, LARGE = 256, 1000  # of the finer one that sets of more than LARGE members have too
 
 
 def shingle_sets(texts: list, n: int) -> Iterator[np.ndarray]:
@@ -51,9 +52,9 @@ def class_key(s: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
-def sketch(s: np.ndarray) -> np.ndarray:
-    """Parity of the number of members in each of 512 cells: two sketches differ in at most as many bits as the sets."""
-    cell = np.bincount((s >> U64(55)).astype(np.int64), minlength=64 * SKETCH) & 1
+def sketch(s: np.ndarray, words: int = SKETCH) -> np.ndarray:
+    """Parity of the number of members in each of 64 * words cells: two sketches differ in at most as many bits as the sets."""
+    cell = np.bincount((s >> U64(64 - (64 * words - 1).bit_length())).astype(np.int64), minlength=64 * words) & 1
     return np.packbits(cell.astype(np.uint8)).view(np.int64)
 
 
@@ -61,26 +62,27 @@ def _count_pass(batches: Iterator[pa.RecordBatch], n: int, bits: int) -> Iterato
     """Key, size and sketch of every row; at the end the counts of n-grams by hash cell, each class counted once."""
     seen: set[int] = set()
     counts = np.zeros(1 << bits, np.uint32)
-    names = ["doc_id", "n", "k1", "k2", "sketch", "cells", "counts"]
+    names = ["doc_id", "n", "k1", "k2", "sketch", "fine", "cells", "counts"]
 
-    def rows(ids: pa.Array, keys: list, sizes: list, sk: list, cells: list, cnt: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array([k and k[0] for k in keys], pa.int64()), pa.array([k and k[1] for k in keys], pa.int64()), pa.array(sk, pa.list_(pa.int64())), pa.array(cells, pa.binary()), pa.array(cnt, pa.binary())], names=names)
+    def rows(ids: pa.Array, keys: list, sizes: list, sk: list, fine: list, cells: list, cnt: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array([k and k[0] for k in keys], pa.int64()), pa.array([k and k[1] for k in keys], pa.int64()), pa.array(sk, pa.list_(pa.int64())), pa.array(fine, pa.list_(pa.int64())), pa.array(cells, pa.binary()), pa.array(cnt, pa.binary())], names=names)
 
     for b in batches:
         texts = b.column(1).to_pylist()
         for s, e in pieces(texts):
-            keys, sizes, sk = [], [], []
+            keys, sizes, sk, fine = [], [], [], []
             for x in shingle_sets(texts[s:e], n):
                 keys.append(class_key(x) if len(x) else None)
                 sizes.append(len(x))
                 sk.append(sketch(x) if len(x) else None)
+                fine.append(sketch(x, FINE) if len(x) > LARGE else None)
                 if len(x) and keys[-1][0] not in seen:
                     seen.add(keys[-1][0])
                     np.add.at(counts, (x >> U64(64 - bits)).astype(np.int64), 1)
-            yield rows(b.column(0).slice(s, e - s), keys, sizes, sk, [None] * (e - s), [None] * (e - s))
+            yield rows(b.column(0).slice(s, e - s), keys, sizes, sk, fine, [None] * (e - s), [None] * (e - s))
     hit = np.flatnonzero(counts)
     if len(hit):
-        yield rows(pa.array([None], pa.int64()), [None], [-1], [None], [hit.astype("<u4").tobytes()], [counts[hit].astype("<u4").tobytes()])
+        yield rows(pa.array([None], pa.int64()), [None], [-1], [None], [None], [hit.astype("<u4").tobytes()], [counts[hit].astype("<u4").tobytes()])
 
 
 def _merge_counts(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
@@ -146,8 +148,8 @@ def jaccard_components(docs: DataFrame, *, n: int = 3, percent: int = 90, count_
     scratch = scratch or Scratch(spark, "jaccard")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
-    first = scratch.write(rows.mapInArrow(lambda it: _count_pass(it, n, count_bits), "doc_id long, n long, k1 long, k2 long, sketch array<long>, cells binary, counts binary"), "info")
-    info = first.where("n >= 0").select("doc_id", "n", "k1", "k2", "sketch")
+    first = scratch.write(rows.mapInArrow(lambda it: _count_pass(it, n, count_bits), "doc_id long, n long, k1 long, k2 long, sketch array<long>, fine array<long>, cells binary, counts binary"), "info")
+    info = first.where("n >= 0").select("doc_id", "n", "k1", "k2", "sketch", "fine")
     part = first.where("n < 0").select("cells", "counts")
     left = part.count()
     while left > 16:  # the counts of all tasks are summed in a tree
@@ -158,7 +160,7 @@ def jaccard_components(docs: DataFrame, *, n: int = 3, percent: int = 90, count_
         counts[np.frombuffer(c, "<u4")] += np.frombuffer(k, "<u4")
     shared = spark.sparkContext.broadcast(counts)  # 4 << count_bits bytes
 
-    classes = scratch.write(info.where("doc_id is not null and n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("sketch").alias("sketch")), "classes")
+    classes = scratch.write(info.where("doc_id is not null and n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("sketch").alias("sketch"), F.min("fine").alias("fine")), "classes")
 
     entries = rows.where("doc_id is not null").select("text").mapInArrow(lambda it: _prefix_pass(it, n, count_bits, shared, percent), "token long, cls long, size int, pos int")
     met = entries.groupBy("token").agg(F.min("cls").alias("c0"), F.max("cls").alias("c1")).where("c0 != c1").select("token")
@@ -178,7 +180,11 @@ def jaccard_components(docs: DataFrame, *, n: int = 3, percent: int = 90, count_
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Links, by the classes' smallest documents, among pairs (a, b) of keys."""
-        near = scratch.write(pairs, "near")
+        la, lb = (classes.where("fine is not null").select(F.col("k1").alias(c), F.col("n").alias(f"n{c}"), F.col("fine").alias(f"f{c}")) for c in "ab")
+        split = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+        need = F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / F.lit(100 + percent))
+        large = pairs.join(la, "a", "left").join(lb, "b", "left")
+        near = scratch.write(large.where(F.col("fa").isNull() | F.col("fb").isNull() | (split <= F.col("na") + F.col("nb") - 2 * need)).select("a", "b"), "near")
         # only sets of pairs that are still possible travel
         keys = near.select(F.col("a").alias("k1")).union(near.select(F.col("b").alias("k1"))).distinct()
         reps = classes.join(keys, "k1", "left_semi").select(F.col("rep").alias("doc_id")).distinct()

@@ -41,6 +41,12 @@ def docs():
                 t[rng.randrange(len(t))] = rng.choice(vocab)
             out.append((k, " ".join(t) if g % 2 else "\n".join(t).upper()))
             k += 3
+    long_ = [f"v{rng.randrange(5000)}" for _ in range(4000)]
+    for j in range(6):  # large sets, near and not quite near
+        t = list(long_)
+        for _ in range(40 * j):
+            t[rng.randrange(len(t))] = rng.choice(vocab)
+        out.append((800 + j, " ".join(t)))
     out.append((999, "long " * 30_000 + " ".join(vocab)))
     return out
 
