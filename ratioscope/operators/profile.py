@@ -45,9 +45,9 @@ def ar1_timescale(rho, period_s):
 
 
 def check_sorted(df: DataFrame, us: str, order: str) -> None:
-    """Refuses a series whose times fall along ``order``."""
-    bad = df.select((F.col(us) < F.lag(us).over(Window.orderBy(order))).alias("b")).where("b").head(1)
-    if bad:
+    """Refuses a series whose times fall along the whole numbers ``order``."""
+    p = previous(df.select(order, us), [], order, [us], "_p", chunk_us=1_000_000)
+    if p.where(F.col(us) < F.col(f"_p.{us}")).head(1):
         raise ProfilingError("the series' times are not in order")
 
 

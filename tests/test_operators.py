@@ -184,6 +184,11 @@ def test_profile_and_blocks(spark):
     b = p.blocks.collect()
     assert len(b) == 2 * (1500 // 128) and all(len(v["values"]) == 128 and abs(sum(v["values"])) < 1e-6 for v in b)
     assert "lag-1" in p.summary("s")
+    from ratioscope.errors import ProfilingError
+
+    profile.check_sorted(spark.createDataFrame([(0, 5), (1, 5), (2_000_000, 9)], "i long, us long"), "us", "i")
+    with pytest.raises(ProfilingError):
+        profile.check_sorted(spark.createDataFrame([(0, 5), (2_000_000, 4)], "i long, us long"), "us", "i")
     flat = spark.createDataFrame([("s", i * S, 42.0) for i in range(10)], "k string, us long, v double")
     assert profile.lag1(flat, ["k"], "us", "v").first().lag1_autocorr == 0.0
 
