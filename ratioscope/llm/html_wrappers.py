@@ -216,7 +216,7 @@ def _named(node: list, tags: tuple[str, ...]) -> Iterator[list]:
 
 
 def _blocks(node: list, w: dict | None, const_pages: int) -> Iterator[str]:
-    """Texts of a node read against its wrapper item; constant texts of the site are left out."""
+    """Texts of a node read against its wrapper item; texts equal to a constant of the site are left out."""
     kids = _flat(w["c"]) if w else []
     at = 0
     for x in node[1]:
@@ -228,7 +228,7 @@ def _blocks(node: list, w: dict | None, const_pages: int) -> Iterator[str]:
         own = kids[k] if k is not None else None
         at = k if k is not None else at
         if isinstance(x, str):
-            if not (own and own["t"] is not None and own["n"] >= const_pages):
+            if not (own and x == own["t"] and own["n"] >= const_pages):
                 yield x
         elif not marked(s):
             yield from _blocks(x, own, const_pages)

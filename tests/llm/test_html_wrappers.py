@@ -42,3 +42,13 @@ def test_table(spark):
     assert len(got) == 34 and ("40", "", 0) in got and ("None", "no id", 5) in got and got.count(("41", "alone", 5)) == 2
     assert ("7", "Title 7 Firstly 7&<co> next line Second 7", 41) in got
     assert extract_pages(df.limit(0)).count() == 0
+
+
+def test_text_unlike_the_constant_stays(spark):
+    rows = [(i, f"http://h.example/{i}", PAGE.format(f"word{i} more"), "x") for i in range(60)]
+    w = infer([r[2] for r in rows[:24]])
+    odd = PAGE.format("odd one").replace("Written here", "Written by somebody else")
+    assert extract(odd, w)[-1] == "Written by somebody else" and extract(rows[30][2], w)[-1] == "Second word30 more"
+    rows[50] = (50, rows[50][1], odd, "x")
+    got = {r.page_id: r.text for r in extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()}
+    assert got[50].endswith("Written by somebody else")
