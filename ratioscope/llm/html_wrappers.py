@@ -2,25 +2,28 @@
 
 A page is a stream of block tags and texts, nested by its tags.  A wrapper is an expression over such streams: items in
 order, each required, optional ``?`` or repeated ``+`` (a repeated item may be a group of items), and texts that are constant or slots.
-Pages of a host (``sample_pages`` of smallest id hash) are folded (adjacent repeats become one repeated item) and aligned with
-the wrapper one after another; an item that one side lacks becomes optional, texts that differ become a slot.
+All pages of a host are folded (adjacent repeats become one repeated item) and aligned with a wrapper one after another; an
+item that one side lacks becomes optional, texts that differ become a slot.  Wrappers of ``part_pages`` pages each are made by
+many tasks and merged in a tree.
 
 What a slot holds is told from the wrapper: text that all of at least ``const_pages`` different pages share is the site's,
 not the article's; items whose tags or names mark menus, adverts, forms, comments and the like are left out; of what is left the
 article (or main) item is taken, or else the smallest item with most of the running text.  A page is then read against
-its host's wrapper; parts that the sample did not show follow the same marks.
+its host's wrapper; parts that the wrapper lacks follow the same marks.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
+import zlib
 from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch
@@ -91,9 +94,14 @@ def marked(signature: str) -> bool:
     return tag in LEFT_OUT_TAGS or (tag not in ("html", "body", "article", "main") and not LEFT_OUT_WORDS.isdisjoint(names.split()))
 
 
+def name(text: str) -> str:
+    """What stands for a text in a wrapper: itself, or a digest of a long one."""
+    return text if len(text) <= 40 else hashlib.md5(text.encode("utf-8", "surrogatepass")).hexdigest() + "..."
+
+
 def item(node: Any) -> dict:
     if isinstance(node, str):
-        return {"s": "#", "c": [], "n": 1, "t": node, "w": len(node.split())}
+        return {"s": "#", "c": [], "n": 1, "t": name(node), "w": len(node.split())}
     kids = fold([item(x) for x in node[1]])
     return {"s": node[0], "c": kids, "n": 1, "w": sum(k["w"] for k in kids)}
 
@@ -103,8 +111,8 @@ def same(a: dict, b: dict) -> bool:
 
 
 def merge(a: dict, b: dict, pages: int = 0) -> dict:
-    """One item that fits what either fits.  ``pages``: 1 where b is from another page."""
-    out = {"s": a["s"], "c": align(a["c"], b["c"], pages) if a["s"] not in ("#",) else [], "n": a["n"] + pages, "w": a["w"] + b["w"]}
+    """One item that fits what either fits.  ``pages``: 1 where b is from other pages."""
+    out = {"s": a["s"], "c": align(a["c"], b["c"], pages) if a["s"] not in ("#",) else [], "n": a["n"] + pages * b["n"], "w": a["w"] + b["w"]}
     if a["s"] == "#":
         out["t"] = a["t"] if a["t"] == b["t"] else None
     for k in ("opt", "rep"):
@@ -163,7 +171,7 @@ def infer(pages: list[str]) -> dict:
     seen, out = set(), None
     for p in pages:
         tree = parse(p)
-        key = max(_texts(tree), key=len, default="")
+        key = longest(tree)
         if key in seen:
             continue
         seen.add(key)
@@ -172,6 +180,19 @@ def infer(pages: list[str]) -> dict:
     return out or item(["", []])
 
 
+def longest(tree: list) -> str:
+    """A page's longest text, by which its copies are told."""
+    return max(_texts(tree), key=len, default="")
+
+
+def join(wrappers: list[dict]) -> dict:
+    """One wrapper of wrappers of different pages."""
+    out = wrappers[0]
+    for w in wrappers[1:]:
+        out = merge(out, w, 1)
+    return out
+
+
 def _texts(node: list) -> Iterator[str]:
     for x in node[1]:
         if isinstance(x, str):
@@ -228,7 +249,7 @@ def _blocks(node: list, w: dict | None, const_pages: int) -> Iterator[str]:
         own = kids[k] if k is not None else None
         at = k if k is not None else at
         if isinstance(x, str):
-            if not (own and x == own["t"] and own["n"] >= const_pages):
+            if not (own and name(x) == own["t"] and own["n"] >= const_pages):
                 yield x
         elif not marked(s):
             yield from _blocks(x, own, const_pages)
@@ -275,26 +296,43 @@ def extract(page: str, wrapper: dict | None, const_pages: int = 4) -> list[str]:
     return [t for m in main for t in _blocks(m, _descend(wrapper, tree, m), const_pages)]
 
 
-def extract_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", sample_pages: int = 24, const_pages: int = 4) -> DataFrame:
+def extract_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", part_pages: int = 64, const_pages: int = 4) -> DataFrame:
     """One row an input row: page_id, url, text (empty if none), n_chars (code points).
 
     Null html is empty; a null URL, or one without a host, is of the host ''.  Ids may be null or repeated.  Whole pages are
-    read, however long; other columns are not read; an empty table gives no rows.  A host's wrapper is made in one task
-    from at most ``sample_pages`` pages; every page is extracted.
+    read, however long; other columns are not read; an empty table gives no rows.  A host's wrapper is inferred
+    from all of its pages that have an id (of copies, told by their longest text, from the one of smallest id).
     """
     spark = pages.sparkSession
     scratch = Scratch(spark, "wrappers")
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col).cast("string"), F.lit("")), r"://([^/?#]*)", 1))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"), host.alias("host"))
-    order = Window.partitionBy("host").orderBy(F.xxhash64("page_id"), "page_id")
-    chosen = rows.where("page_id is not null and html is not null").select("host", "page_id").withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample_pages).drop("k")
-    sample = rows.join(chosen.distinct(), ["host", "page_id"], "left_semi").select("host", "page_id", "html")
-
-    def learn(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = pdf.sort_values("page_id").drop_duplicates("page_id").head(sample_pages)
-        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "wrapper": [json.dumps(infer(own["html"].tolist()))]})
 
-    wrappers = scratch.write(sample.groupBy("host").applyInPandas(learn, "host string, wrapper string"), "wrappers")
+    def skeletons(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            texts = pdf["html"].tolist()
+            for s, e in pieces(texts):
+                trees = [parse(t) for t in texts[s:e]]
+                keys = [hashlib.md5(longest(t).encode("utf-8", "surrogatepass")).hexdigest() for t in trees]
+                yield pd.DataFrame({"host": pdf["host"].iloc[s:e], "page_id": pdf["page_id"].iloc[s:e], "copy": keys, "w": [pack(item(t)) for t in trees]})
+
+    def up(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = pdf.sort_values("no")
+        return pd.DataFrame({"host": [own["host"].iloc[0]], "part": [own["part"].iloc[0]], "w": [pack(join([unpack(w) for w in own["w"]]))]})
+
+    pack = lambda w: zlib.compress(json.dumps(w, separators=(",", ":")).encode())
+    unpack = lambda w: json.loads(zlib.decompress(w))
+    made = rows.where("page_id is not null and html is not null").select("host", "page_id", "html").mapInPandas(skeletons, "host string, page_id long, copy string, w binary")
+    single = scratch.write(made.groupBy("host", "copy").agg(F.min(F.struct("page_id", "w")).alias("x")).select("host", "copy", F.col("x.page_id").alias("no"), "x.w"), "pages")
+    sizes = single.groupBy("host").agg(F.ceil(F.count("*") / part_pages).alias("parts"))
+    most = sizes.agg(F.max("parts")).first()[0] or 1
+    parts = single.join(sizes, "host").withColumn("part", F.pmod(F.xxhash64("copy"), F.col("parts")))
+    wrappers = scratch.write(parts.groupBy("host", "part").applyInPandas(up, "host string, part long, w binary"), "wrappers")
+    while most > 1:
+        most = -(-most // 8)
+        above = wrappers.withColumn("no", F.col("part")).withColumn("part", F.floor(F.col("part") / 8))
+        wrappers = scratch.write(above.groupBy("host", "part").applyInPandas(up, "host string, part long, w binary"), "wrappers")
+    wrappers = wrappers.select("host", F.col("w").alias("wrapper"))
 
     def read(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[str, dict] = {}
@@ -306,7 +344,7 @@ def extract_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "
                     if h not in known:
                         if len(known) > 1000:
                             known.clear()
-                        known[h] = json.loads(w) if w else None
+                        known[h] = unpack(w) if w else None
                     out.append(" ".join(extract(page, known[h], const_pages)) if page else "")
                 yield pd.DataFrame({"page_id": part["page_id"], "url": part["url"], "text": out, "n_chars": [len(t) for t in out]})
 

@@ -52,3 +52,10 @@ def test_text_unlike_the_constant_stays(spark):
     rows[50] = (50, rows[50][1], odd, "x")
     got = {r.page_id: r.text for r in extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()}
     assert got[50].endswith("Written by somebody else")
+
+
+def test_rare_template_of_a_large_host(spark):
+    note = '<div class="box"><p>Standing note</p></div></article>'
+    rows = [(i, f"http://h.example/{i}", PAGE.format(f"word{i} more").replace("</article>", note if i % 33 == 5 else "</article>"), "x") for i in range(200)]
+    got = {r.page_id: r.text for r in extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string, text string").repartition(3)).collect()}
+    assert len(got) == 200 and all(t.endswith(f"Second word{i} more") for i, t in got.items())
