@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -111,20 +112,27 @@ class Analysis:
 def analyse(long: DataFrame, cfg: AnalysisConfig, periods_us: dict[str, int], *, step: float | None = None, chunk_us: int = DAY, scale_sigma: dict[str, float] | None = None, scratch: Scratch | None = None, streams: dict[str, DataFrame] | None = None) -> Analysis:
     """Noise, baselines, events of the reference species, pairs, fits and their spread over the sweep; grid and matrix.
 
-    ``periods_us``: each species' sampling period.  ``scale_sigma``: relative scale errors by species.
+    Every smoothing cutoff is a cell of the sweep: ``smoothing_cutoff`` ("none" without smoothing) is a key of samples, events,
+    ratios, closure, grid and matrix.  ``periods_us``: each species' sampling period.  ``scale_sigma``: relative scale errors by species.
     """
     scratch = scratch or Scratch(long.sparkSession, "analysis")
     scale = scale_sigma or {}
     ref, d, b = cfg.regression.reference_species, cfg.detection, cfg.baseline
     samples = scratch.write(with_noise(long, cfg, step=step, chunk_us=chunk_us), "samples")
-    if cfg.smoothing.enabled:
-        smooth = butterworth(samples, ["stream"], "us", "value", seconds(cfg.smoothing.cutoff_periods[0]), order=cfg.smoothing.order, chunk_us=chunk_us)
-        samples = scratch.write(smooth.withColumn("value", F.col("smooth")).drop("smooth"), "smoothed")
-    own = samples.where(F.col("stream") == ref).select("stream", "us", "value")
-    ev = detection_sweep(own, ["stream"], "us", "value", windows_us=[micros(w) for w in b.windows], quantiles=list(b.quantiles), enter=list(d.enter_sigma), leave=d.exit_sigma, noise=d.noise_estimator, noise_window_us=micros(d.noise_window), max_gap_us=micros(d.max_internal_gap), min_duration_us=micros(d.min_duration), min_valid_fraction=b.min_valid_fraction, step=step, chunk_us=chunk_us, scratch=scratch)
-    ev = scratch.write(ev.withColumn("event_id", F.format_string("%s_w%d_q%s_s%s_%05d", "stream", F.col("window_us"), F.col("quantile").cast("string"), F.col("enter_sigma").cast("string"), F.col("event_no"))), "events")
-    pairs = scratch.write(event_pairs(ev.select("event_id", "window_us", "quantile", "enter_sigma", "start_us", "end_us"), samples, ref, periods_us), "pairs")
-    keys = ["species", "window_us", "quantile", "enter_sigma", "event_id"]
+    cutoffs = list({micros(c): c for c in cfg.smoothing.cutoff_periods}.values()) if cfg.smoothing.enabled else ["none"]
+    found = []
+    for c in cutoffs:
+        own, tag = samples, ""
+        if cfg.smoothing.enabled:
+            smooth = butterworth(samples, ["stream"], "us", "value", seconds(c), order=cfg.smoothing.order, chunk_us=chunk_us)
+            own, tag = scratch.write(smooth.withColumn("value", F.col("smooth")).drop("smooth"), "smoothed"), f"_c{c}"
+        ev = detection_sweep(own.where(F.col("stream") == ref).select("stream", "us", "value"), ["stream"], "us", "value", windows_us=[micros(w) for w in b.windows], quantiles=list(b.quantiles), enter=list(d.enter_sigma), leave=d.exit_sigma, noise=d.noise_estimator, noise_window_us=micros(d.noise_window), max_gap_us=micros(d.max_internal_gap), min_duration_us=micros(d.min_duration), min_valid_fraction=b.min_valid_fraction, step=step, chunk_us=chunk_us, scratch=scratch)
+        ev = ev.withColumn("smoothing_cutoff", F.lit(c)).withColumn("event_id", F.format_string("%s_w%d_q%s_s%s%s_%05d", "stream", F.col("window_us"), F.col("quantile").cast("string"), F.col("enter_sigma").cast("string"), F.lit(tag), F.col("event_no")))
+        ev = scratch.write(ev, "events")
+        pairs = scratch.write(event_pairs(ev.select("event_id", "smoothing_cutoff", "window_us", "quantile", "enter_sigma", "start_us", "end_us"), own, ref, periods_us), "pairs")
+        found.append((own.withColumn("smoothing_cutoff", F.lit(c)), ev, pairs))
+    samples, ev, pairs = (reduce(DataFrame.unionByName, x) for x in zip(*found))
+    keys = ["species", "smoothing_cutoff", "window_us", "quantile", "enter_sigma", "event_id"]
     fits = None
     for m in cfg.regression.methods:
         one = ols(pairs, keys).select(*keys, "slope", "sigma_slope", "n") if m == "ols" else fit_events(pairs, keys, METHODS[m]).select(*keys, "slope", "sigma_slope", "n")
@@ -135,7 +143,7 @@ def analyse(long: DataFrame, cfg: AnalysisConfig, periods_us: dict[str, int], *,
         r = ratios(fits.where(F.col("species") == s), min_points=cfg.regression.min_points, confidence=cfg.regression.confidence_level, scale_x=scale.get(ref, 0.0), scale_y=scale.get(s, 0.0))
         out = r if out is None else out.unionByName(r)
     out = scratch.write(out, "ratios")
-    cell = ["species", "method", "window_us", "quantile", "enter_sigma"]
+    cell = ["species", "method", "smoothing_cutoff", "window_us", "quantile", "enter_sigma"]
     closure = birge(out, cell, "ratio", "sigma_fit").join(method_sigma(out.groupBy(*cell).agg(F.avg("ratio").alias("ratio")), ["species", "method"]), ["species", "method"])
     g = cfg.output_grid
     grid = pmf = None
@@ -144,8 +152,8 @@ def analyse(long: DataFrame, cfg: AnalysisConfig, periods_us: dict[str, int], *,
         step_us = micros(g.freq)
         start = _us(g.start) if g.start else lo - lo % step_us
         end = _us(g.end) if g.end else hi + 1
-        grid = output_grid(samples, ["stream"], "us", "value", step_us, start, end, statistic=g.bin_statistic)
-        pmf = pmf_matrix(grid, "stream", "value", sorted(periods_us)).withColumn("time", from_us(F.col("cell_us")))
+        grid = output_grid(samples, ["smoothing_cutoff", "stream"], "us", "value", step_us, start, end, statistic=g.bin_statistic)
+        pmf = reduce(DataFrame.unionByName, [pmf_matrix(grid.where(F.col("smoothing_cutoff") == c), "stream", "value", sorted(periods_us)).withColumn("smoothing_cutoff", F.lit(c)) for c in cutoffs]).withColumn("time", from_us(F.col("cell_us")))
     return Analysis(streams or {}, samples, ev, out, closure, grid, pmf)
 
 

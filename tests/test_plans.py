@@ -82,3 +82,16 @@ def test_streams_equal_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("select * from seg where k = 'a'").count() >= 2
+
+
+def test_every_smoothing_cutoff_is_swept(spark):
+    base = spark.range(900)
+    plume = F.exp(-F.pow(F.pmod(F.col("id"), F.lit(300)) - 150, 2) / 200) * 100
+    noise = (F.pmod(F.xxhash64("id"), F.lit(2001)) - 1000) / 1000.0
+    mk = lambda name, x: base.select(F.lit(name).alias("stream"), F.lit("i").alias("instrument"), (F.col("id") * S).alias("us"), x.alias("value"), F.lit(0.6).alias("sigma_rand"), F.lit(0.0).alias("sigma_sys"), F.lit("declared").alias("source"))
+    cfg = AnalysisConfig.read({"output_grid": {"freq": "10s"}, "baseline": {"windows": ["200s"], "quantiles": [0.1]}, "detection": {"enter_sigma": [4.0]}, "smoothing": {"enabled": True, "cutoff_periods": ["4s", "20s"]}, "regression": {"reference_species": "ch4", "methods": ["ols"]}})
+    a = analyse(mk("ch4", 1900 + plume + noise).unionByName(mk("c2h6", 2 + 0.05 * plume)), cfg, {"ch4": S, "c2h6": S})
+    for df in (a.samples, a.events, a.ratios, a.closure, a.grid, a.pmf):
+        assert {r[0] for r in df.select("smoothing_cutoff").distinct().collect()} == {"4s", "20s"}
+    assert a.events.count() == a.events.select("event_id").distinct().count() and a.pmf.count() == 180
+    assert {r.n_cells for r in a.closure.collect()} == {2}
