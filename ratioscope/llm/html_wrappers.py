@@ -326,7 +326,7 @@ def extract_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "
     single = scratch.write(made.groupBy("host", "copy").agg(F.min(F.struct("page_id", "w")).alias("x")).select("host", "copy", F.col("x.page_id").alias("no"), "x.w"), "pages")
     sizes = single.groupBy("host").agg(F.ceil(F.count("*") / part_pages).alias("parts"))
     most = sizes.agg(F.max("parts")).first()[0] or 1
-    parts = single.join(sizes, "host").withColumn("part", F.pmod(F.xxhash64("copy"), F.col("parts")))
+    parts = single.join(sizes, "host").withColumn("part", F.pmod(F.xxhash64("copy"), F.col("parts"))).repartition("host", "part")  # else the join's deal by host would put a host's parts in one task
     wrappers = scratch.write(parts.groupBy("host", "part").applyInPandas(up, "host string, part long, w binary"), "wrappers")
     while most > 1:
         most = -(-most // 8)
