@@ -153,26 +153,43 @@ def pack_lengths(lengths: list[int], max_tokens: int, linear: float = 1.0, quadr
         if k > at:
             left.append((k - at, d, at))
     left.sort(key=lambda x: (-x[0], x[1]))
-    heap = [(0.0, s) for s in range(heads, n)]
+    # open sequences by room: a heap each, under a tree of the cheapest
+    leaves = 1 << max_tokens.bit_length()
+    heaps: list[list[tuple[float, int]]] = [[] for _ in range(max_tokens + 1)]
+    none = (float("inf"), n)
+    tree = [none] * (2 * leaves)
+
+    def update(r: int) -> None:
+        i = r + leaves
+        tree[i] = heaps[r][0] if heaps[r] else none
+        while i > 1:
+            i >>= 1
+            tree[i] = min(tree[2 * i], tree[2 * i + 1])
+
+    for s in range(heads, n):
+        heaps[room[s]].append((0.0, s))  # rising, so a heap
+    for r in {room[s] for s in range(heads, n)}:
+        update(r)
     cuts = []
     for k, d, at in left:
-        aside = []
-        while heap:
-            c, s = heapq.heappop(heap)
-            if room[s] >= k:
-                out[s].append((d, at, k))
-                room[s] -= k
-                if room[s]:
-                    heapq.heappush(heap, (c + cost(k), s))
-                break
-            aside.append((c, s))
-            if len(aside) >= 64:  # the cheapest 64 are full for this length: it is cut below, into what room is left
-                cuts.append((k, d, at))
-                break
-        else:
+        i, found = k + leaves, none  # the cheapest of room k or more
+        if k <= max_tokens:
+            found = tree[i]
+            while i > 1:
+                if not i & 1:
+                    found = min(found, tree[i + 1])
+                i >>= 1
+        if found[1] == n:
             cuts.append((k, d, at))
-        for x in aside:
-            heapq.heappush(heap, x)
+            continue
+        c, s = found
+        heapq.heappop(heaps[room[s]])
+        update(room[s])
+        out[s].append((d, at, k))
+        room[s] -= k
+        if room[s]:
+            heapq.heappush(heaps[room[s]], (c + cost(k), s))
+            update(room[s])
     open_ = [s for s in range(heads, n) if room[s]]
     for k, d, at in cuts:
         while k:

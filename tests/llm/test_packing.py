@@ -60,3 +60,12 @@ def test_documents_round_trip(spark):
         assert at & (at - 1) == 0 and at <= 2048  # no padding at all
     assert sum(r.length for r in rows) == sum(len(enc.encode([t or ""])[0]) // 4 + 1 for _, t in docs)
     assert pack_documents(df.limit(0), PATH).count() == 0
+
+
+def test_room_beyond_many_cheaper_sequences():
+    from ratioscope.llm.packing import pack_lengths
+
+    lengths = [85, *[45] * 140, 12, *[1] * 703]  # 70 cheaper sequences have room for 10, only the dearest one for 12
+    out = pack_lengths(lengths, 100, 1.0, 1.0)
+    assert [(d, s, k) for seq in out for d, s, k in seq if d == 141] == [(141, 0, 12)]
+    assert len(out) == 71 and all(sum(k for *_, k in seq) == 100 for seq in out)
