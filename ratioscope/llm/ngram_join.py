@@ -5,6 +5,7 @@ prefix, by a hashed corpus-wide count, ties by hash) into inverted lists; two cl
 
 * Index level: lists are cut into blocks by set size, of which only the same and the next one can match, and an entry
   carries its position in its set's order, which bounds the overlap still possible, so entries are skipped by position.
+* Pair level: of the lists that two classes share, one lets the pair out.
 * Answer level: in each block of a list one class leads.  A class is first verified against the leader it meets most; when
   they link, it takes over its leader's answers (they are one component).  Then only pairs of *different* components of one
   list are still open, and in those the members of the list's main component are never paired among themselves.
@@ -29,6 +30,7 @@ from ..scratch import Scratch
 from .words import U64, hash_words, mix, ngrams, pieces, split_run
 
 SKETCH = 8  # 64-bit words of the parity sketch
+FIRST = 16  # least n-grams of a class by which a pair is let out of one list only
 FINE, LARGE = 256, 1000  # of the finer one that sets of more than LARGE members have too
 
 
@@ -209,12 +211,17 @@ def jaccard_components(docs: DataFrame, *, n: int = 3, percent: int = 90, count_
     home = home.groupBy("cls").agg(F.min("comp").alias("comp"), F.max("comp").alias("other"))  # two sets of one key, if ever: keep both open
     homed = scratch.write(lists.join(home, "cls").select("token", "cls", "size", "pos", "block", F.when(F.col("comp") == F.col("other"), F.col("comp")).otherwise(-F.abs("cls") - 1).alias("comp")), "homed")
     main = homed.groupBy("token", "comp").agg(F.count("*").alias("k")).groupBy("token").agg(F.max(F.struct("k", "comp")).alias("m"), F.count("*").alias("comps")).where("comps > 1").select("token", F.col("m.comp").alias("main"))
-    open_ = homed.join(main, "token").join(by_key.select("cls", "sketch"), "cls")
-    x = open_.where("comp != main").select("token", F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)).alias("block"), F.col("cls").alias("a"), F.col("size").alias("na"), F.col("pos").alias("pa"), F.col("comp").alias("ca"), F.col("sketch").alias("sa"))
-    y = open_.select("token", "block", F.col("cls").alias("b"), F.col("size").alias("nb"), F.col("pos").alias("pb"), F.col("comp").alias("cb"), F.col("sketch").alias("sb"), (F.col("comp") == F.col("main")).alias("in_main"))
+    open_ = scratch.write(homed.join(main, "token"), "open")
+    # A pair comes out of the list of the least n-gram that both sides' FIRST least open ones hold: if they hold any, that is
+    # the least that the two share at all.  Pairs that share none of these come out of every list that they share.
+    least = open_.groupBy("cls").agg(F.slice(F.sort_array(F.collect_list("token")), 1, FIRST).alias("least"))
+    open_ = open_.join(by_key.select("cls", "sketch").join(least, "cls"), "cls")
+    x = open_.where("comp != main").select("token", F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)).alias("block"), F.col("cls").alias("a"), F.col("size").alias("na"), F.col("pos").alias("pa"), F.col("comp").alias("ca"), F.col("sketch").alias("sa"), F.col("least").alias("la"))
+    y = open_.select("token", "block", F.col("cls").alias("b"), F.col("size").alias("nb"), F.col("pos").alias("pb"), F.col("comp").alias("cb"), F.col("sketch").alias("sb"), F.col("least").alias("lb"), (F.col("comp") == F.col("main")).alias("in_main"))
     reach = F.least("pa", "pb") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
     fits = (F.col("ca") != F.col("cb")) & (F.col("in_main") | (F.col("a") < F.col("b"))) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & ((100 + percent) * reach >= percent * (F.col("na") + F.col("nb")))
-    pairs = x.join(y, ["token", "block"]).where(fits & may_link("na", "nb", "sa", "sb")).select("a", "b").distinct()
+    here = F.coalesce(F.array_min(F.array_intersect("la", "lb")) == F.col("token"), F.lit(True))
+    pairs = x.join(y, ["token", "block"]).where(fits & may_link("na", "nb", "sa", "sb") & here).select("a", "b").distinct()
     more = verified(pairs)
     comp = components(links.unionByName(more), scratch)
 
