@@ -1,7 +1,7 @@
 """Quality rules: base rules, then a calibrated logistic regression over hashed word and character n-grams.
 
 A feature is the share of a text's word 1- and 2-grams, or of its character 2-, 3- and 4-grams, that fall into a hash
-cell, so a text's score is a mean of weights and long texts need no stored vectors.  The model is fitted on the driver,
+cell, so a text's score is a mean of weights and long texts need no stored vectors.  The model is fitted in one task,
 on at most ``max_rows`` labelled texts (those of smallest id hash, as many of either class), with balanced classes; a
 fifth of these is held out and calibrates the score by Platt scaling.  Scoring and base rules run in Arrow batches over
 whole texts, in one pass and without a shuffle.
@@ -169,13 +169,15 @@ def train(idx: list[np.ndarray], val: list[np.ndarray], label: np.ndarray, *, l2
 def fit_quality(docs: DataFrame, labels: DataFrame, *, max_rows: int = 1_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> QualityModel:
     """Fit on at most ``max_rows`` labelled rows, half of either class if both have as many.
 
-    Null ids, labels and texts are left out; an id with both labels counts as low quality.  The broadcast side is bounded by ``max_rows``.
+    Null ids, labels and texts are left out; an id with both labels counts as low quality; of rows that repeat an id the
+    text of least hash is taken.  No labelled row, or one class only, gives a model that lets every text pass.  The broadcast
+    side is bounded by ``max_rows``, and so is the task that fits; the driver gets the weights.
     """
     lab = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
     lab = lab.groupBy("doc_id").agg(F.min("y").alias("y"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    some = [lab.where(F.col("y") == c).orderBy(*order).limit(max_rows // 2) for c in (0, 1)]
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
+    some = [lab.where(F.col("y") == c).orderBy(*order).limit(max_rows // 2) for c in (0, 1)]
     rows = texts.join(F.broadcast(some[0].unionByName(some[1])), "doc_id")
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,12 +185,20 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, max_rows: int = 1_000, id
             t = b.column(1).to_pylist()
             for s, e in pieces(t):
                 i, v = features(t[s:e])
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(s, e - s), b.column(2).slice(s, e - s), pa.array([x.astype(np.int32) for x in i], pa.list_(pa.int32())), pa.array([x.astype(np.float32) for x in v], pa.list_(pa.float32()))], names=["doc_id", "y", "i", "v"])
-
-    got = rows.select("doc_id", "text", "y").mapInArrow(go, "doc_id long, y int, i array<int>, v array<float>").toArrow()
-    got = got.take(np.argsort(mix(got["doc_id"].to_numpy().astype(U64)), kind="stable"))
-    idx, val = ([np.asarray(x.values) for x in got[c]] for c in "iv")
-    return train(idx, val, got["y"].to_numpy())
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(s, e - s), b.column(2).slice(s, e - s), b.column(3).slice(s, e - s), pa.array([x.astype("<i4").tobytes() for x in i], pa.binary()), pa.array([x.astype("<f4").tobytes() for x in v], pa.binary())], names=["doc_id", "y", "h", "i", "v"])
+
+    def fit(t: pa.Table) -> pa.Table:
+        t = t.take(np.argsort(mix(t["doc_id"].to_numpy().astype(U64)), kind="stable"))
+        idx, val = ([np.frombuffer(x.as_py(), kind) for x in t[c]] for c, kind in (("i", "<i4"), ("v", "<f4")))
+        m = train(idx, val, t["y"].to_numpy())
+        return pa.table({"weights": pa.array([None if m.weights is None else m.weights.astype("<f4").tobytes()], pa.binary()), "bias": [m.bias], "slope": [m.slope], "shift": [m.shift]})
+
+    got = rows.select("doc_id", "text", "y", F.xxhash64("text").alias("h")).mapInArrow(go, "doc_id long, y int, h long, i binary, v binary")
+    one = got.groupBy("doc_id").agg(F.min(F.struct("h", "y", "i", "v")).alias("x")).select("doc_id", "x.y", "x.i", "x.v")
+    model = one.groupBy(F.lit(0).alias("all")).applyInArrow(fit, "weights binary, bias double, slope double, shift double").first()
+    if model is None or model.weights is None:
+        return QualityModel(None)
+    return QualityModel(np.frombuffer(model.weights, "<f4"), model.bias, model.slope, model.shift)
 
 
 def measure(texts: list, model: QualityModel | None, *, window: int = 8, min_words: int = 20, max_repeat_percent: int = 30, threshold: float = 0.5) -> dict[str, np.ndarray]:
@@ -238,7 +248,7 @@ def apply_quality(docs: DataFrame, model: QualityModel, *, id_col: str = "doc_id
 
 
 def keep_quality(docs: DataFrame, model: QualityModel, *, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that the rules and the model keep, with all their columns."""
+    """The rows of ``docs`` that the rules and the model keep, with all their columns, whatever their names."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
@@ -249,4 +259,5 @@ def keep_quality(docs: DataFrame, model: QualityModel, *, text_col: str = "text"
                 kept = measure(t[s:e], shared.value, threshold=threshold)["kept"]
                 yield b.slice(s, e - s).filter(pa.array(kept))
 
-    return docs.mapInArrow(go, docs.schema)
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # mapInArrow can't resolve names with dots
+    return plain.mapInArrow(go, plain.schema).toDF(*docs.columns)
