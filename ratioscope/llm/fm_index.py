@@ -13,7 +13,7 @@ class Bits:
         pad = np.zeros((self.n // 64 + 1) * 64, np.uint8)
         pad[: self.n] = flags
         self.words = np.packbits(pad, bitorder="little").view(np.uint64)
-        self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(self.words), dtype=np.int64)])
+        self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(self.words), dtype=np.int64)]).astype(np.uint32 if self.n < 1 << 32 else np.int64)
 
     def rank(self, pos: np.ndarray) -> np.ndarray:
         """Ones before each position."""
@@ -75,14 +75,14 @@ class FMIndex:
     def __init__(self, text: np.ndarray, k: int):
         self.k, self.n = k, len(text)
         r = k_ranks(text, k)
-        self.rows = np.argsort(r, kind="stable")
+        self.rows = np.argsort(r, kind="stable").astype(np.int32 if self.n < 1 << 31 else np.int64)
         sigma = int(text.max()) + 1
         self.before = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=sigma))])[:-1]
         self.bwt = WaveletMatrix(text[self.rows - 1].astype(np.int64), sigma)
         new = np.ones(self.n, bool)
         new[1:] = np.diff(r[self.rows]) != 0
         self.group_start = np.flatnonzero(new)
-        self.group = np.cumsum(new, dtype=np.int64) - 1
+        self.group = (np.cumsum(new, dtype=np.int64) - 1).astype(self.rows.dtype)
 
     def extend(self, c: np.ndarray, lo: np.ndarray) -> np.ndarray:
         """Row bound of each pattern with a symbol put before it."""

@@ -21,9 +21,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .fm_index import FMIndex
-from .words import U64, hash_words, mix, ngrams, pieces, split_run, window_mask
+from .words import U64, carried, hash_words, mix, ngrams, pieces, split_run, window_mask
 
 _GOLD = U64(0x9E3779B97F4A7C15)
 SEGMENT_WINDOWS = 48
@@ -290,15 +291,17 @@ def remove_repeats(docs: DataFrame, *, window: int = 13, anchor: int = 4, bloom_
     A word goes if a window of ``window`` words covers it whose word sequence also starts in a document of smaller id;
     windows are judged on the input.  ``text`` is the input's text where nothing goes, else ``kept``.  Null and empty texts
     have no words; texts shorter than a window lose nothing; rows with a null id lose nothing and cover nothing; rows that
-    share an id do not cover each other.  Other columns are not read; an empty table gives no rows.
+    share an id do not cover each other.  Other columns are not read and may have any names; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.struct(*(c for c in docs.columns if c != text_col)).alias("row")).withColumn("rid", F.xxhash64("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *([carried(docs, text_col)] if carry else [])).withColumn("rid", F.xxhash64("text"))
     scan = rows.where("doc_id is not null and text is not null").select("doc_id", "rid", "text")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    slices = max(64, parts)
+    total, size = scan.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    # tasks grow in number with the texts, not in size
+    slices = max(64, parts, min(1 << 16, size >> 24))
     words = max(1, bloom_bits // 64 // slices)
-    hot_docs = max(1000, docs.count() // hot_share)
+    hot_docs = max(1000, total // hot_share)
     found = scan.mapInArrow(lambda it: _anchor_pass(it, window, anchor, slices), "slice int, keys binary, counts binary").groupBy("slice").applyInArrow(lambda t: _bloom_slice(t, words, hot_docs), "slice int, bits binary, hot binary")
     bloom = np.zeros((slices, words), U64)
     hot = [np.empty(0, U64)]
@@ -306,10 +309,10 @@ def remove_repeats(docs: DataFrame, *, window: int = 13, anchor: int = 4, bloom_
         bloom[s] = np.frombuffer(bits, "<u8")
         hot.append(np.frombuffer(h, "<u8"))
     known = spark.sparkContext.broadcast((bloom, np.concatenate(hot)))
-    shards = 2 * parts
+    shards = max(2 * parts, size >> 24)
     routed = scan.mapInArrow(lambda it: _route_pass(it, window, anchor, shards, known), "shard int, kind int, ids binary, rids binary, starts binary, sizes binary, words binary")
     spans = routed.groupBy("shard").applyInArrow(lambda t: _shard(t, window), "doc_id long, rid long, span long")
     spans = spans.groupBy("doc_id", "rid").agg(F.collect_list("span").alias("spans"))
     joined = rows.join(spans, ["doc_id", "rid"], "left").select("doc_id", "text", "spans", *(["row"] if carry else []))
-    schema = "doc_id long, n_words long, n_removed long, kept string, text string"
-    return joined.mapInArrow(_strip, schema + f", row {rows.schema['row'].dataType.simpleString()}" * carry)
+    schema = T.StructType([T.StructField(c, T.StringType() if c in ("kept", "text") else T.LongType()) for c in ("doc_id", "n_words", "n_removed", "kept", "text")])
+    return joined.mapInArrow(_strip, schema.add(rows.schema["row"]) if carry else schema)

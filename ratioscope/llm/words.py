@@ -11,6 +11,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 RUN_BYTES = 2 << 20
 U64 = np.uint64
@@ -18,6 +20,11 @@ _GOLD = U64(0x9E3779B97F4A7C15)
 _M1, _M2 = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
 
 
+def carried(docs: DataFrame, text_col: str) -> Column:
+    """The struct ``row`` of all columns but the text, whatever their names."""
+    return F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in docs.columns if c != text_col)).alias("row")
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """splitmix64 finalizer: every output bit depends on every input bit."""
     x = x.astype(U64, copy=True)
