@@ -13,6 +13,7 @@ texts in hand).  A retried task makes the same rows, as its input file split is
 from __future__ import annotations
 
 import heapq
+import json
 import zlib
 from collections.abc import Iterator
 from typing import Any
@@ -34,42 +35,32 @@ class WordCachedEncoder:
     """Ids of a byte-level BPE tokenizer of the ``tokenizers`` library, as little-endian uint32 bytes.
 
     Such a tokenizer never merges over the start of a blank-led word, so a text of words parted by single blanks or
-    newlines is the concatenation of its words' ids; a word is encoded once per worker.  Any other text is encoded whole.
-    Unseen words of Latin script are merged, many in one call, by tiktoken's core over the JSON file's own vocabulary;
-    the first ``probe`` words of each worker are encoded by both libraries, and if any differs tiktoken is not used.
+    newlines is the concatenation of its words' ids; a word is encoded once per worker.  Any other text, and one that holds
+    an added token, is encoded whole.  Unseen words of letters, with sentence marks behind them, go to the library's BPE
+    model itself, which spares its pre-tokenizer's work: a vocabulary without a token of a letter and a mark can't merge the two.
     """
 
-    LATIN = "\u024f"
+    MARKS = ",.;:!?"
 
-    def __init__(self, path: str, limit: int = 500_000, probe: int = 5_000):
+    def __init__(self, path: str, limit: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
-        self.limit, self.probe = limit, probe
+        self.limit = limit
         self.cache: dict[str, bytes] = {}
         self.newline = np.asarray(self.tok.encode("\n", add_special_tokens=False).ids, "<u4")
         assert len(self.newline) == 1
-        self.core = self._core(path)
-
-    @staticmethod
-    def _core(path: str):
-        import json
-
-        import tiktoken
-
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        if spec["model"]["type"] != "BPE" or (spec["pre_tokenizer"] or {}).get("type") != "ByteLevel":
-            return None
+        self.added = [t["content"] for t in spec["added_tokens"]]
+        before = spec["pre_tokenizer"] or {}
+        plain = spec["model"]["type"] == "BPE" and spec["normalizer"] is None and before.get("type") == "ByteLevel" and not before.get("add_prefix_space")
+        mixed = not plain or any(x.isascii() and x.isalpha() and y in self.MARKS for k in spec["model"]["vocab"] if k not in self.added for x, y in zip(k, k[1:]))
+        self.model = None if mixed else self.tok.model
         # the byte-level alphabet: printable bytes are themselves, the others follow from U+0100
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in set(shown)]
-        byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
-        added = {t["content"] for t in spec["added_tokens"]}
-        ranks = {bytes(byte[c] for c in k): i for k, i in spec["model"]["vocab"].items() if k not in added}
-        pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-        return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.alphabet = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -97,26 +88,29 @@ class WordCachedEncoder:
     def learn(self, todo: list[str]) -> None:
         if len(self.cache) + len(todo) > self.limit:
             self.cache.clear()
-        by_tok = lambda t: self.tok.encode(t, add_special_tokens=False).ids
-        latin = [u for u in todo if max(u) <= self.LATIN] if self.core else []
-        for units, encode in ((latin, self.core and self.core.encode_ordinary), ([u for u in todo if max(u) > self.LATIN] if self.core else todo, by_tok)):
-            if not units:
-                continue
-            plain = [u[1:] if u[0] in "\r\n" else " " + u for u in units]
-            got = self._joined(plain, encode)
-            if encode is not by_tok and self.probe > 0:
-                n = min(self.probe, len(plain))
-                self.probe -= n
-                if got is None or got[:n] != [self.whole(p) for p in plain[:n]]:
-                    self.core = None
-                    return self.learn(todo)
-            if got is None:
-                got = [self.whole(p) for p in plain]
-            lead = self.newline.tobytes()
-            self.cache.update((u, lead + x if u[0] == "\n" else x) for u, x in zip(units, got))
+        words, other = [], []
+        for u in todo:
+            plain = u[1:] if u[0] in "\r\n" else u
+            core = plain.rstrip(self.MARKS)
+            (words if self.model and core.isalpha() and (core[-1].isascii() or core == plain) else other).append(u)
+        lead = self.newline.tobytes()
+
+        def keep(u: str, ids: bytes) -> None:
+            self.cache[u] = lead + ids if u[0] == "\n" else ids
+
+        if words:
+            # one after another by newlines, so that the bytes of all are mapped at once
+            mapped = "\n".join(u[1:] if u[0] in "\r\n" else " " + u for u in words).encode("utf-8", "surrogatepass").decode("latin-1").translate(self.alphabet)
+            for u, m in zip(words, mapped.split(self.alphabet[10])):
+                keep(u, np.asarray([t.id for t in self.model.tokenize(m)], "<u4").tobytes())
+        if other:
+            plain = [u[1:] if u[0] in "\r\n" else " " + u for u in other]
+            got = self._joined(plain, lambda t: self.tok.encode(t, add_special_tokens=False).ids)
+            for u, ids in zip(other, got if got is not None else map(self.whole, plain)):
+                keep(u, ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [self.units(t) for t in texts]
+        split = [None if any(a in t for a in self.added) else self.units(t) for t in texts]
         get = self.cache.get
         found = [s and list(map(get, s)) for s in split]
         miss = {s[i] for s, f in zip(split, found) if s and None in f for i, v in enumerate(f) if v is None}
