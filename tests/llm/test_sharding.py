@@ -40,3 +40,10 @@ def test_propagation_over_a_general_graph(spark):
     got = dict(propagate(nodes, members, 4, Scratch(spark, "t"), slack=0.0).collect())
     cut = sum(len({got[i] for i in range(8 * k, 8 * k + 8)}) - 1 for k in range(8))
     assert len(got) == 80 and cut <= 8  # 24 before
+
+
+def test_layout_does_not_depend_on_partitions(spark):
+    docs = [(i, f"text {i % 90}" if i < 400 else "hot" if i < 700 else f"own {i}") for i in range(1000)] + [(5, "text 5"), (None, "hot")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    one, other = (sorted(map(str, shard_documents(df.repartition(n), shards=8, bucket_rows=60).collect())) for n in (3, 7))
+    assert one == other
