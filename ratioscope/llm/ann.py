@@ -5,8 +5,8 @@ priority queue over its nodes, nearest centroid first, and so ranks the leaves;
 the sample until calibrated recall reaches ``target_recall``.  Queries meet a leaf's rows in blocks of bounded size on both
 sides (a leaf may hold a third of all rows), each block gives its best k, and the best k of these are the result.
 
-Of rows with equal vectors only the k + 1 smallest ids can be among the k nearest of any query (one of them may be the
-query itself), so the others are dropped exactly, before any shuffle by leaf.
+Of rows with equal vectors only those of the k + 1 smallest ids can be among the k nearest of any query (one of them may be
+the query itself), and of rows that repeat an id only k, so the others are dropped exactly, before any shuffle by leaf.
 """
 
 from __future__ import annotations
@@ -159,8 +159,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = 5, id_col: str =
         return v.where("vec_id is not null and size(v) > 0 and not exists(v, x -> x is null or isnan(x) or abs(x) = double('inf'))").where(norm > 0)
 
     all_ = clean(vectors)
+    # the k + 1 smallest ids of a vector, and of a repeated id as many rows as can be returned
+    kept = all_.groupBy("v", "vec_id").agg(F.least(F.count("*"), F.lit(k)).alias("times"))
     order = Window.partitionBy("v").orderBy("vec_id")
-    kept = all_.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1).drop("n")
+    kept = kept.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1).select("vec_id", "v", F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int")))).drop("col")
     kept = scratch.write(kept, "rows")
     sample = kept.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).toPandas()
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")

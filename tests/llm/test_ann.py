@@ -48,3 +48,29 @@ def test_tree_assigns_every_row_and_ranks_all_leaves(vectors):
     leaf = tree.assign(vectors / np.linalg.norm(vectors, axis=1, keepdims=True))
     assert set(leaf) <= set(range(tree.n_leaves)) and tree.n_leaves > 10
     assert sorted(tree.best_bins(vectors[0] / np.linalg.norm(vectors[0]), 10**6)) == list(range(tree.n_leaves))
+
+
+def test_repeated_ids_do_not_hide_other_ids(spark):
+    rows = [(1, [1.0, 0.0])] * 8 + [(7, [1.0, 0.0]), (9, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = nearest(df, df.where("vec_id in (1, 7)"), k=2).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in out) == [(1, 1, 7, 1.0), (1, 2, 9, 0.0), (7, 1, 1, 1.0), (7, 2, 1, 1.0)]
+
+
+def test_recall_over_many_leaves(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(60, 24))
+    x = centres[rng.integers(0, 60, 6000)] + 0.5 * rng.normal(size=(6000, 24))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    out = nearest(df, df.where("vec_id % 50 = 0"), k=5, sample_rows=2000, leaf_rows=150).collect()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    true = {}
+    for q in range(0, 6000, 50):
+        s = u @ u[q]
+        s[q] = -9
+        true[q] = set(np.argsort(-s)[:5].tolist())
+    found = sum(r.vec_id in true[r.query_id] for r in out)
+    print("recall@5", found / 600)
+    assert len(out) == 600 and found / 600 >= 0.95
