@@ -19,6 +19,7 @@ import html
 import json
 import re
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from typing import Any
 
@@ -29,7 +30,9 @@ from pyspark.sql import functions as F
 from ..scratch import Scratch
 from .words import pieces
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|select|button|iframe|svg|object|canvas|title)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|[^<]+|<", re.S | re.I)
+#: Attributes hold a ``<`` in quotes only, so that unclosed tags end at the next one and the scan stays linear.
+_ATTRS = r"""(?:[^'"<>]++|"[^"]*+"|'[^']*+')*+"""
+TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|select|button|iframe|svg|object|canvas|title)\b{_ATTRS}>.*?(?:</\1\s*>|\Z)|<[!?][^<>]*+>|<(/?)([a-zA-Z][^\s/<>]*+)({_ATTRS})>|[^<]++|<", re.S | re.I)
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr nobr".split())
 VOID = frozenset("br hr img input link meta area base col embed source track param".split())
@@ -37,6 +40,10 @@ LEFT_OUT_TAGS = frozenset("head nav footer aside form menu dialog fieldset addre
 #: Words in class, id or role that mark parts which are not the article.
 LEFT_OUT_WORDS = frozenset("ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar side navigation navbar nav menu breadcrumb breadcrumbs footer header masthead topbar comment comments disqus reply replies cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login search related recommended share sharing social widget pagination pager toolbar tags complementary contentinfo form discussion respond".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+#: Tags nested deeper open no level of their own (their texts stay, and marked parts are still left out).
+DEEPEST = 100
+#: So many levels up an end tag that HTML implies is looked for.
+IMPLIED = 256
 FENCE = frozenset("article section div main body table ul ol dl td th li blockquote".split())
 
 # A node is [signature, children]; a text is a str.  A wrapper item is a dict: s (signature, "#" a text, "()" a group), c (items),
@@ -46,14 +53,23 @@ FENCE = frozenset("article section div main body table ul ol dl td th li blockqu
 def parse(page: str) -> list:
     """Tree of block tags and texts.  Inline tags vanish, a line break parts texts, unclosed tags end where HTML ends them."""
     root: list = ["", []]
-    stack, text = [root], []
+    stack: list[tuple[str, list, int]] = [("", root, 0)]  # tag, node, levels above that have a node
+    open_: dict[str, int] = {}
+    text: list[str] = []
 
     def flush() -> None:
         if text:
             t = " ".join(html.unescape("".join(text)).split())
             text.clear()
             if t:
-                stack[-1][1].append(t)
+                stack[-1][1][1].append(t)
+
+    def close(name: str) -> None:
+        while True:
+            top = stack.pop()[0]
+            open_[top] -= 1
+            if top == name:
+                return
 
     for m in TOKEN.finditer(page):
         tag = m.group(3)
@@ -66,24 +82,29 @@ def parse(page: str) -> list:
             continue
         flush()
         if m.group(2):
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0].partition(" ")[0] == tag:
-                    del stack[i:]
-                    break
+            if open_.get(tag):
+                close(tag)
         elif tag not in VOID:
-            ends = CLOSES.get(tag) or ({"p"} if tag not in INLINE else set())
-            for i in range(len(stack) - 1, 0, -1):
-                name = stack[i][0].partition(" ")[0]
-                if name in ends:
-                    del stack[i:]
-                    break
-                if name in FENCE:
-                    break
+            ends = CLOSES.get(tag, {"p"})
+            if any(open_.get(e) for e in ends):
+                for i in range(len(stack) - 1, max(0, len(stack) - 1 - IMPLIED), -1):
+                    name = stack[i][0]
+                    if name in ends:
+                        close(name)
+                        break
+                    if name in FENCE:
+                        break
             marks = sorted({w for v in NAMES.findall(m.group(4)) for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", v).lower()) if w})
             node: list = [" ".join([tag, *marks]), []]
-            stack[-1][1].append(node)
+            _, above, level = stack[-1]
+            if level >= DEEPEST and (level > DEEPEST or not marked(node[0])):
+                node = above
+            else:
+                above[1].append(node)
+                level += 1
             if not m.group(4).rstrip().endswith("/"):
-                stack.append(node)
+                stack.append((tag, node, level))
+                open_[tag] = open_.get(tag, 0) + 1
     flush()
     return root
 
@@ -144,24 +165,63 @@ def fold(items: list[dict], longest: int = 4) -> list[dict]:
     return items
 
 
+def _key(x: dict) -> tuple:
+    return (x["s"], *(y["s"] for y in x["c"])) if x["s"] == "()" else (x["s"],)
+
+
+def matches(a: list[tuple], b: list[tuple], most: int = 250_000) -> list[tuple[int, int]]:
+    """Places of a common subsequence: the longest one, or for more than ``most`` combinations the longest one that pairs the
+    n-th occurrence of a key with the n-th."""
+    lo, la, lb = 0, len(a), len(b)
+    while lo < la and lo < lb and a[lo] == b[lo]:
+        lo += 1
+    while la > lo and lb > lo and a[la - 1] == b[lb - 1]:
+        la, lb = la - 1, lb - 1
+    out = [(i, i) for i in range(lo)]
+    tail = [(la + i, lb + i) for i in range(len(a) - la)]
+    if (la - lo) * (lb - lo) <= most:
+        best = [[0] * (lb - lo + 1) for _ in range(la - lo + 1)]
+        for i in range(la - lo - 1, -1, -1):
+            row, below = best[i], best[i + 1]
+            for j in range(lb - lo - 1, -1, -1):
+                row[j] = below[j + 1] + 1 if a[lo + i] == b[lo + j] else max(below[j], row[j + 1])
+        i = j = 0
+        while i < la - lo and j < lb - lo:
+            if a[lo + i] == b[lo + j]:
+                out.append((lo + i, lo + j))
+                i, j = i + 1, j + 1
+            elif best[i + 1][j] >= best[i][j + 1]:
+                i += 1
+            else:
+                j += 1
+        return out + tail
+    where: dict[tuple, list[int]] = {}
+    for j in range(lb - 1, lo - 1, -1):
+        where.setdefault(b[j], []).append(j)
+    pairs = [(i, where[a[i]].pop()) for i in range(lo, la) if where.get(a[i])]
+    # the longest rising subsequence
+    ends: list[int] = []
+    at: list[int] = []
+    before: list[int] = []
+    for n, (_, j) in enumerate(pairs):
+        k = bisect_left(ends, j)
+        before.append(at[k - 1] if k else -1)
+        ends[k : k + 1], at[k : k + 1] = [j], [n]
+    n, middle = at[-1] if at else -1, []
+    while n >= 0:
+        middle.append(pairs[n])
+        n = before[n]
+    return out + middle[::-1] + tail
+
+
 def align(a: list[dict], b: list[dict], pages: int) -> list[dict]:
-    """Longest common subsequence of items merged; all others become optional."""
-    la, lb = len(a), len(b)
-    best = [[0] * (lb + 1) for _ in range(la + 1)]
-    for i in range(la - 1, -1, -1):
-        for j in range(lb - 1, -1, -1):
-            best[i][j] = max(best[i + 1][j], best[i][j + 1], best[i + 1][j + 1] + 1 if same(a[i], b[j]) else 0)
+    """Items of a common subsequence merged; all others become optional."""
     out, i, j = [], 0, 0
-    while i < la or j < lb:
-        if i < la and j < lb and same(a[i], b[j]) and best[i][j] == best[i + 1][j + 1] + 1:
-            out.append(merge(a[i], b[j], pages))
-            i, j = i + 1, j + 1
-        elif j == lb or (i < la and best[i][j] == best[i + 1][j]):
-            out.append(a[i] | {"opt": 1})
-            i += 1
-        else:
-            out.append(b[j] | {"opt": 1})
-            j += 1
+    for x, y in [*matches([_key(v) for v in a], [_key(v) for v in b]), (len(a), len(b))]:
+        out += [v | {"opt": 1} for v in (*a[i:x], *b[j:y])]
+        if x < len(a):
+            out.append(merge(a[x], b[y], pages))
+        i, j = x + 1, y + 1
     return out
 
 
@@ -239,15 +299,17 @@ def _named(node: list, tags: tuple[str, ...]) -> Iterator[list]:
 def _blocks(node: list, w: dict | None, const_pages: int) -> Iterator[str]:
     """Texts of a node read against its wrapper item; texts equal to a constant of the site are left out."""
     kids = _flat(w["c"]) if w else []
+    places: dict[str, list[int]] = {}
+    for i, kid in enumerate(kids):
+        places.setdefault(kid["s"], []).append(i)
     at = 0
     for x in node[1]:
         s = "#" if isinstance(x, str) else x[0]
-        # the next item of this signature, or the same again where it repeats
-        k = next((i for i in range(at, len(kids)) if kids[i]["s"] == s), None)
-        if k is None:
-            k = next((i for i in range(len(kids)) if kids[i]["s"] == s), None)
-        own = kids[k] if k is not None else None
-        at = k if k is not None else at
+        own, here = None, places.get(s)
+        if here:  # the next item of this signature, or the first again where it repeats
+            k = bisect_left(here, at)
+            at = here[k] if k < len(here) else here[0]
+            own = kids[at]
         if isinstance(x, str):
             if not (own and name(x) == own["t"] and own["n"] >= const_pages):
                 yield x

@@ -59,3 +59,23 @@ def test_rare_template_of_a_large_host(spark):
     rows = [(i, f"http://h.example/{i}", PAGE.format(f"word{i} more").replace("</article>", note if i % 33 == 5 else "</article>"), "x") for i in range(200)]
     got = {r.page_id: r.text for r in extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string, text string").repartition(3)).collect()}
     assert len(got) == 200 and all(t.endswith(f"Second word{i} more") for i, t in got.items())
+
+
+def test_deep_unclosed_and_very_long_pages():
+    import time
+
+    from ratioscope.llm.html_wrappers import matches
+
+    began = time.time()
+    deep = "<article>" + "<div>" * 100_000 + "<p>text inside</p><nav>menu <nav>more</nav></nav>" + "</div>" * 100_000 + "<p>after</p></article>"
+    assert extract(deep, infer([deep, deep.replace("inside", "other")])) == ["text inside", "after"]
+    assert extract("<article><p>kept</p></article>" + "<a " * 300_000, None) == ["kept"]
+    assert extract("<article><p>kept</p></article>" + "<! <p <b x='" * 100_000, None)[0] == "kept"
+    tags = ["h2", "p", "ul", "ol", "pre", "table", "blockquote"]
+    long_ = lambda seed: "<article>" + "".join(f"<{tags[(i * i * seed + i // 3) % 7]}>t{i}</{tags[(i * i * seed + i // 3) % 7]}>" for i in range(6000)) + "</article>"
+    got = extract(long_(3), infer([long_(1), long_(3)]))
+    assert got == [f"t{i}" for i in range(6000)]
+    assert matches(list("abcbdab"), list("bdcaba")) and len(matches(list("abcbdab"), list("bdcaba"))) == 4
+    near = matches([(i % 50,) for i in range(2000)], [(i % 50,) for i in range(3, 2003)])
+    assert len(near) > 1500 and near == sorted(near) and all(i % 50 == (j + 3) % 50 for i, j in near)
+    assert time.time() - began < 60
