@@ -10,10 +10,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def _one_machine(spark: SparkSession) -> bool:
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a local folder only where that is unset (tests, one machine)."""
+    """The cluster's ``spark.checkpoint.dir``; a local folder only where that is unset on a local master (tests, one machine)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not _one_machine(spark):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="ratioscope-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -27,14 +34,16 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self.count = 0
+        self.one_machine = _one_machine(spark)
         atexit.register(self._remove, self.root, True)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         self.count += 1
         path = f"{self.root}/{self.count:03d}-{name}"
         df.write.mode("overwrite").parquet(path)
-        gc.collect()  # Python's handles keep plans alive in the JVM
-        self.spark._jvm.System.gc()  # lets the driver's cleaner remove the shuffle files of finished plans
+        if not self.one_machine:
+            gc.collect()  # Python's handles keep plans alive in the JVM
+            self.spark._jvm.System.gc()  # lets the driver's cleaner remove the shuffle files of finished plans
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
