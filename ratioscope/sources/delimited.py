@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,7 +9,7 @@ from pyspark.sql import types as T
 from ..config.manifest import CSVLoader, InstrumentConfig
 from ..errors import IngestError
 from ..functions.time import epoch_us, parse_time
-from .paths import crawl, template_regex
+from .paths import crawl, path_field
 
 
 def read_delimited(spark: SparkSession, base: str, inst: InstrumentConfig) -> DataFrame:
@@ -45,12 +43,7 @@ def read_delimited(spark: SparkSession, base: str, inst: InstrumentConfig) -> Da
         raise IngestError(f"{paths[0]}: no time column {cfg.time.column!r} among {names}")
     out = raw.withColumn("time", parse_time(F.col(f"`{cfg.time.column}`"), cfg.time.format, cfg.time.timezone)).where("time is not null")
     for f in cfg.template_fields:
-        hit = F.lit(None).cast("string")
-        for t in reversed(cfg.path_templates):
-            if "{" + f + "}" in t:
-                order = list(dict.fromkeys(re.findall(r"\{([A-Za-z_]\w*)\}", t)))
-                hit = F.coalesce(F.nullif(F.regexp_extract("_path", re.sub(r"\(\?P<\w+>", "(", re.sub(r"\(\?P=(\w+)\)", lambda m, o=order: rf"\{o.index(m[1]) + 1}", template_regex(t))), order.index(f) + 1), F.lit("")), hit)
-        out = out.withColumn(f, F.lit(inst.metadata[f]) if f in inst.metadata else hit)
+        out = out.withColumn(f, path_field(F.col("_path"), cfg.path_templates, f, inst.metadata))
     return out.withColumn("us", epoch_us(F.col("time"))).drop("_path")
 
 

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from datetime import datetime
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from ..config.manifest import ICARTTLoader, InstrumentConfig
 from ..errors import IngestError
 from ..functions.time import from_us
-from .paths import crawl, latest_revisions
+from .paths import crawl, latest_revisions, path_field
 
 
 @dataclass
@@ -46,20 +47,14 @@ def parse_header(text: list[str]) -> Header:
 
 
 def parse_file(text: str) -> pd.DataFrame:
-    """us and a column a variable.  Missing marks are null; rows that aren't numbers of the right count are passed over."""
+    """us and a column a variable.  Missing marks and cells that aren't numbers are null; rows cut short or without a time are passed over."""
     rows = text.splitlines()
     h = parse_header(rows)
     start = int((h.date - datetime(1970, 1, 1)).total_seconds() * 1_000_000)
-    data = []
-    for line in rows[h.lines :]:
-        cells = line.split(",")
-        if len(cells) < len(h.names):
-            continue
-        try:
-            data.append([float(c) for c in cells[: len(h.names)]])
-        except ValueError:
-            continue
-    df = pd.DataFrame(data, columns=h.names, dtype=float)
+    n = len(h.names)
+    cells = [c[:n] for c in (line.split(",") for line in rows[h.lines :]) if len(c) >= n]
+    df = pd.DataFrame({k: pd.to_numeric(pd.Series([c[i].strip() for c in cells], dtype=object), errors="coerce").astype(float) for i, k in enumerate(h.names)})
+    df = df[np.isfinite(df[h.names[0]])].reset_index(drop=True)
     out = pd.DataFrame({"us": (df[h.names[0]] * 1e6).round().astype("int64") + start})
     for name, scale, missing in zip(h.names[1:], h.scale, h.missing):
         x = df[name]
@@ -68,7 +63,7 @@ def parse_file(text: str) -> pd.DataFrame:
 
 
 def read_icartt(spark: SparkSession, base: str, inst: InstrumentConfig) -> DataFrame:
-    """``time``, ``us`` and the instrument's raw columns (numbers) of its files, and ``file``; a column a file lacks is null.
+    """``time``, ``us`` and the instrument's raw columns (numbers) of its files, ``file``, and a column for each path field; a column a file lacks is null.
 
     A file that can't be parsed gives one row with its error in ``problem``; ``problem`` is null elsewhere.
     """
@@ -92,6 +87,8 @@ def read_icartt(spark: SparkSession, base: str, inst: InstrumentConfig) -> DataF
 
     schema = "file string, problem string, us bigint, " + ", ".join(f"`{c}` double" for c in wanted)
     raw = spark.read.format("binaryFile").load(files).select("path", "content").mapInPandas(go, schema)
+    for f in cfg.template_fields:
+        raw = raw.withColumn(f, path_field(F.col("file"), cfg.path_templates, f, inst.metadata))
     return raw.withColumn("time", from_us(F.col("us")))
 
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, SparkSession
+from pyspark.sql import functions as F
 
 from ..config.manifest import PLACEHOLDER
 
@@ -35,6 +36,19 @@ def template_glob(template: str) -> str:
     return re.sub(r"\*{2,}", "*", PLACEHOLDER.sub("*", re.sub(r"%[A-Za-z]", "*", template)))
 
 
+def path_field(path: Column, templates: tuple[str, ...], field: str, fixed: dict[str, str] | None = None) -> Column:
+    """A template field's value in a path, by the first template that has it and fits; ``fixed`` fields are what they are said to be."""
+    if fixed and field in fixed:
+        return F.lit(fixed[field])
+    hit = F.lit(None).cast("string")
+    for t in reversed(templates):
+        if "{" + field + "}" in t:
+            order = list(dict.fromkeys(PLACEHOLDER.findall(t)))
+            plain = re.sub(r"\(\?P=(\w+)\)", lambda m, o=order: rf"\{o.index(m[1]) + 1}", template_regex(t))
+            hit = F.coalesce(F.nullif(F.regexp_extract(path, re.sub(r"\(\?P<\w+>", "(", plain), order.index(field) + 1), F.lit("")), hit)
+    return hit
+
+
 def crawl(spark: SparkSession, base: str, templates: tuple[str, ...], fixed: dict[str, str] | None = None) -> list[tuple[str, dict[str, str]]]:
     """(path, fields) of all files of all templates, each once, in path order; the first template that fits names the fields.
 
