@@ -5,16 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..errors import ConfigError
+from .circular import circular_mean
 from .ordered import DAY, last_known, range_join
+from .propagate import random_of_mean, random_of_median, systematic_of_mean
 
-BIN_STATISTICS = {"mean": lambda x: F.avg(x), "median": lambda x: F.percentile(x, F.lit(0.5))}
+BIN_STATISTICS = {"mean": lambda x: F.avg(x), "median": lambda x: F.percentile(x, F.lit(0.5)), "circular": circular_mean}
 
 
-def interpolate(targets: DataFrame, source: DataFrame, keys: list[str], us: str, values: list[str], *, max_gap_us: int | None = None, clamp: bool = True, chunk_us: int = DAY) -> DataFrame:
+def interpolate(targets: DataFrame, source: DataFrame, keys: list[str], us: str, values: list[str], *, max_gap_us: int | None = None, clamp: bool = True, angles: tuple[str, ...] = (), chunk_us: int = DAY) -> DataFrame:
     """Targets with the source's ``values`` lerped onto their times.
 
     Outside the source's span the end value holds (``clamp``) or the result is null; with ``max_gap_us`` it is null where
     the source's samples about a target are further apart.  Source rows with a null among the values are passed over.
+    ``angles`` are values in degrees: they turn along the shorter arc and come out in [0, 360).
     """
     known = source.where(" and ".join(f"`{v}` is not null" for v in values)).select(*keys, us, F.struct(F.col(us).alias("t"), *values).alias("_s"))
     known = known.groupBy(*keys, us).agg(F.min("_s").alias("_s")).withColumn("_kind", F.lit(0))
@@ -29,11 +33,13 @@ def interpolate(targets: DataFrame, source: DataFrame, keys: list[str], us: str,
     gap = b["t"] - a["t"]
 
     def lerp(v: str) -> Column:
-        inner = F.when(gap == 0, a[v]).otherwise(a[v] + (b[v] - a[v]) * ((t - a["t"]) / F.nullif(gap, F.lit(0))))
+        step = F.pmod(b[v] - a[v] + 180.0, F.lit(360.0)) - 180.0 if v in angles else b[v] - a[v]
+        inner = F.when(gap == 0, a[v]).otherwise(a[v] + step * ((t - a["t"]) / F.nullif(gap, F.lit(0))))
         if max_gap_us is not None:
             inner = F.when(gap <= max_gap_us, inner)
         edge = F.coalesce(a[v], b[v]) if clamp else F.lit(None).cast("double")
-        return F.when(a.isNull() | b.isNull(), edge).otherwise(inner)
+        out = F.when(a.isNull() | b.isNull(), edge).otherwise(inner)
+        return F.pmod(out, F.lit(360.0)) if v in angles else out
 
     return at.select(*[c for c in targets.columns if c not in values], *(lerp(v).alias(v) for v in values))
 
@@ -50,10 +56,26 @@ def pair(fast: DataFrame, slow: DataFrame, keys: list[str], us: str, fast_value:
     return met.groupBy(*keys, "t", "y").agg(BIN_STATISTICS[statistic](F.col("_x")).alias("x"), F.count("_x").alias("n_native")).select(*keys, F.col("t").alias(us), "x", "y", "n_native")
 
 
-def output_grid(df: DataFrame, keys: list[str], us: str, value: str, step_us: int, start_us: int, end_us: int, *, statistic: str = "mean") -> DataFrame:
-    """Every cell of [start, end) for every key: cell_us, value (null where no sample is), n_native."""
+def check_grid(step_us: int, periods_us: dict[str, int]) -> None:
+    """Refuses a grid finer than the slowest stream (measured periods may jitter by a hundredth)."""
+    slow = [k for k, p in sorted(periods_us.items()) if step_us < p * 0.99]
+    if slow:
+        raise ConfigError(f"a grid of {step_us} us is finer than the sampling of {slow}")
+
+
+def output_grid(df: DataFrame, keys: list[str], us: str, value: str, step_us: int, start_us: int, end_us: int, *, statistic: str = "mean", sigma_rand: str | None = None, sigma_sys: str | None = None) -> DataFrame:
+    """Every cell of [start, end) for every key: cell_us, value (null where no sample is), n_native.
+
+    With names of sigma columns also each cell's propagated sigma under these names; it is null where a sample's is unknown.
+    Statistic ``circular`` averages degrees as vectors; no sigma is propagated through it.
+    """
     cell = (F.floor((F.col(us) - start_us) / F.lit(step_us)) * step_us + start_us).alias("cell_us")
-    binned = df.where((F.col(us) >= start_us) & (F.col(us) < end_us)).select(*keys, cell, value).groupBy(*keys, "cell_us").agg(BIN_STATISTICS[statistic](F.col(value)).alias(value), F.count(value).alias("n_native"))
+    of = {sigma_rand: random_of_median if statistic == "median" else random_of_mean, sigma_sys: systematic_of_mean}
+    of = {c: f for c, f in of.items() if c and statistic != "circular"}
+    own = {c: F.when(F.col(value).isNotNull(), F.col(c)) for c in of}
+    sigmas = [F.when(F.count(own[c]) == F.count(value), f(own[c])).alias(c) for c, f in of.items()]
+    inside = df.where((F.col(us) >= start_us) & (F.col(us) < end_us)).select(*keys, cell, value, *of)
+    binned = inside.groupBy(*keys, "cell_us").agg(BIN_STATISTICS[statistic](F.col(value)).alias("_v"), F.count(value).alias("n_native"), *sigmas).withColumnRenamed("_v", value)
     n = -(-(end_us - start_us) // step_us)
     cells = df.sparkSession.range(n).select((F.col("id") * step_us + start_us).alias("cell_us"))
     names = df.select(*keys).distinct()  # streams, a handful

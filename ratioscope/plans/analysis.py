@@ -11,14 +11,15 @@ from pyspark.sql import functions as F
 from ..config.analysis import AnalysisConfig, RunConfig
 from ..config.manifest import CSVLoader, DeclaredUncertainty, MobilePlatform, ReportedUncertainty
 from ..config.spec import micros, seconds
-from ..functions.scalar import declared_sigma, reported_sigma, source_label
+from ..functions.scalar import declared_sigma, floor_sigma, reported_sigma, source_label
 from ..functions.time import from_us
-from ..operators.align import interpolate, output_grid, pmf_matrix
+from ..operators.align import check_grid, interpolate, output_grid, pmf_matrix
 from ..operators.cluster import dbscan
+from ..operators.detect import nested_links
 from ..operators.masks import ingest_variable
 from ..operators.noise import ROLLING
 from ..operators.ordered import DAY, range_join
-from ..operators.regress import METHODS, birge, fit_events, method_sigma, ols, ratios
+from ..operators.regress import METHODS, birge, fit_events, method_sigma, ols, ratios, total_sigma
 from ..operators.smooth import butterworth
 from ..operators.sweep import detection_sweep
 from ..scratch import Scratch
@@ -27,7 +28,7 @@ from ..sources.icartt import read_icartt
 
 
 def ingest(spark: SparkSession, cfg: RunConfig, *, chunk_us: int = DAY) -> dict[str, DataFrame]:
-    """Native-rate streams by instrument: us, variables, and for each ``sigma_rand_*``, ``sigma_sys_*``, ``source_*``."""
+    """Native-rate streams by instrument: us, variables, for each ``sigma_rand_*``, ``sigma_sys_*``, ``source_*``, and path fields."""
     out = {}
     for name, inst in cfg.manifest.instruments.items():
         read = read_delimited if isinstance(inst.loader, CSVLoader) else read_icartt
@@ -43,7 +44,7 @@ def ingest(spark: SparkSession, cfg: RunConfig, *, chunk_us: int = DAY) -> dict[
                 sig[part] = (declared, reported)
             df = df.withColumn(f"sigma_rand_{v}", F.coalesce(*sig["random"])).withColumn(f"sigma_sys_{v}", F.coalesce(*sig["systematic"], F.lit(0.0))).withColumn(f"source_{v}", source_label(*sig["random"]))
             cols += [v, f"sigma_rand_{v}", f"sigma_sys_{v}", f"source_{v}"]
-        out[name] = df.select("stream", "us", "time", *cols)
+        out[name] = df.select("stream", "us", "time", *cols, *(f for f in inst.loader.template_fields if f not in {"stream", "us", "time", *cols}))
     return out
 
 
@@ -68,10 +69,13 @@ def long_form(streams: dict[str, DataFrame], species: dict[str, list[str]]) -> D
 
 
 def with_noise(long: DataFrame, cfg: AnalysisConfig, *, step: float | None = None, chunk_us: int = DAY) -> DataFrame:
-    """Known samples, whose random sigma is declared or reported, else the empirical one, labelled so."""
+    """Known samples, whose random sigma is declared or reported, else the empirical one, labelled so.
+
+    A reporting step's floor holds for all three.
+    """
     d = cfg.detection
     est = ROLLING[d.noise_estimator](long.where("value is not null"), ["stream"], "us", "value", micros(d.noise_window), name="_emp", step=step, chunk_us=chunk_us)
-    return est.withColumn("sigma_rand", F.coalesce("sigma_rand", "_emp")).drop("_emp")
+    return est.withColumn("sigma_rand", floor_sigma(F.coalesce("sigma_rand", "_emp"), step)).drop("_emp")
 
 
 def event_pairs(events: DataFrame, long: DataFrame, reference: str, periods_us: dict[str, int]) -> DataFrame:
@@ -107,14 +111,20 @@ class Analysis:
     closure: DataFrame
     grid: DataFrame | None = None
     pmf: DataFrame | None = None
+    links: DataFrame | None = None
+    clusters: DataFrame | None = None
+    met: DataFrame | None = None
 
 
 def analyse(long: DataFrame, cfg: AnalysisConfig, periods_us: dict[str, int], *, step: float | None = None, chunk_us: int = DAY, scale_sigma: dict[str, float] | None = None, scratch: Scratch | None = None, streams: dict[str, DataFrame] | None = None) -> Analysis:
     """Noise, baselines, events of the reference species, pairs, fits and their spread over the sweep; grid and matrix.
 
     Every smoothing cutoff is a cell of the sweep: ``smoothing_cutoff`` ("none" without smoothing) is a key of samples, events,
-    ratios, closure, grid and matrix.  ``periods_us``: each species' sampling period.  ``scale_sigma``: relative scale errors by species.
+    ratios, closure, grid and matrix.  Detection measures in each sample's own sigma, declared or reported before empirical.
+    ``links`` joins an event to the tightest event of the next longer baseline window that holds it.  Ratios have
+    sigma_method (spread over the sweep) and sigma_total.  ``periods_us``: each species' sampling period.  ``scale_sigma``: relative scale errors by species.
     """
+    check_grid(micros(cfg.output_grid.freq), periods_us)
     scratch = scratch or Scratch(long.sparkSession, "analysis")
     scale = scale_sigma or {}
     ref, d, b = cfg.regression.reference_species, cfg.detection, cfg.baseline
@@ -125,8 +135,10 @@ def analyse(long: DataFrame, cfg: AnalysisConfig, periods_us: dict[str, int], *,
         own, tag = samples, ""
         if cfg.smoothing.enabled:
             smooth = butterworth(samples, ["stream"], "us", "value", seconds(c), order=cfg.smoothing.order, chunk_us=chunk_us)
-            own, tag = scratch.write(smooth.withColumn("value", F.col("smooth")).drop("smooth"), "smoothed"), f"_c{c}"
-        ev = detection_sweep(own.where(F.col("stream") == ref).select("stream", "us", "value"), ["stream"], "us", "value", windows_us=[micros(w) for w in b.windows], quantiles=list(b.quantiles), enter=list(d.enter_sigma), leave=d.exit_sigma, noise=d.noise_estimator, noise_window_us=micros(d.noise_window), max_gap_us=micros(d.max_internal_gap), min_duration_us=micros(d.min_duration), min_valid_fraction=b.min_valid_fraction, step=step, chunk_us=chunk_us, scratch=scratch)
+            # what was measured from the raw values is measured again from the smooth ones
+            smooth = smooth.withColumn("value", F.col("smooth")).drop("smooth").withColumn("sigma_rand", F.when(F.col("source") != "empirical", F.col("sigma_rand")))
+            own, tag = scratch.write(with_noise(smooth, cfg, step=step, chunk_us=chunk_us), "smoothed"), f"_c{c}"
+        ev = detection_sweep(own.where(F.col("stream") == ref).select("stream", "us", "value", "sigma_rand"), ["stream"], "us", "value", windows_us=[micros(w) for w in b.windows], quantiles=list(b.quantiles), enter=list(d.enter_sigma), leave=d.exit_sigma, noise=d.noise_estimator, noise_window_us=micros(d.noise_window), max_gap_us=micros(d.max_internal_gap), min_duration_us=micros(d.min_duration), min_valid_fraction=b.min_valid_fraction, sigma="sigma_rand", chunk_us=chunk_us, scratch=scratch)
         ev = ev.withColumn("smoothing_cutoff", F.lit(c)).withColumn("event_id", F.format_string("%s_w%d_q%s_s%s%s_%05d", "stream", F.col("window_us"), F.col("quantile").cast("string"), F.col("enter_sigma").cast("string"), F.lit(tag), F.col("event_no")))
         ev = scratch.write(ev, "events")
         pairs = scratch.write(event_pairs(ev.select("event_id", "smoothing_cutoff", "window_us", "quantile", "enter_sigma", "start_us", "end_us"), own, ref, periods_us), "pairs")
@@ -144,7 +156,11 @@ def analyse(long: DataFrame, cfg: AnalysisConfig, periods_us: dict[str, int], *,
         out = r if out is None else out.unionByName(r)
     out = scratch.write(out, "ratios")
     cell = ["species", "method", "smoothing_cutoff", "window_us", "quantile", "enter_sigma"]
-    closure = birge(out, cell, "ratio", "sigma_fit").join(method_sigma(out.groupBy(*cell).agg(F.avg("ratio").alias("ratio")), ["species", "method"]), ["species", "method"])
+    spread = method_sigma(out.groupBy(*cell).agg(F.avg("ratio").alias("ratio")), ["species", "method"])
+    closure = birge(out, cell, "ratio", "sigma_fit").join(spread, ["species", "method"])
+    out = out.join(spread.drop("n_cells"), ["species", "method"], "left").withColumn("sigma_total", total_sigma(F.col("sigma_fit"), F.col("sigma_sys"), F.col("sigma_method")))
+    windows = F.array(*(F.lit(micros(w)).cast("long") for w in b.windows))
+    links = nested_links(ev.withColumn("level", F.array_position(windows, F.col("window_us")) - 1), ["stream", "smoothing_cutoff", "quantile", "enter_sigma"], "level")
     g = cfg.output_grid
     grid = pmf = None
     lo, hi = samples.agg(F.min("us"), F.max("us")).first()
@@ -152,9 +168,9 @@ def analyse(long: DataFrame, cfg: AnalysisConfig, periods_us: dict[str, int], *,
         step_us = micros(g.freq)
         start = _us(g.start) if g.start else lo - lo % step_us
         end = _us(g.end) if g.end else hi + 1
-        grid = output_grid(samples, ["smoothing_cutoff", "stream"], "us", "value", step_us, start, end, statistic=g.bin_statistic)
-        pmf = reduce(DataFrame.unionByName, [pmf_matrix(grid.where(F.col("smoothing_cutoff") == c), "stream", "value", sorted(periods_us)).withColumn("smoothing_cutoff", F.lit(c)) for c in cutoffs]).withColumn("time", from_us(F.col("cell_us")))
-    return Analysis(streams or {}, samples, ev, out, closure, grid, pmf)
+        grid = output_grid(samples, ["smoothing_cutoff", "stream"], "us", "value", step_us, start, end, statistic=g.bin_statistic, sigma_rand="sigma_rand", sigma_sys="sigma_sys")
+        pmf = reduce(DataFrame.unionByName, [pmf_matrix(grid.where(F.col("smoothing_cutoff") == c), "stream", "value", sorted(periods_us), {k: F.first(k) for k in ("sigma_rand", "sigma_sys")}).withColumn("smoothing_cutoff", F.lit(c)) for c in cutoffs]).withColumn("time", from_us(F.col("cell_us")))
+    return Analysis(streams or {}, samples, ev, out, closure, grid, pmf, links)
 
 
 def _us(t) -> int:
@@ -164,7 +180,11 @@ def _us(t) -> int:
 
 
 def run(spark: SparkSession, cfg: RunConfig, *, chunk_us: int = DAY) -> Analysis:
-    """Files to ratios, as a manifest and an analysis say."""
+    """Files to ratios, as a manifest and an analysis say.
+
+    Declared relative systematic errors are the axes' scale errors.  With clustering on, ``clusters`` places the reference's
+    events.  ``met`` is the output grid of met variables, circular ones averaged as vectors.
+    """
     scratch = Scratch(spark, "run")
     streams = {k: scratch.write(d, k) for k, d in place(ingest(spark, cfg, chunk_us=chunk_us), cfg, chunk_us=chunk_us).items()}
     species = {i: [v for v, c in inst.variables.items() if c.role == "gas"] for i, inst in cfg.manifest.instruments.items()}
@@ -175,7 +195,35 @@ def run(spark: SparkSession, cfg: RunConfig, *, chunk_us: int = DAY) -> Analysis
     for i, names in species.items():
         p = previous(streams[i].select("us"), [], "us", ["us"], "_p", chunk_us=chunk_us).agg(F.percentile(F.col("us") - F.col("_p.us"), F.lit(0.5))).first()[0]
         periods |= dict.fromkeys(names, int(p or 1))
-    return analyse(long_form(streams, species), cfg.analysis, periods, chunk_us=chunk_us, scratch=scratch, streams=streams)
+    scale = {}
+    for i, names in species.items():
+        for v in names:
+            u = cfg.manifest.instruments[i].variables[v].uncertainty
+            if u and isinstance(u.systematic, DeclaredUncertainty):
+                scale[v] = u.systematic.relative
+    out = analyse(long_form(streams, species), cfg.analysis, periods, chunk_us=chunk_us, scale_sigma=scale, scratch=scratch, streams=streams)
+    home = next((i for i, names in species.items() if cfg.analysis.regression.reference_species in names), None)
+    if cfg.analysis.clustering.enabled and home:
+        out.clusters = cluster_events(out.events, streams[home].select("us", "latitude", "longitude"), cfg.analysis, chunk_us=chunk_us)
+    out.met = _met_grid(streams, cfg, out.samples)
+    return out
+
+
+def _met_grid(streams: dict[str, DataFrame], cfg: RunConfig, samples: DataFrame) -> DataFrame | None:
+    """Met variables of all instruments on the output grid: stream, cell_us, value, n_native."""
+    met = [(i, v, c.circular) for i, inst in cfg.manifest.instruments.items() for v, c in inst.variables.items() if c.role == "met"]
+    lo, hi = samples.agg(F.min("us"), F.max("us")).first()
+    if not met or lo is None:
+        return None
+    g = cfg.analysis.output_grid
+    step = micros(g.freq)
+    start, end = _us(g.start) if g.start else lo - lo % step, _us(g.end) if g.end else hi + 1
+    grids = []
+    for circular in (False, True):
+        long = [streams[i].select(F.lit(v).alias("stream"), "us", F.col(v).alias("value")) for i, v, c in met if c == circular]
+        if long:
+            grids.append(output_grid(reduce(DataFrame.unionByName, long), ["stream"], "us", "value", step, start, end, statistic="circular" if circular else g.bin_statistic))
+    return reduce(DataFrame.unionByName, grids)
 
 
 def cluster_events(events: DataFrame, track: DataFrame, cfg: AnalysisConfig, *, chunk_us: int = DAY) -> DataFrame:
