@@ -246,6 +246,18 @@ def output_grid(spark, sf):
     return r6(_grid(spark, sf), "value")
 
 
+@query(_GRID.replace("avg(value) AS value,", "median(value) AS value, sqrt(sum(pow(0.5 + 0.02 * value, 2))) / count(value) * sqrt(pi() / 2) AS sigma_rand, avg(0.01 * value) AS sigma_sys,").replace("b.value, coalesce", "b.value, b.sigma_rand, b.sigma_sys, coalesce") + "SELECT stream, cell_us, round(value, 6) AS value, round(sigma_rand, 6) AS sigma_rand, round(sigma_sys, 6) AS sigma_sys, n_native FROM g")
+def output_grid_sigma(spark, sf):
+    ev = events(spark, sf).withColumn("sigma_rand", 0.5 + 0.02 * F.col("value")).withColumn("sigma_sys", 0.01 * F.col("value"))
+    return r6(align.output_grid(ev, KEYS, "us", "value", HOUR, _T0, _T1, statistic="median", sigma_rand="sigma_rand", sigma_sys="sigma_sys"), "value", "sigma_rand", "sigma_sys")
+
+
+@query(_GRID.replace("avg(value) AS value,", "fmod(degrees(atan2(avg(sin(radians(value * 3))), avg(cos(radians(value * 3))))) + 360, 360) AS value,") + "SELECT stream, cell_us, round(value, 4) AS value, n_native FROM g")
+def output_grid_circular(spark, sf):
+    ev = events(spark, sf).withColumn("value", F.col("value") * 3)
+    return align.output_grid(ev, KEYS, "us", "value", HOUR, _T0, _T1, statistic="circular").withColumn("value", F.round("value", 4))
+
+
 _STREAMS = ["click", "error", "purchase", "signup", "view"]
 
 
@@ -343,10 +355,20 @@ def space_time_neighbours(spark, sf):
     return cluster.neighbours(p, "event_id", "lat", "lon", "us", 500.0, 0.5).select("a", "b", F.round("distance_m", 4).alias("distance_m"))
 
 
-@query()
+_DIST = "sqrt(pow((a.lon - b.lon) * greatest(1.0, 111320 * cos(radians(a.lat))), 2) + pow((a.lat - b.lat) * 111320, 2) + pow((a.us - b.us) / 1e6 * 0.5, 2))"
+
+
+@query(f"""
+WITH RECURSIVE p AS MATERIALIZED ({_PLACE}), n AS MATERIALIZED (SELECT a.id AS a, b.id AS b, {_DIST} AS d FROM p a JOIN p b ON a.id < b.id AND abs(a.us - b.us) <= {600 * SECOND} AND abs(a.lat - b.lat) <= 0.003 WHERE {_DIST} <= 300),
+both_ways AS MATERIALIZED (SELECT a, b, d FROM n UNION ALL SELECT b, a, d FROM n), c AS MATERIALIZED (SELECT a AS id FROM both_ways GROUP BY a HAVING count(*) + 1 >= 3),
+link AS MATERIALIZED (SELECT a, b FROM both_ways WHERE a IN (SELECT id FROM c) AND b IN (SELECT id FROM c)), reach(id, root) AS (SELECT id, id FROM c UNION SELECT l.b, r.root FROM reach r JOIN link l ON l.a = r.id WHERE r.root < l.b),
+home AS (SELECT id, min(root) AS cluster FROM reach GROUP BY id), edge AS (SELECT a AS id, arg_min(cluster, row(d, b)) AS cluster FROM both_ways JOIN home ON home.id = b GROUP BY a)
+SELECT p.id AS event_id, coalesce(home.cluster, edge.cluster, -1) AS cluster, home.id IS NOT NULL AS core FROM p LEFT JOIN home USING (id) LEFT JOIN edge ON edge.id = p.id
+""")
 def space_time_clusters(spark, sf):
     p = events(spark, sf, "event_id", "user_id").select("event_id", (40 + (F.col("user_id") % 50) * 0.001).alias("lat"), (F.lit(-110.0) + F.col("value") * 0.0001).alias("lon"), "us")
-    return cluster.dbscan(p, "event_id", "lat", "lon", "us", eps_m=300.0, m_per_s=0.5, min_samples=3)
+    found = cluster.dbscan(p, "event_id", "lat", "lon", "us", eps_m=300.0, m_per_s=0.5, min_samples=3)
+    return found.withColumn("cluster", F.coalesce("cluster", F.lit(-1)))  # -1: noise
 
 
 @query(f"SELECT p.stream, count(*) AS n, round(sum(p.value), 4) AS total FROM $E p WHERE NOT EXISTS (SELECT 1 FROM $E o WHERE o.stream = 'error' AND o.value > 100 AND p.us >= o.us AND p.us < o.us + {HOUR}) GROUP BY p.stream")
@@ -357,20 +379,51 @@ def outage_delete(spark, sf):
     return kept.groupBy("stream").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
-@query()
+def _events_sql(name: str, window: int, q: float, enter: float) -> str:
+    """Chain of tables that ends with the events ``name``_e of one cell of a sweep; noise in a day about each sample, table ``noise``."""
+    z = scalar.quantile_offset(q)
+    w = f"(PARTITION BY stream ORDER BY us RANGE BETWEEN {window // 2 - 1} PRECEDING AND {window // 2} FOLLOWING)"
+    return f"""
+{name}_b AS (SELECT *, CASE WHEN count(value) OVER {w} >= 2 THEN value - quantile_cont(value, {q}) OVER {w} END - {z!r} * sigma AS delta FROM noise),
+{name}_t AS (SELECT *, coalesce(last_value(CASE WHEN delta > {enter} * sigma THEN 1 WHEN delta < 0.3 * sigma THEN 0 END IGNORE NULLS) OVER (PARTITION BY stream ORDER BY us ROWS UNBOUNDED PRECEDING), 0) AS st FROM {name}_b),
+{name}_i AS (SELECT *, sum(g) OVER (PARTITION BY stream ORDER BY us ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY stream ORDER BY us) > {HOUR} THEN 1 ELSE 0 END AS g FROM {name}_t WHERE st = 1)),
+{name}_r AS (SELECT stream, {window}::BIGINT AS window_us, {q}::DOUBLE AS quantile, {enter}::DOUBLE AS enter_sigma, min(us) AS start_us, arg_max(us, delta) AS peak_us, max(us) AS end_us, max(delta) AS amplitude, count(*) AS n FROM {name}_i GROUP BY stream, run HAVING max(us) - min(us) >= {60 * SECOND}),
+{name}_e AS (SELECT *, row_number() OVER (PARTITION BY stream ORDER BY start_us) - 1 AS event_no FROM {name}_r)"""
+
+
+_NOISE = f"WITH noise AS (SELECT *, 1.4826 * median(d) OVER (PARTITION BY stream ORDER BY us RANGE BETWEEN {12 * HOUR - 1} PRECEDING AND {12 * HOUR} FOLLOWING) / sqrt(2) AS sigma FROM ({_STEPS}))"
+_CELLS = [(f"c{i}", w, q, e) for i, (w, q, e) in enumerate((w, q, e) for w in (12 * HOUR, 24 * HOUR) for q in (0.05, 0.1) for e in (1.0, 2.0))]
+
+
+@query(
+    f"""
+{_NOISE},{_events_sql("s", 12 * HOUR, 0.05, 1.0)},{_events_sql("l", 48 * HOUR, 0.05, 1.0)}
+SELECT s.stream, 0::BIGINT AS child_level, s.event_no AS child_no, arg_min(l.event_no, row(l.end_us - l.start_us, l.event_no)) AS parent_no FROM s_e s JOIN l_e l ON l.stream = s.stream AND s.start_us >= l.start_us AND s.end_us <= l.end_us GROUP BY s.stream, s.event_no
+"""
+)
 def nested_links(spark, sf):
     from ..operators.sweep import detection_sweep
 
     ev = detection_sweep(events(spark, sf), KEYS, "us", "value", windows_us=[12 * HOUR, 48 * HOUR], quantiles=[0.05], enter=[1.0], leave=0.3, noise_window_us=24 * HOUR, max_gap_us=HOUR, min_duration_us=60 * SECOND, chunk_us=CHUNK)
     ev = Scratch(spark, "nested").write(ev.withColumn("level", F.when(F.col("window_us") == 12 * HOUR, 0).otherwise(1)), "events")
-    return detect.nested_links(ev, KEYS, "level")
+    return detect.nested_links(ev, KEYS, "level").withColumn("child_level", F.col("child_level").cast("long"))
 
 
-@query()
+@query(_NOISE + "".join("," + _events_sql(*c) for c in _CELLS) + " UNION ALL ".join(f" SELECT stream, window_us, quantile, enter_sigma, start_us, peak_us, end_us, round(amplitude, 6) AS amplitude, n, event_no FROM {c[0]}_e" for c in _CELLS))
 def detection_sweep(spark, sf):
     from ..operators.sweep import detection_sweep as sweep
 
-    return sweep(events(spark, sf), KEYS, "us", "value", windows_us=[12 * HOUR, 24 * HOUR], quantiles=[0.05, 0.1], enter=[1.0, 2.0], leave=0.3, noise_window_us=24 * HOUR, max_gap_us=HOUR, min_duration_us=60 * SECOND, chunk_us=CHUNK)
+    out = sweep(events(spark, sf), KEYS, "us", "value", windows_us=[12 * HOUR, 24 * HOUR], quantiles=[0.05, 0.1], enter=[1.0, 2.0], leave=0.3, noise_window_us=24 * HOUR, max_gap_us=HOUR, min_duration_us=60 * SECOND, chunk_us=CHUNK)
+    return r6(out, "amplitude")
+
+
+@query(_CATALOG.split("SELECT stream || ")[0].replace("1.6448536269514722 * sigma", "1.6448536269514722 * s").replace("1.4826 * median(d) OVER (PARTITION BY stream) / sqrt(2) AS sigma", "0.5 + 0.05 * value AS s, 0.5 + 0.05 * value AS sigma") + "SELECT stream, start_us, peak_us, end_us, round(amplitude, 6) AS amplitude, n FROM e")
+def declared_detection(spark, sf):
+    from ..operators.sweep import detection_sweep as sweep
+
+    ev = events(spark, sf).withColumn("s", 0.5 + 0.05 * F.col("value"))
+    out = sweep(ev, KEYS, "us", "value", windows_us=[12 * HOUR], quantiles=[0.05], enter=[1.0], leave=0.3, sigma="s", noise_window_us=24 * HOUR, max_gap_us=HOUR, min_duration_us=60 * SECOND, chunk_us=CHUNK)
+    return r6(out, "amplitude").select("stream", "start_us", "peak_us", "end_us", "amplitude", "n")
 
 
 @query()
@@ -380,11 +433,22 @@ def butterworth_smooth(spark, sf):
     return butterworth(events(spark, sf, "event_id"), KEYS, "us", "value", 6 * 3600.0, chunk_us=CHUNK)
 
 
-@query()
+_FOUND = _CATALOG.split("SELECT stream || ")[0]
+
+
+def _truth(spark, sf) -> DataFrame:
+    return events(spark, sf, "event_id").where("value > 100").select("stream", F.col("event_id").cast("string").alias("event_id"), (F.col("us") - HOUR).alias("start_us"), (F.col("us") + HOUR).alias("end_us"))
+
+
+@query(_FOUND + f"SELECT t.event_id::VARCHAR AS event_id, count(e.start_us) > 0 AS hit, count(e.start_us) AS n_found, coalesce(sum(CASE WHEN e.start_us IS NOT NULL THEN least(e.end_us, t.us + {HOUR}) - greatest(e.start_us, t.us - {HOUR}) END), 0)::BIGINT AS overlap_us FROM $E t LEFT JOIN e ON e.stream = t.stream AND e.start_us <= t.us + {HOUR} AND t.us - {HOUR} <= e.end_us WHERE t.value > 100 GROUP BY t.event_id")
 def detection_score(spark, sf):
-    found = _detected(spark, sf)
-    truth = events(spark, sf, "event_id").where("value > 100").select("stream", F.col("event_id").cast("string").alias("event_id"), F.col("us").alias("start_us"), F.col("us").alias("end_us"))
-    return detect.score(found, truth, KEYS, bucket_us=24 * HOUR)
+    return detect.score(_detected(spark, sf), _truth(spark, sf), KEYS, bucket_us=24 * HOUR)
+
+
+@query(_FOUND + f"SELECT e.stream, e.start_us, e.end_us, e.n FROM e WHERE NOT EXISTS (SELECT 1 FROM $E t WHERE t.value > 100 AND e.stream = t.stream AND e.start_us <= t.us + {HOUR} AND t.us - {HOUR} <= e.end_us)")
+def false_alarms(spark, sf):
+    out = detect.false_alarms(_detected(spark, sf), _truth(spark, sf), KEYS, bucket_us=24 * HOUR)
+    return out.select("stream", "start_us", "end_us", "n")
 
 
 _ROLL = f"(PARTITION BY stream ORDER BY us RANGE BETWEEN {12 * HOUR - 1} PRECEDING AND {12 * HOUR} FOLLOWING)"
@@ -394,3 +458,92 @@ _ROLL = f"(PARTITION BY stream ORDER BY us RANGE BETWEEN {12 * HOUR - 1} PRECEDI
 def rolling_ratio(spark, sf):
     out = regress.rolling_ols(events(spark, sf, "event_id", "user_id"), KEYS, "us", "user_id", "value", 24 * HOUR, chunk_us=CHUNK)
     return out.select("stream", "event_id", F.round("slope", 6).alias("slope"), "n")
+
+
+@query(f"SELECT stream, round(min(CASE WHEN d > 0 THEN d END), 6) AS step FROM ({_STEPS}) GROUP BY stream")
+def reporting_step(spark, sf):
+    return r6(noise.resolution(events(spark, sf), KEYS, "us", "value", chunk_us=CHUNK), "step")
+
+
+@query(f"""
+WITH s AS (SELECT us, value AS y FROM $E WHERE stream = 'purchase'), f AS (SELECT us, value AS x FROM $E WHERE stream <> 'purchase')
+SELECT s.us, round(median(x), 6) AS x, round(y, 6) AS y, count(x) AS n_native FROM s JOIN f ON f.us >= s.us - {10 * 60 * SECOND} AND f.us < s.us + {10 * 60 * SECOND} GROUP BY s.us, y
+""")
+def pair_by_median(spark, sf):
+    ev = events(spark, sf)
+    out = align.pair(ev.where("stream != 'purchase'").select("us", "value"), ev.where("stream = 'purchase'").select("us", F.col("value").alias("v")), [], "us", "value", "v", 20 * 60 * SECOND, statistic="median")
+    return r6(out, "x", "y")
+
+
+_TURN = "(v1 - v0 + 180) - 360 * floor((v1 - v0 + 180) / 360) - 180"
+
+
+@query(f"""
+WITH t AS (SELECT event_id, us FROM $E WHERE stream = 'click'), s AS (SELECT us, value * 3 AS v FROM $E WHERE stream = 'view'),
+a AS (SELECT t.event_id, t.us, s.us AS u0, s.v AS v0 FROM t ASOF LEFT JOIN s ON t.us >= s.us), b AS (SELECT t.event_id, s.us AS u1, s.v AS v1 FROM t ASOF LEFT JOIN s ON t.us <= s.us),
+r AS (SELECT event_id, CASE WHEN u0 IS NULL THEN v1 WHEN u1 IS NULL OR u1 = u0 THEN v0 ELSE v0 + ({_TURN}) * ((us - u0) / (u1 - u0)) END AS x FROM a JOIN b USING (event_id))
+SELECT event_id, round(x - 360 * floor(x / 360), 6) AS angle FROM r
+""")
+def angle_interp(spark, sf):
+    ev = events(spark, sf, "event_id")
+    s = ev.where("stream = 'view'").select("us", (F.col("value") * 3).alias("angle"))
+    return r6(align.interpolate(ev.where("stream = 'click'").select("event_id", "us"), s, [], "us", ["angle"], angles=("angle",), chunk_us=CHUNK), "angle").select("event_id", "angle")
+
+
+_FITS = "SELECT l_suppkey, count(*) AS n, regr_slope(l_extendedprice, l_quantity) AS b, sqrt(greatest(0, regr_syy(l_extendedprice, l_quantity) - regr_slope(l_extendedprice, l_quantity) * regr_sxy(l_extendedprice, l_quantity)) / (count(*) - 2) / regr_sxx(l_extendedprice, l_quantity)) AS s FROM lineitem GROUP BY l_suppkey HAVING count(*) > 2"
+
+
+def _fits(spark, sf) -> DataFrame:
+    fits = regress.ols(spark.read.parquet(f"{sf}/lineitem.parquet"), ["l_suppkey"], "l_quantity", "l_extendedprice")
+    return regress.ratios(fits.where("n > 2"), min_points=20, confidence=0.9, scale_x=0.03, scale_y=0.04)
+
+
+@query(f"SELECT l_suppkey, n, n >= 20 AS enough, round(b, 4) AS ratio, round(sqrt(s * s + b * b * 0.0025), 4) AS sigma, round(b - 1.6448536269514722 * sqrt(s * s + b * b * 0.0025), 3) AS low, round(b + 1.6448536269514722 * sqrt(s * s + b * b * 0.0025), 3) AS high FROM (SELECT l_suppkey, n, CASE WHEN n >= 20 THEN b END AS b, s FROM ({_FITS}))")
+def ratio_bounds(spark, sf):
+    return _fits(spark, sf).select("l_suppkey", "n", "enough", F.round("ratio", 4).alias("ratio"), F.round("sigma", 4).alias("sigma"), F.round("low", 3).alias("low"), F.round("high", 3).alias("high"))
+
+
+@query(f"WITH f AS (SELECT l_suppkey, CASE WHEN n >= 20 THEN b END AS b, CASE WHEN n >= 20 THEN s END AS s FROM ({_FITS})) SELECT l_suppkey, round(sqrt(s * s + b * b * 0.0025 + pow(m, 2)), 4) AS sigma_total FROM f CROSS JOIN (SELECT stddev_samp(b) AS m FROM f)")
+def ratio_total_sigma(spark, sf):
+    f = _fits(spark, sf).withColumn("_all", F.lit(1))
+    both = f.join(regress.method_sigma(f, ["_all"]), "_all")
+    return both.select("l_suppkey", F.round(regress.total_sigma(F.col("sigma_fit"), F.col("sigma_sys"), F.col("sigma_method")), 4).alias("sigma_total"))
+
+
+@query(ORACLES["birge_ratio"].replace("SELECT g AS o_orderpriority", "SELECT o_orderpriority, round(birge, 6) AS birge, row_number() OVER (ORDER BY abs(birge - 1), o_orderpriority) AS closure_rank FROM (SELECT g AS o_orderpriority").replace("round(sqrt(sum(pow(b - mean, 2) / (e * e)) / nullif(count(*) - 1, 0)), 6)", "sqrt(sum(pow(b - mean, 2) / (e * e)) / nullif(count(*) - 1, 0))") + ") WHERE birge IS NOT NULL")
+def closing_cells(spark, sf):
+    l = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_quantity", "l_extendedprice")
+    o = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderpriority", F.date_trunc("month", "o_orderdate").alias("m"))
+    fits = regress.ols(l.join(o, "l_orderkey"), ["o_orderpriority", "m"], "l_quantity", "l_extendedprice")
+    ranked = regress.closing_cells(regress.birge(fits, ["o_orderpriority"]), [])
+    return ranked.select("o_orderpriority", F.round("birge", 6).alias("birge"), F.col("closure_rank").cast("long").alias("closure_rank"))
+
+
+# the distance that ODR makes least is York's for a straight line without correlation
+@query(_york_sql(30).replace("l_returnflag", "l_suppkey").split("SELECT g AS l_suppkey")[0] + "SELECT g AS l_suppkey, round(any_value(b), 5) AS slope, round(any_value(ym - b * xm), 4) AS intercept, count(*) AS n FROM e GROUP BY g")
+def odr_ratio(spark, sf):
+    l = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_suppkey", (F.col("l_quantity") + 20 * F.col("l_discount")).alias("x"), (0.5 * F.col("l_quantity") + 20 * F.col("l_tax")).alias("y"), (0.5 + 0.02 * F.col("l_quantity")).alias("sx"), (0.4 + 0.01 * F.col("l_quantity")).alias("sy"))
+    f = regress.fit_events(l, ["l_suppkey"], regress.METHODS["odr"])
+    return f.select("l_suppkey", F.round("slope", 5).alias("slope"), F.round("intercept", 4).alias("intercept"), "n")
+
+
+@query("SELECT event_id, round(abs((value - 60) * 0.4), 6) AS sigma, CASE WHEN value > 60 THEN 'declared' WHEN value IS NOT NULL THEN 'reported' ELSE 'empirical' END AS source, value IS NULL OR isnan(value) AS missing FROM events")
+def reported_sigma(spark, sf):
+    v = F.col("value")
+    df = spark.read.parquet(f"{sf}/events.parquet").withColumn("s", scalar.reported_sigma(v - 60, 0.4))
+    return df.select("event_id", F.round("s", 6).alias("sigma"), scalar.source_label(F.when(v > 60, v), F.col("s")).alias("source"), scalar.missing(v).alias("missing"))
+
+
+@query("SELECT event_id, epoch_us(date_trunc('second', ts)) AS us, round(epoch_us(ts) / 1e6, 6) AS s, epoch_us(date_trunc('second', ts)) - 19800000000 AS of_kolkata FROM events")
+def time_parse(spark, sf):
+    text = F.date_format("ts", "dd.MM.yyyy HH:mm:ss")
+    df = spark.read.parquet(f"{sf}/events.parquet")
+    return df.select("event_id", time.epoch_us(time.parse_time(text, "%d.%m.%Y %H:%M:%S")).alias("us"), F.round(time.epoch_s(F.col("ts")), 6).alias("s"), time.epoch_us(time.parse_time(text, "%d.%m.%Y %H:%M:%S", "Asia/Kolkata")).alias("of_kolkata"))
+
+
+@query("SELECT event_id, round(CASE WHEN abs(value - 60) <= 80 THEN exp(-pow((value - 60) / 20, 2) / 2) ELSE 0 END, 9) AS shape, least(90, greatest(-90, value)) = value AS on_earth FROM events")
+def plume_kernel(spark, sf):
+    from ..functions.shapes import Kernel
+
+    df = spark.read.parquet(f"{sf}/events.parquet")
+    return df.select("event_id", F.round(Kernel.build(20.0).column(F.col("value") - 60), 9).alias("shape"), (geodesy.clamp_latitude(F.col("value")) == F.col("value")).alias("on_earth"))
