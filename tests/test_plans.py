@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_module
 from ratioscope.config import AnalysisConfig
+from ratioscope.errors import ConfigError
 from ratioscope.plans import queries as plans
 from ratioscope.plans.analysis import analyse
 from ratioscope.streaming import online
@@ -25,7 +26,7 @@ def test_library_does_not_import_llm():
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
-@pytest.mark.parametrize("name", ["baseline_enhancement", "plume_catalog", "rolling_noise", "aux_interp", "pmf_matrix", "ols_ratio"])
+@pytest.mark.parametrize("name", ["baseline_enhancement", "plume_catalog", "rolling_noise", "aux_interp", "pmf_matrix", "ols_ratio", "declared_detection", "nested_links", "space_time_clusters", "detection_score", "output_grid_sigma", "output_grid_circular", "angle_interp", "odr_ratio"])
 def test_queries_equal_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     c = duckdb.connect()
@@ -52,6 +53,15 @@ def test_analysis_recovers_a_ratio(spark):
     assert {x.method for x in r} == {"ols", "york", "odr"} and all(abs(x.m - 0.05) < 0.002 for x in r)
     assert a.closure.where("birge > 0").count() == 6 and a.pmf.count() == n // 10
     assert set(a.samples.select("source").distinct().toPandas().source) == {"declared"}
+    assert a.links.where("child_level = 0").count() > 0
+    cell = a.grid.where("stream = 'ch4'").first()
+    assert abs(cell.sigma_rand - 0.6 / 10**0.5) < 1e-12 and cell.sigma_sys == 0 and "ch4_sigma_rand" in a.pmf.columns
+    assert a.ratios.where("ratio is not null and sigma_total < sigma").count() == 0
+    # a declared sigma decides what is an event: far above the plumes, there is none
+    none = analyse(long.withColumn("sigma_rand", F.lit(60.0)), cfg, {"ch4": S, "c2h6": S}, chunk_us=700 * S)
+    assert none.events.count() == 0
+    with pytest.raises(ConfigError):
+        analyse(long, cfg, {"ch4": S, "c2h6": 20 * S}, chunk_us=700 * S)
 
 
 def test_streams_equal_batch(spark, tmp_path):
