@@ -32,6 +32,7 @@ from .words import U64, hash_words, mix, ngrams, pieces, split_run
 SKETCH = 8  # 64-bit words of the parity sketch
 FIRST = 16  # least n-grams of a class by which a pair is let out of one list only
 FINE, LARGE = 256, 1000  # of the finer one that sets of more than LARGE members have too
+MARKS = 18  # 2**MARKS numbers of 64 bits mark, by hash, the documents whose texts are read again
 
 
 def shingle_sets(texts: list, n: int) -> Iterator[np.ndarray]:
@@ -138,6 +139,19 @@ def _set_pass(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBa
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["k1", "k2", "items"])
 
 
+def _mark(doc_id: str) -> tuple[Column, Column]:
+    """The number that marks a document, and its bit there."""
+    return F.shiftrightunsigned(F.xxhash64(doc_id), 64 - MARKS), F.expr(f"shiftleft(1L, cast(xxhash64({doc_id}) & 63 as int))")
+
+
+def marked(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows whose doc_id is in ``ids``, and a few others: before any shuffle, by a table of at most 2**MARKS numbers, whatever
+    the size of ``ids``.  The more ids, the more others; none that is in ``ids`` is left out."""
+    at, bit = _mark("doc_id")
+    marks = ids.groupBy(at.alias("at")).agg(F.bit_or(bit).alias("bits"))
+    return rows.join(F.broadcast(marks), (at == F.col("at")) & (F.col("bits").bitwiseAND(bit) != 0), "left_semi")
+
+
 def jaccard_components(docs: DataFrame, *, n: int = 3, percent: int = 90, count_bits: int = 20, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """One row an input row: doc_id, n_shingles, component_id.
 
@@ -189,15 +203,15 @@ def jaccard_components(docs: DataFrame, *, n: int = 3, percent: int = 90, count_
         near = scratch.write(large.where(F.col("fa").isNull() | F.col("fb").isNull() | (split <= F.col("na") + F.col("nb") - 2 * need)).select("a", "b"), "near")
         # only sets of pairs that are still possible travel
         keys = near.select(F.col("a").alias("k1")).union(near.select(F.col("b").alias("k1"))).distinct()
-        reps = classes.join(keys, "k1", "left_semi").select(F.col("rep").alias("doc_id")).distinct()
-        found = rows.join(reps, "doc_id", "left_semi").select("text").mapInArrow(lambda it: _set_pass(it, n), "k1 long, k2 long, items array<long>")
+        reps = scratch.write(classes.join(keys, "k1", "left_semi").select(F.col("rep").alias("doc_id")).distinct(), "reps")
+        found = marked(rows, reps).join(reps, "doc_id", "left_semi").select("text").mapInArrow(lambda it: _set_pass(it, n), "k1 long, k2 long, items array<long>")
         sets = scratch.write(found, "sets")
         sa, sb = (sets.select(F.col("k1").alias(c), F.col("k2").alias(f"{c}2"), F.col("items").alias(f"i{c}")) for c in "ab")
         both = F.size(F.array_intersect("ia", "ib")).cast("long")
         sure = near.join(sa, "a").join(sb, "b").where(100 * both >= percent * (F.size("ia") + F.size("ib") - both)).select("a", "a2", "b", "b2")
         ra, rb = (classes.select(F.col("k1").alias(c), F.col("k2").alias(f"{c}2"), F.col("rep").alias(f"r{c}")) for c in "ab")
         out = scratch.write(sure.join(ra, ["a", "a2"]).join(rb, ["b", "b2"]).select(F.col("ra").alias("a"), F.col("rb").alias("b")), "links")
-        scratch.drop(near, sets)
+        scratch.drop(near, reps, sets)
         return out
 
     lead = lists.groupBy("token", "block").agg(F.min("cls").alias("b"), F.max("cls").alias("most")).where("b != most").drop("most")
