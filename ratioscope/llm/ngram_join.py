@@ -178,11 +178,12 @@ def jaccard_components(docs: DataFrame, *, n: int = 3, percent: int = 90, count_
 
     classes = scratch.write(info.where("doc_id is not null and n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("sketch").alias("sketch"), F.min("fine").alias("fine")), "classes")
 
-    entries = rows.where("doc_id is not null").select("text").mapInArrow(lambda it: _prefix_pass(it, n, count_bits, shared, percent), "token long, cls long, size int, pos int")
-    met = entries.groupBy("token").agg(F.min("cls").alias("c0"), F.max("cls").alias("c1")).where("c0 != c1").select("token")
+    entries = rows.where("doc_id is not null").select("text").mapInArrow(lambda it: _prefix_pass(it, n, count_bits, shared, percent), "token long, cls long, size int, pos int").where("token is not null and size is not null and pos is not null").repartition("token")
+    # reads all columns, so that it and the join below share one shuffle, and one pass over the texts
+    met = entries.groupBy("token").agg(F.min("cls").alias("c0"), F.max("cls").alias("c1"), F.min("size").alias("s0"), F.min("pos").alias("p0")).where("c0 != c1")
     # sets of one block differ in size by at most the factor at which they can still link
     block = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int") if percent < 100 else F.col("size")
-    lists = scratch.write(entries.join(met, "token", "left_semi").withColumn("block", block), "lists")
+    lists = scratch.write(entries.join(met, "token").where("size >= s0 and pos >= p0").select("token", "cls", "size", "pos", block.alias("block")), "lists")
     shared.destroy()
 
     by_key = classes.select(F.col("k1").alias("cls"), "n", "sketch")
