@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from ratioscope.llm.ngram_join import jaccard_components, prefix_length, shingle_sets
+from ratioscope.llm.ngram_join import jaccard_components, prefix_length, shingle_sets, marked
 
 
 def brute(docs, n=3, percent=90):
@@ -81,3 +81,13 @@ def test_prefix_always_meets():
         need = -(-90 * size // 100)
         assert prefix_length(size, 90) == size - need + 1
     assert [len(x) for x in shingle_sets(["a b", "A B", None], 3)] == [1, 1, 0]
+
+
+def test_marked_rows_hold_every_wanted_one_and_few_others(spark):
+    rows = spark.range(-5_000, 15_000).selectExpr("id as doc_id", "'t' as text").unionByName(spark.sql("select cast(null as long) as doc_id, 't' as text"))
+    ids = spark.range(-5_000, 15_000, 37).selectExpr("id as doc_id")
+    want = {r.doc_id for r in ids.collect()}
+    got = [r.doc_id for r in marked(rows, ids).collect()]
+    assert want <= set(got)
+    assert len(got) <= len(want) + 50
+    assert marked(rows, ids.limit(0)).count() == 0
