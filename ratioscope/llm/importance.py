@@ -91,11 +91,10 @@ def bucket_counts(scanned: DataFrame, buckets: int) -> DataFrame:
 
 def bucket_gains(corpus: DataFrame, target: DataFrame, buckets: int) -> DataFrame:
     """bucket, gain in thousandths, of the buckets that the corpus has; ``buckets`` rows at most."""
-    total = lambda df, name: df.agg(F.coalesce(F.sum("count"), F.lit(0)).cast("double").alias(name))
+    all_s, all_t = (F.lit(float(df.agg(F.sum("count")).first()[0] or 0)) for df in (corpus, target))
     both = corpus.withColumnRenamed("count", "s").join(target.withColumnRenamed("count", "t"), "bucket", "left")
-    both = both.join(F.broadcast(total(corpus, "all_s"))).join(F.broadcast(total(target, "all_t")))  # one row each
     s, t = F.col("s").cast("double"), F.coalesce(F.col("t").cast("double"), F.lit(0.0))
-    share = (t + 1) * (F.col("all_s") + buckets) / ((s + 1) * (F.col("all_t") + buckets))
+    share = (t + 1) * (all_s + buckets) / ((s + 1) * (all_t + buckets))
     return both.select("bucket", F.floor(1000 * F.log(share)).cast("long").alias("gain"))
 
 
@@ -140,8 +139,9 @@ def resample(docs: DataFrame, target: DataFrame, *, n: int = 1, buckets: int = 1
     text = F.col(text_col).cast("string").alias("text")
     scanned = scratch.write(bucketed(docs.select(F.col(id_col).cast("long").alias("doc_id"), text), n, buckets), "buckets")
     goal = bucketed(target.select(F.lit(None).cast("long").alias("doc_id"), text), n, buckets)
+    counts = [scratch.write(bucket_counts(df, buckets), name) for df, name in ((scanned, "corpus"), (goal, "target"))]
     gains = [0] * buckets
-    for r in bucket_gains(bucket_counts(scanned, buckets), bucket_counts(goal, buckets), buckets).collect():
+    for r in bucket_gains(*counts, buckets).collect():
         gains[r.bucket] = r.gain
     h = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), F.col("doc_id").cast("string")), 256), 1, 8), 16, 10).cast("double")
     noise = F.floor(-1000 * F.log(-F.log((h + 0.5) / 4294967296.0))).cast("long")

@@ -190,6 +190,20 @@ SELECT f.doc_id, n_features, weight, score, CASE WHEN r.rank <= 10 * n // 100 TH
 """
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .periodic import periodic_runs, with_periodic_tails
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", with_periodic_tails(F.col("doc_id"), F.col("text")).alias("text"))
+    out = periodic_runs(docs, min_length=12).withColumn("n_runs", F.size("runs").cast("long"))
+    top = F.array_max(F.transform("runs", lambda r: F.struct(r.length.alias("length"), (-r.start).alias("start"), (-r.period).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r.start.cast("string"), r.length.cast("string"), r.period.cast("string")))
+    out = out.withColumn("top", F.when(F.col("n_runs") > 0, top)).withColumn("period", -F.col("top.period"))
+    return out.select(
+        "doc_id", "n_runs", (-F.col("top.start")).alias("start"), F.col("top.length").alias("length"), "period", F.expr("1000 * top.length div period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nearest_neighbours": op1_nearest_neighbours,
     "op2_url_filter": op2_url_filter,
@@ -202,5 +216,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_line_dedup": op9_line_dedup,
     "op10_quality_rules": op10_quality_rules,
     "op11_importance_resampling": op11_importance_resampling,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 ORACLES: dict[str, str] = {"op2_url_filter": OP2_SQL, "op6_ngram_jaccard": OP6_SQL, "op8_substring_dedup": OP8_SQL, "op11_importance_resampling": OP11_SQL}
