@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .words import pieces, split_run
@@ -214,12 +214,16 @@ def periodic_runs(docs: DataFrame, *, min_length: int = 12, id_col: str = "doc_i
     return rows.mapInArrow(go, "doc_id long, n_words long, runs array<struct<start:long,length:long,period:long>>, collapsed string")
 
 
-def with_periodic_tails(doc_id: Column, text: Column) -> Column:
-    """A tenth of the texts, told by the id's CRC-32, with a tail that repeats its own first words; other texts as they are."""
-    h = F.crc32(doc_id.cast("string").cast("binary"))
-    words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
-    n, g = F.size(words).cast("long"), F.floor(h / 10)
-    a = g % n
-    p = 1 + F.floor((n - a) / (3 + g % 8))
-    tail = F.transform(F.sequence(F.lit(0).cast("long"), n - a - 1), lambda i: F.element_at(words, (a + i % p + 1).cast("int")))
-    return F.when((h % 10 == 0) & text.rlike(WORD), F.array_join(F.concat(F.slice(words, F.lit(1), a.cast("int")), tail), " ")).otherwise(text)
+def with_periodic_tails(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text: a tenth of the texts, told by the id's CRC-32, get a tail that repeats its own first words."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("_h", F.crc32(F.col("doc_id").cast("string").cast("binary")))
+    # words are a column of their own: they are found once a row, and only where they are used
+    rows = rows.withColumn("_words", F.when((F.col("_h") % 10 == 0) & F.col("text").rlike(WORD), F.regexp_extract_all("text", F.lit(WORD), F.lit(0))))
+    n, g = F.size("_words").cast("long"), F.floor(F.col("_h") / 10)
+    rows = rows.withColumn("_n", n).withColumn("_a", g % n).withColumn("_p", 1 + F.floor((F.col("_n") - F.col("_a")) / (3 + g % 8)))
+    at = lambda c: c.cast("int")
+    rest = F.col("_n") - F.col("_a")
+    root = F.slice("_words", at(F.col("_a") + 1), at(F.col("_p")))
+    tail = F.slice(F.flatten(F.array_repeat(root, at(F.ceil(rest / F.col("_p"))))), F.lit(1), at(rest))
+    new = F.array_join(F.concat(F.slice("_words", F.lit(1), at(F.col("_a"))), tail), " ")
+    return rows.select("doc_id", F.when(F.col("_words").isNotNull(), new).otherwise(F.col("text")).alias("text"))

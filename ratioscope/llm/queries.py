@@ -190,10 +190,20 @@ SELECT f.doc_id, n_features, weight, score, CASE WHEN r.rank <= 10 * n // 100 TH
 """
 
 
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import KINDS, find_personal, fit_tagger
+
+    docs = table(spark, sf_dir, "documents")
+    out = find_personal(docs, fit_tagger(docs))
+    said = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x.kind, x.start.cast("string"), x.end.cast("string"))), ",")
+    count = lambda k: F.size(F.filter("base", lambda x: x.kind == k)).cast("long").alias(f"n_{k}")
+    return out.select("doc_id", *map(count, KINDS), F.sha2(said("base"), 256).alias("base_sha256"), said("spans").alias("spans"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .periodic import periodic_runs, with_periodic_tails
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", with_periodic_tails(F.col("doc_id"), F.col("text")).alias("text"))
+    docs = with_periodic_tails(table(spark, sf_dir, "documents"))
     out = periodic_runs(docs, min_length=12).withColumn("n_runs", F.size("runs").cast("long"))
     top = F.array_max(F.transform("runs", lambda r: F.struct(r.length.alias("length"), (-r.start).alias("start"), (-r.period).alias("period"))))
     lines = F.transform("runs", lambda r: F.concat_ws(",", r.start.cast("string"), r.length.cast("string"), r.period.cast("string")))
@@ -216,6 +226,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_line_dedup": op9_line_dedup,
     "op10_quality_rules": op10_quality_rules,
     "op11_importance_resampling": op11_importance_resampling,
+    "op12_personal_data": op12_personal_data,
     "op13_periodic_runs": op13_periodic_runs,
 }
 ORACLES: dict[str, str] = {"op2_url_filter": OP2_SQL, "op6_ngram_jaccard": OP6_SQL, "op8_substring_dedup": OP8_SQL, "op11_importance_resampling": OP11_SQL}

@@ -5,7 +5,6 @@ import zlib
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from ratioscope.llm.periodic import maximal_runs, periodic_runs, with_periodic_tails
 from ratioscope.llm.queries import op13_periodic_runs
@@ -94,5 +93,5 @@ def test_nulls_long_texts_and_empty_tables(spark):
     assert out[1].runs == [] and out[1].collapsed == "" and out[1].n_words == 0
     assert [tuple(x) for x in out[2].runs] == [(0, 60_000, 997)]
     assert periodic_runs(df.limit(0)).count() == 0
-    kept = df.select(with_periodic_tails(F.col("doc_id"), F.col("text")).alias("t"), "text").collect()
-    assert kept[0].t == kept[0].text and kept[1].t is None
+    kept = {r.doc_id: r.text for r in with_periodic_tails(df).collect()}
+    assert kept[None] == "a " * 30 and kept[1] is None
