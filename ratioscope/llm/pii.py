@@ -215,6 +215,8 @@ def tagged_spans(texts: list[str | None], model: Tagger) -> list[list[tuple[int,
                 s += 1
             while e > s and not texts[i][e - 1].isalnum():
                 e -= 1
+            if k == 0 and (m := _AT.search(texts[i], s, e)):  # a name is one word
+                s = max(s, *(texts[i].rfind(c, s, m.start()) + 1 for c in " \t\n\r"))
             if s < e and has_form(k, texts[i][s:e]):
                 out[i].append((k, s, e))
     return out
