@@ -110,7 +110,7 @@ def test_held_out_accuracy(windows):
 def test_query_equals_rules_and_adds(spark, windows, tmp_path):
     rng = random.Random(4)
     rows = [(i, " ".join(b + s + a for _, b, s, a in rng.sample(windows, rng.randint(0, 3)))) for i in range(400)]
-    rows += [(500, None), (501, ""), (None, "x a.1@b.c"), (7, "+49 30 1234567"), (7, "+49 30 1234567"), (502, "1" * 2_000 + " 1.2.3.4"), (503, "call (743) 555-3824 now, write to jo.12 [at] mail3 [dot] example [dot] com today")]
+    rows += [(500, None), (501, ""), (None, "x a.1@b.c"), (1007, "+49 30 1234567"), (1007, "+49 30 1234567"), (502, "1" * 2_000 + " 1.2.3.4"), (503, "call (743) 555-3824 now, write to jo.12 [at] mail3 [dot] example [dot] com today")]
     spark.createDataFrame([(i, t, "k") for i, t in rows], "doc_id long, text string, kind string").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
     got = op12_personal_data(spark, str(tmp_path)).collect()
     said = lambda spans: ",".join(f"{pii.KINDS[k]}:{s}:{e}" for k, s, e in spans)
