@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import MAD_SCALE, floor_sigma
+from ..scratch import Scratch
 from .ordered import DAY, previous, rolling
+from .select import quantiles
 
 _SQRT2 = 2**0.5
 
@@ -21,16 +23,19 @@ def abs_steps(df: DataFrame, keys: list[str], us: str, value: str, name: str, *,
 
 def diff_mad(df: DataFrame, keys: list[str], us: str, value: str, *, step: float | None = None, chunk_us: int = DAY) -> DataFrame:
     """sigma and n of each key: scaled median of absolute first differences; null with fewer than two values."""
-    d = abs_steps(df, keys, us, value, "_d", chunk_us=chunk_us)
-    sigma = F.percentile("_d", F.lit(0.5)) * F.lit(MAD_SCALE / _SQRT2)
-    return d.groupBy(*keys).agg(floor_sigma(sigma, step).alias("sigma"), F.count(value).alias("n"))
+    d = Scratch(df.sparkSession, "steps").write(abs_steps(df, keys, us, value, "_d", chunk_us=chunk_us).select(*keys, "_d", value), "steps")
+    mid = quantiles(d, keys, {"_m": (F.col("_d"), [0.5])})
+    n = d.groupBy(*keys).agg(F.count(value).alias("n"))
+    return n.join(mid, keys).select(*keys, floor_sigma(F.col("_m")[0] * F.lit(MAD_SCALE / _SQRT2), step).alias("sigma"), "n")
 
 
 def mad(df: DataFrame, keys: list[str], us: str, value: str, *, step: float | None = None, chunk_us: int = DAY) -> DataFrame:
     """sigma and n of each key: scaled median deviation from the median."""
-    m = df.groupBy(*keys).agg(F.percentile(value, F.lit(0.5)).alias("_m"))
-    d = df.join(m, keys).withColumn("_d", F.abs(F.col(value) - F.col("_m")))
-    return d.groupBy(*keys).agg(floor_sigma(F.percentile("_d", F.lit(0.5)) * F.lit(MAD_SCALE), step).alias("sigma"), F.count(value).alias("n"))
+    rows = Scratch(df.sparkSession, "values").write(df.select(*keys, value), "values")
+    mid = quantiles(rows, keys, {"_m": (F.col(value), [0.5])})
+    off = quantiles(rows.join(mid, keys), keys, {"_o": (F.abs(F.col(value) - F.col("_m")[0]), [0.5])})
+    n = rows.groupBy(*keys).agg(F.count(value).alias("n"))
+    return n.join(off, keys).select(*keys, floor_sigma(F.col("_o")[0] * F.lit(MAD_SCALE), step).alias("sigma"), "n")
 
 
 def rolling_diff_mad(df: DataFrame, keys: list[str], us: str, value: str, window_us: int, *, name: str = "sigma", step: float | None = None, chunk_us: int = DAY) -> DataFrame:

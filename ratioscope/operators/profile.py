@@ -13,6 +13,7 @@ from ..scratch import Scratch
 from .baseline import baseline_sweep
 from .noise import diff_mad
 from .ordered import DAY, islands, previous
+from .select import quantiles
 
 
 @dataclass
@@ -62,14 +63,16 @@ def profile(df: DataFrame, name: str, us: str, value: str, *, window_us: int = 1
     keys = [name]
     rows = scratch.write(df.select(name, us, known(F.col(value).cast("double")).alias("x")), "series")
     steps = previous(rows, keys, us, [us], "_p", chunk_us=chunk_us).select(name, (F.col(us) - F.col(f"_p.{us}")).alias("d"))
-    period = steps.groupBy(name).agg(F.coalesce(F.percentile("d", F.lit(0.5)), F.lit(0.0)).alias("period_us"))
+    period = quantiles(steps, keys, {"m": (F.col("d"), [0.5])}, scratch=scratch).select(name, F.coalesce(F.col("m")[0], F.lit(0.0)).alias("period_us"))
     base = baseline_sweep(rows.where("x is not null"), keys, us, "x", [window_us], [quantile], chunk_us=chunk_us)
     base = scratch.write(base.select(name, us, "x", "baseline", F.col("enhancement").alias("res")), "residual")
     if not base.where("baseline is not null").head(1):
         raise ProfilingError("no known values, or windows without two of them")
     noise = diff_mad(base, keys, us, "x", chunk_us=chunk_us).select(name, F.col("sigma").alias("noise_sigma"))
-    mid = base.groupBy(name).agg(F.percentile("res", F.lit(0.5)).alias("m"), F.percentile("baseline", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.count("x").alias("n_source_points"))
-    spread = base.join(mid, name).groupBy(name).agg((F.percentile(F.abs(F.col("res") - F.col("m")), F.lit(0.5)) * MAD_SCALE).alias("residual_sigma"))
+    mid = quantiles(base, keys, {"m": (F.col("res"), [0.5]), "q": (F.col("baseline"), [0.25, 0.5, 0.75])}, scratch=scratch).join(base.groupBy(name).agg(F.count("x").alias("n_source_points")), name)
+    mid = mid.withColumn("m", F.col("m")[0])
+    off = quantiles(base.join(mid.select(name, "m"), name), keys, {"o": (F.abs(F.col("res") - F.col("m")), [0.5])}, scratch=scratch)
+    spread = off.select(name, (F.col("o")[0] * MAD_SCALE).alias("residual_sigma"))
     rho = lag1(base, keys, us, "res", chunk_us=chunk_us)
     p = F.col("period_us") / 1e6
     stats = mid.join(spread, name).join(noise, name).join(rho, name).join(period, name).select(F.col(name).alias("name"), "residual_sigma", "noise_sigma", "lag1_autocorr", ar1_timescale(F.col("lag1_autocorr"), p).alias("decorrelation_timescale_s"), F.col("q")[1].alias("background_median"), (F.col("q")[2] - F.col("q")[0]).alias("background_iqr"), p.alias("sample_period_s"), "n_source_points")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geodesy, scalar, time
-from ..operators import align, circular, cluster, detect, masks, noise, ordered, profile, propagate, regress
+from ..operators import align, circular, cluster, detect, masks, noise, ordered, profile, propagate, regress, select
 from ..operators.baseline import baseline_sweep
 from ..scratch import Scratch
 
@@ -150,7 +150,8 @@ SELECT stream, round(rho, 6) AS lag1_autocorr, round(dt, 6) AS sample_period_s,
 def lag1_tau(spark, sf):
     ev = events(spark, sf)
     rho = profile.lag1(ev, KEYS, "us", "value", chunk_us=CHUNK)
-    dt = ordered.previous(ev, KEYS, "us", ["us"], "p", chunk_us=CHUNK).groupBy("stream").agg((F.percentile(F.col("us") - F.col("p.us"), F.lit(0.5)) / 1e6).alias("dt"))
+    steps = ordered.previous(ev, KEYS, "us", ["us"], "p", chunk_us=CHUNK).select("stream", (F.col("us") - F.col("p.us")).alias("d"))
+    dt = select.quantiles(steps, KEYS, {"m": (F.col("d"), [0.5])}).select("stream", (F.col("m")[0] / 1e6).alias("dt"))
     return rho.join(dt, "stream").select("stream", F.round("lag1_autocorr", 6).alias("lag1_autocorr"), F.round("dt", 6).alias("sample_period_s"), F.round(profile.ar1_timescale(F.col("lag1_autocorr"), F.col("dt")), 3).alias("tau_s"))
 
 
@@ -426,11 +427,45 @@ def declared_detection(spark, sf):
     return r6(out, "amplitude").select("stream", "start_us", "peak_us", "end_us", "amplitude", "n")
 
 
-@query()
+def _butterworth_sql(source: str, ident: str, hours: float) -> str:
+    """Fourth order: two sections, each forwards, then backwards, a sample a round of the recursion, all segments side by side."""
+    step = """
+SELECT stream, seg, j, x, g2 * u + q1 AS y, 2 * g1 * x - a1 * u + p2 AS p1, g1 * x - c1 * u AS p2, 2 * g2 * u - a2 * (g2 * u + q1) + q2 AS q1, g2 * u - c2 * (g2 * u + q1) AS q2
+FROM (SELECT r.stream, r.seg, e.j, e.x, p1, p2, q1, q2, k.*EXCLUDE (stream), g1 * e.x + p1 AS u FROM {r} r JOIN {t} e ON e.stream = r.stream AND e.seg = r.seg AND e.j = r.j {way} 1 JOIN k ON k.stream = r.stream)"""
+    return f"""
+WITH RECURSIVE s AS ({source}), d AS (SELECT *, us - lag(us) OVER (PARTITION BY stream ORDER BY us) AS dt FROM s WHERE value IS NOT NULL),
+per AS (SELECT stream, median(dt) AS p, tan(pi() / {hours * 3600} * median(dt) / 1e6) AS w FROM d GROUP BY stream),
+w AS (SELECT *, 1 + 2 * sin(pi() / 8) * w + w * w AS d1, 1 + 2 * sin(3 * pi() / 8) * w + w * w AS d2 FROM per),
+k AS (SELECT stream, p, w * w / d1 AS g1, w * w / d2 AS g2, 2 * (w * w - 1) / d1 AS a1, 2 * (w * w - 1) / d2 AS a2, (1 - 2 * sin(pi() / 8) * w + w * w) / d1 AS c1, (1 - 2 * sin(3 * pi() / 8) * w + w * w) / d2 AS c2, g1 AS b1, g2 AS b2 FROM w),
+g AS (SELECT d.*, sum(CASE WHEN dt > 1.5 * p THEN 1 ELSE 0 END) OVER (PARTITION BY stream ORDER BY us ROWS UNBOUNDED PRECEDING) AS seg FROM d JOIN per USING (stream)),
+n AS (SELECT *, row_number() OVER o - 1 AS i, count(*) OVER (PARTITION BY stream, seg) AS n, first_value(value) OVER o AS x0, last_value(value) OVER (PARTITION BY stream, seg ORDER BY us ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS xn FROM g WINDOW o AS (PARTITION BY stream, seg ORDER BY us)),
+a AS (SELECT n.*, least(n - 1, 15 * greatest(1, floor(1e6 / p * {hours * 3600} / 6)))::BIGINT AS pad FROM n JOIN per USING (stream) WHERE n >= 3 AND 2 * p / 1e6 / {hours * 3600} < 1),
+e AS MATERIALIZED (SELECT stream, seg, i + pad AS j, value AS x FROM a UNION ALL SELECT stream, seg, pad - i, 2 * x0 - value FROM a WHERE i BETWEEN 1 AND pad UNION ALL SELECT stream, seg, 2 * (n - 1) - i + pad, 2 * xn - value FROM a WHERE n - 1 - i BETWEEN 1 AND pad),
+f AS ({_at_rest("e", "e.j = 0")} UNION ALL {step.format(r="f", t="e", way="+")}),
+h AS MATERIALIZED (SELECT stream, seg, j, y AS x FROM f), top AS (SELECT stream, seg, max(j) AS j FROM h GROUP BY ALL),
+b AS ({_at_rest("h", "(h.stream, h.seg, h.j) IN (SELECT (stream, seg, j) FROM top)")} UNION ALL {step.format(r="b", t="h", way="-")})
+SELECT n.stream, n.{ident}, round(coalesce(b.y, n.value), 6) AS smooth FROM n LEFT JOIN a ON a.stream = n.stream AND a.seg = n.seg AND a.i = n.i LEFT JOIN b ON b.stream = n.stream AND b.seg = n.seg AND b.j = n.i + a.pad"""
+
+
+def _at_rest(table: str, where: str) -> str:
+    """First rows of the recursion: a constant signal x leaves z1 = x (1 - b) and z2 = x (b - c) in each section."""
+    return f"SELECT {table}.stream, {table}.seg, {table}.j, x, x AS y, (2 * b1 - a1 + b1 - c1) * x AS p1, (b1 - c1) * x AS p2, (2 * b2 - a2 + b2 - c2) * x AS q1, (b2 - c2) * x AS q2 FROM {table} JOIN k ON k.stream = {table}.stream WHERE {where}"
+
+
+@query(_butterworth_sql("SELECT * FROM $E", "event_id", 6.0))
 def butterworth_smooth(spark, sf):
     from ..operators.smooth import butterworth
 
-    return butterworth(events(spark, sf, "event_id"), KEYS, "us", "value", 6 * 3600.0, chunk_us=CHUNK)
+    return r6(butterworth(events(spark, sf, "event_id"), KEYS, "us", "value", 6 * 3600.0, chunk_us=CHUNK), "smooth").select("stream", "event_id", "smooth")
+
+
+@query(_butterworth_sql(f"SELECT stream, us // {2 * HOUR} * {2 * HOUR} AS us, avg(value) AS value FROM $E GROUP BY ALL", "us", 12.0))
+def butterworth_bins(spark, sf):
+    """Two-hourly means: long segments without gaps, cut into parts of 50 rows."""
+    from ..operators.smooth import butterworth
+
+    bins = events(spark, sf).groupBy("stream", (F.floor(F.col("us") / F.lit(2 * HOUR)) * (2 * HOUR)).alias("us")).agg(F.avg("value").alias("value"))
+    return r6(butterworth(bins, KEYS, "us", "value", 12 * 3600.0, chunk_us=CHUNK, part_rows=50), "smooth").select("stream", "us", "smooth")
 
 
 _FOUND = _CATALOG.split("SELECT stream || ")[0]
