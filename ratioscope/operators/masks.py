@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..config.manifest import FlagRule, RangeRule, SpikeRule, VariableConfig
 from ..config.spec import micros
 from ..functions.scalar import MAD_SCALE, convert, known
-from .ordered import DAY, rolling
+from .ordered import DAY
+from .windowed import rolling_order
 
 
 def range_mask(x: Column, low: float | None = None, high: float | None = None) -> Column:
@@ -36,14 +37,11 @@ def flag_mask(x: Column, flag: Column, good: tuple | None = None, bad: tuple | N
 def spike_mask(df: DataFrame, keys: list[str], us: str, value: str, window_us: int, n_mad: float = 6.0, *, name: str | None = None, chunk_us: int = DAY) -> DataFrame:
     """Masks values further from the rolling median than ``n_mad`` scaled median deviations of the same window."""
 
-    def go(s, roller) -> dict:
-        import numpy as np
+    def go(window, x: float) -> tuple:
+        m, d = window.mad()
+        return (bool(abs(x - m) > n_mad * MAD_SCALE * d),)  # an unknown value is no spike
 
-        med = roller.median()
-        mad = roller.apply(lambda x: np.nanmedian(np.abs(x - np.nanmedian(x))), raw=True)
-        return {"_spike": ((s - med).abs() > n_mad * MAD_SCALE * mad).to_numpy()}
-
-    out = rolling(df, keys, us, value, window_us, {"_spike": "boolean"}, go, chunk_us=chunk_us)
+    out = rolling_order(df, keys, us, value, window_us, {"_spike": "boolean"}, go, chunk_us=chunk_us)
     return out.withColumn(name or value, F.when(~F.col("_spike"), F.col(value))).drop("_spike")
 
 

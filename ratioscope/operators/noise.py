@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from ..functions.scalar import MAD_SCALE, floor_sigma
 from ..scratch import Scratch
 from .ordered import DAY, previous, rolling
 from .select import quantiles
+from .windowed import qn, rolling_order
 
 _SQRT2 = 2**0.5
 
@@ -47,22 +49,29 @@ def rolling_diff_mad(df: DataFrame, keys: list[str], us: str, value: str, window
 
 def rolling_mad(df: DataFrame, keys: list[str], us: str, value: str, window_us: int, *, name: str = "sigma", step: float | None = None, chunk_us: int = DAY) -> DataFrame:
     """``mad`` of a centred window at every sample."""
+    out = rolling_order(df, keys, us, value, window_us, {name: "double"}, lambda w, _: (MAD_SCALE * w.mad()[1],), chunk_us=max(chunk_us, window_us))
+    return out.withColumn(name, floor_sigma(F.nanvl(F.col(name), F.lit(None)), step))
 
-    def go(s, r) -> dict:
-        import numpy as np
-
-        return {name: r.apply(lambda x: MAD_SCALE * np.nanmedian(np.abs(x - np.nanmedian(x))), raw=True).to_numpy()}
 
-    out = rolling(df, keys, us, value, window_us, {name: "double"}, go, chunk_us=max(chunk_us, window_us))
+def rolling_qn(df: DataFrame, keys: list[str], us: str, value: str, window_us: int, *, name: str = "sigma", step: float | None = None, chunk_us: int = DAY) -> DataFrame:
+    """Qn of a centred window's values at every sample; null with fewer than two."""
+    out = rolling_order(df, keys, us, value, window_us, {name: "double"}, lambda w, _: (qn(np.array(w.values())),), chunk_us=max(chunk_us, window_us))
     return out.withColumn(name, floor_sigma(F.nanvl(F.col(name), F.lit(None)), step))
 
 
+def rolling_diff_qn(df: DataFrame, keys: list[str], us: str, value: str, window_us: int, *, name: str = "sigma", step: float | None = None, chunk_us: int = DAY) -> DataFrame:
+    """Qn of the signed first differences in a centred window, over the square root of 2, at every known sample."""
+    p = previous(df.where(F.col(value).isNotNull()), keys, us, [value], "_p", chunk_us=chunk_us)
+    out = rolling_qn(p.withColumn("_d", F.col(value) - F.col(f"_p.{value}")).drop("_p"), keys, us, "_d", window_us, name=name, chunk_us=chunk_us)
+    return out.withColumn(name, floor_sigma(F.col(name) / _SQRT2, step)).drop("_d")
+
+
 def resolution(df: DataFrame, keys: list[str], us: str, value: str, *, chunk_us: int = DAY) -> DataFrame:
     """Smallest step between neighbours that isn't 0: a guess at the reporting resolution (our choice; none is specified)."""
     d = abs_steps(df, keys, us, value, "_d", chunk_us=chunk_us)
     return d.groupBy(*keys).agg(F.min(F.when(F.col("_d") > 0, F.col("_d"))).alias("step"))
 
 
-#: Estimators by name, over all of a key's samples and over a window.
+#: Estimators by name, over all of a key's samples and over a window.  Qn is for windows: a key's pairs have no bound.
 ESTIMATORS: dict[str, Callable[..., DataFrame]] = {"diff_mad": diff_mad, "mad": mad}
-ROLLING: dict[str, Callable[..., DataFrame]] = {"diff_mad": rolling_diff_mad, "mad": rolling_mad}
+ROLLING: dict[str, Callable[..., DataFrame]] = {"diff_mad": rolling_diff_mad, "mad": rolling_mad, "diff_qn": rolling_diff_qn, "qn": rolling_qn}

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -74,11 +75,11 @@ def islands(df: DataFrame, keys: list[str], us: str, gap_us: int | Column, name:
     return out.drop("_prev")
 
 
-def rolling(df: DataFrame, keys: list[str], us: str, value: str, window_us: int, outputs: dict[str, str], fn: Callable[[pd.Series, object], dict], *, chunk_us: int = DAY) -> DataFrame:
-    """Centred windows (t - w/2, t + w/2] by pandas, on chunks with half a window of copied rows on either side.
+def over_chunks(df: DataFrame, keys: list[str], us: str, window_us: int, outputs: dict[str, str], fn: Callable[[np.ndarray, dict[str, np.ndarray], np.ndarray], dict], *, chunk_us: int = DAY) -> DataFrame:
+    """``df`` with ``outputs`` (name: SQL type), made chunk by chunk, each with half a window of copied rows on either side.
 
-    ``fn(series, roller)`` gets a chunk's values, indexed by time, and pandas' roller over them; it returns arrays of the
-    series' length for ``outputs`` (name: SQL type).  A task holds a chunk and its halo, not a stream.
+    ``fn(times, columns, own)`` gets a chunk's rows by time, copies among them, and the places of the chunk's own rows; it returns
+    arrays for these.  A task holds a chunk and its halo, not a stream.
     """
     half = window_us // 2
     t = F.col(us)
@@ -89,21 +90,30 @@ def rolling(df: DataFrame, keys: list[str], us: str, value: str, window_us: int,
 
     def go(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(us, kind="stable").reset_index(drop=True)
-        own = pdf["_own"] == pdf[CHUNK]
-        s = pd.Series(pdf[value].to_numpy(float), index=pd.to_datetime(pdf[us], unit="us"))
-        if own.any():
-            got = fn(s, s.rolling(pd.Timedelta(window_us, "us"), center=True, min_periods=1))
-        else:
-            got = {k: [] for k in outputs}
-            pdf = pdf.iloc[:0]
-        out = pdf[columns].copy()
+        own = np.flatnonzero((pdf["_own"] == pdf[CHUNK]).to_numpy())
+        out = pdf.iloc[own][columns].copy()
+        got = fn(pdf[us].to_numpy(), {c: pdf[c].to_numpy() for c in columns}, own) if len(own) else {k: [] for k in outputs}
         for k in outputs:
             out[k] = got[k]
-        return out[own.to_numpy()[: len(out)]]
+        return out
 
     return copies.groupBy(*keys, CHUNK).applyInPandas(go, schema)
 
 
+def rolling(df: DataFrame, keys: list[str], us: str, value: str, window_us: int, outputs: dict[str, str], fn: Callable[[pd.Series, object], dict], *, chunk_us: int = DAY) -> DataFrame:
+    """Centred windows (t - w/2, t + w/2] by pandas.
+
+    ``fn(series, roller)`` gets a chunk's values, indexed by time, and pandas' roller over them; it returns arrays of the
+    series' length for ``outputs``.
+    """
+
+    def go(t: np.ndarray, cols: dict[str, np.ndarray], own: np.ndarray) -> dict:
+        s = pd.Series(cols[value].astype(float), index=pd.to_datetime(t, unit="us"))
+        return {k: v[own] for k, v in fn(s, s.rolling(pd.Timedelta(window_us, "us"), center=True, min_periods=1)).items()}
+
+    return over_chunks(df, keys, us, window_us, outputs, go, chunk_us=chunk_us)
+
+
 def range_join(spans: DataFrame, points: DataFrame, lo: str, hi: str, us: str, bucket_us: int, *, on: list[str] | None = None, how: str = "inner", closed: bool = False) -> DataFrame:
     """Points in [lo, hi) (``closed``: [lo, hi]) of each span, as an equi-join on time buckets that a span covers.
 
