@@ -22,15 +22,16 @@ def in_event(df: DataFrame, keys: list[str], us: str, delta: Column, sigma: Colu
     return out.withColumn(name, F.coalesce(name, F.lit(0)))
 
 
-def events(df: DataFrame, keys: list[str], us: str, delta: str, state: str, *, max_gap_us: int, min_duration_us: int, chunk_us: int = DAY) -> DataFrame:
-    """One row an event: keys, event_no (from 0 by start), start_us, peak_us, end_us, amplitude, n.
+def events(df: DataFrame, keys: list[str], us: str, delta: str, state: str, *, max_gap_us: int, min_duration_us: int, sigma: str | None = None, chunk_us: int = DAY) -> DataFrame:
+    """One row an event: keys, event_no (from 0 by start), start_us, peak_us, end_us, amplitude, n, and with ``sigma``, the name of
+    a column, amplitude_sigma, which is its value at the peak.
 
     Runs of samples inside events whose neighbours are at most ``max_gap_us`` apart are one event, dips between them
     included; events shorter than ``min_duration_us`` are dropped.  Of equal peaks the first counts.
     """
     run = islands(df.where(F.col(state) == 1), keys, us, max_gap_us, "_run", chunk_us=chunk_us)
     top = F.struct(F.col(delta), -F.col(us))
-    out = run.groupBy(*keys, "_run").agg(F.min(us).alias("start_us"), F.max_by(us, top).alias("peak_us"), F.max(us).alias("end_us"), F.max(delta).alias("amplitude"), F.count("*").alias("n"))
+    out = run.groupBy(*keys, "_run").agg(F.min(us).alias("start_us"), F.max_by(us, top).alias("peak_us"), F.max(us).alias("end_us"), F.max(delta).alias("amplitude"), F.count("*").alias("n"), *([F.max_by(sigma, top).alias("amplitude_sigma")] if sigma else []))
     out = out.where(F.col("end_us") - F.col("start_us") >= min_duration_us)
     # events are far fewer than samples
     return out.withColumn("event_no", F.row_number().over(Window.partitionBy(*keys).orderBy("start_us")) - 1).drop("_run")

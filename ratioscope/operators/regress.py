@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch
+from .ordered import over_chunks
 
 
 def ols(df: DataFrame, keys: list[str], x: str = "x", y: str = "y") -> DataFrame:
@@ -181,5 +182,71 @@ def rolling_ols(df: DataFrame, keys: list[str], us: str, x: str, y: str, window_
     return out.where("_own = _chunk").drop("_own", "_chunk", "_xy")
 
 
+def york_windows(x: np.ndarray, y: np.ndarray, sx: np.ndarray, sy: np.ndarray, r: np.ndarray, first: np.ndarray, last: np.ndarray, *, rounds: int = 100, tol: float = 1e-14, pairs: int = 1 << 20) -> np.ndarray:
+    """York's fits of the runs [first, last) of pairs: slope, intercept, sigma_slope, sigma_intercept, s, n by row.
+
+    All windows are iterated together, those that have settled drop out; a round's sums are taken over the windows' members laid end
+    to end, ``pairs`` of them at a time (or one window).
+    """
+    out = np.full((len(first), 6), np.nan)
+    out[:, 5] = last - first
+    wx, wy = 1 / sx**2, 1 / sy**2
+    alpha = np.sqrt(wx * wy)
+    slabs = np.flatnonzero(np.diff(np.cumsum(last - first) // pairs, prepend=-1))
+    for lo, hi in zip(slabs, [*slabs[1:], len(first)]):
+        live = lo + np.flatnonzero(last[lo:hi] - first[lo:hi] >= 2)
+        b = None
+        for k in range(rounds + 1):
+            if not len(live):
+                break
+            size = last[live] - first[live]
+            starts = np.cumsum(size) - size
+            at = np.arange(size.sum()) + np.repeat(first[live] - starts, size)
+            of = np.repeat(np.arange(len(live)), size)
+            total = lambda v: np.add.reduceat(v, starts)  # noqa: B023, E731
+            px, py = x[at], y[at]
+            if b is None:  # least squares to start from; windows with a single x have no slope
+                u = px - (total(px) / size)[of]
+                sxx = total(u * u)
+                spread = np.maximum.reduceat(px, starts) > np.minimum.reduceat(px, starts)
+                b = (total(u * py) / np.where(spread, sxx, 1.0))[spread]
+                live = live[spread]
+                continue
+            c = b[of]
+            w = wx[at] * wy[at] / (wx[at] + c * c * wy[at] - 2 * c * r[at] * alpha[at])
+            sw = total(w)
+            xm, ym = total(w * px) / sw, total(w * py) / sw
+            u, v = px - xm[of], py - ym[of]
+            beta = w * (u / wy[at] + c * v / wx[at] - (c * u + v) * r[at] / alpha[at])
+            with np.errstate(divide="ignore", invalid="ignore"):
+                new = total(w * beta * v) / total(w * beta * u)
+            settled = ~np.isfinite(new) | (np.abs(new - b) <= tol * np.maximum(1.0, np.abs(new))) | (k == rounds)
+            a = ym - new * xm
+            adj = xm[of] + beta
+            xb = total(w * adj) / sw
+            sb = 1 / np.sqrt(total(w * (adj - xb[of]) ** 2))
+            rest = total(w * (py - new[of] * px - a[of]) ** 2)
+            out[live[settled], :5] = np.stack([new, a, sb, np.sqrt(1 / sw + (xb * sb) ** 2), rest], axis=1)[settled]
+            live, b = live[~settled], new[~settled]
+    return out
+
+
+def rolling_york(df: DataFrame, keys: list[str], us: str, window_us: int, x: str = "x", y: str = "y", sx: str = "sx", sy: str = "sy", r: str | None = None, *, chunk_us: int = 86_400_000_000) -> DataFrame:
+    """York's fit over a centred window at every pair whose values and sigmas are all known; null with fewer than two distinct x."""
+    cols = [x, y, sx, sy, *([r] if r else [])]
+    names = ["slope", "intercept", "sigma_slope", "sigma_intercept", "s"]
+    half = window_us // 2
+
+    def go(t: np.ndarray, c: dict[str, np.ndarray], own: np.ndarray) -> dict:
+        v = [c[k].astype(float) for k in cols]
+        first, last = (np.searchsorted(t, t[own] + e, side="right") for e in (-half, half))
+        fit = york_windows(*v[:4], v[4] if r else np.zeros(len(t)), first, last)
+        return dict(zip(names, fit.T)) | {"n": (last - first)}
+
+    both = df.where(" and ".join(f"`{c}` is not null" for c in cols))
+    out = over_chunks(both, keys, us, window_us, dict.fromkeys(names, "double") | {"n": "bigint"}, go, chunk_us=max(chunk_us, window_us))
+    return out.withColumns({k: F.nanvl(F.col(k), F.lit(None)) for k in names})
+
+
 #: Fits by name for groups of bounded size.
 METHODS: dict[str, Callable[..., Line]] = {"york": york_line, "odr": odr_line}

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geodesy, scalar, time
 from ..operators import align, circular, cluster, detect, masks, noise, ordered, profile, propagate, regress, select
-from ..operators.baseline import baseline_sweep
+from ..operators.baseline import baseline_sigma, baseline_sweep
 from ..scratch import Scratch
 
 SECOND = 1_000_000
@@ -468,6 +468,64 @@ def butterworth_bins(spark, sf):
     return r6(butterworth(bins, KEYS, "us", "value", 12 * 3600.0, chunk_us=CHUNK, part_rows=50), "smooth").select("stream", "us", "smooth")
 
 
+_SORTED = f"SELECT stream, event_id, len(l) AS n, list_sort(l) AS l FROM (SELECT *, list(value) OVER {_W12} AS l FROM $E)"
+_PLACE_OF = "SELECT *, (n - 1) * greatest(0, 0.05 - sqrt(0.05 * 0.95 / n)) AS a, (n - 1) * least(1, 0.05 + sqrt(0.05 * 0.95 / n)) AS b"
+_AT = "(l[floor({p})::INT + 1] + (l[ceil({p})::INT + 1] - l[floor({p})::INT + 1]) * ({p} - floor({p})))"
+
+
+@query(f"SELECT stream, event_id, CASE WHEN n >= 2 THEN round(({_AT.format(p='b')} - {_AT.format(p='a')}) / 2, 6) END AS baseline_sigma FROM ({_PLACE_OF} FROM ({_SORTED}))")
+def baseline_sigma_order(spark, sf):
+    out = baseline_sigma(events(spark, sf, "event_id"), KEYS, "us", "value", 12 * HOUR, 0.05, chunk_us=CHUNK)
+    return r6(out, "baseline_sigma").select("stream", "event_id", "baseline_sigma")
+
+
+def _bootstrap_sql(replicates: int, seed: int, block: int) -> str:
+    """Weights by hash of replicate and block; each value is in its window as often as its weight says."""
+    uniform = lambda text: f"(('0x' || substr(md5({text}), 1, 8))::BIGINT / 4294967296.0)"
+    cdf = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253]  # fixed values
+    return f"""
+WITH r AS (SELECT unnest(range({replicates})) AS r), o AS (SELECT r, floor({uniform(f"'{seed}:offset' || r")} * {block})::BIGINT AS shift FROM r),
+u AS (SELECT e.*, r, {uniform(f"'{seed}:' || r || ':' || ((us + shift) // {block})")} AS u FROM $E e, o),
+w AS (SELECT *, {" + ".join(f"(u >= {c!r})::INT" for c in cdf)} AS w FROM u),
+l AS (SELECT stream, event_id, r, count(value) OVER v AS k, flatten(list(list_resize(CAST([] AS DOUBLE[]), w, value)) OVER v) AS l FROM w WINDOW v AS (PARTITION BY stream, r ORDER BY us RANGE BETWEEN {6 * HOUR - 1} PRECEDING AND {6 * HOUR} FOLLOWING)),
+q AS (SELECT stream, event_id, k, list_aggregate(l, 'quantile_cont', 0.05) AS q FROM l)
+SELECT stream, event_id, CASE WHEN any_value(k) >= 2 AND count(q) >= 2 THEN round(stddev_samp(q), 6) END AS baseline_sigma FROM q GROUP BY ALL"""
+
+
+@query(_bootstrap_sql(8, 3, HOUR))
+def baseline_sigma_bootstrap(spark, sf):
+    out = baseline_sigma(events(spark, sf, "event_id"), KEYS, "us", "value", 12 * HOUR, 0.05, method="bootstrap", block_us=HOUR, replicates=8, seed=3, chunk_us=CHUNK)
+    return r6(out, "baseline_sigma").select("stream", "event_id", "baseline_sigma")
+
+
+_W3 = f"(PARTITION BY stream ORDER BY us RANGE BETWEEN {3 * HOUR // 2 - 1} PRECEDING AND {3 * HOUR // 2} FOLLOWING)"
+
+
+@query(f"""
+WITH l AS (SELECT stream, event_id, list(value) OVER {_W3} AS l FROM $E), d AS (SELECT stream, event_id, len(l) AS n, len(l) // 2 + 1 AS h, list_sort(flatten(list_transform(range(1, len(l) + 1), lambda i: list_transform(range(i + 1, len(l) + 1), lambda j: abs(l[i] - l[j]))))) AS d FROM l)
+SELECT stream, event_id, round(2.2219 * d[h * (h - 1) // 2] * CASE WHEN n <= 9 THEN [0, 0.399, 0.994, 0.512, 0.844, 0.611, 0.857, 0.669, 0.872][n] WHEN n % 2 = 1 THEN n / (n + 1.4) ELSE n / (n + 3.8) END, 6) AS sigma FROM d
+""")
+def rolling_qn_noise(spark, sf):
+    return r6(noise.rolling_qn(events(spark, sf, "event_id"), KEYS, "us", "value", 3 * HOUR, chunk_us=CHUNK), "sigma").select("stream", "event_id", "sigma")
+
+
+def _rolling_york_sql(rounds: int = 40) -> str:
+    """Windows joined with their members, then unrolled rounds of the fixed point."""
+    w = "wx * wy / (wx + b * b * wy)"
+    head = f"p AS (SELECT *, 0.5 * value + 0.3 * (user_id % 7) AS y, 1 / pow(0.5 + 0.02 * value, 2) AS wx, 1 / pow(0.4 + 0.01 * value, 2) AS wy FROM $E), j AS MATERIALIZED (SELECT c.stream, c.event_id, o.value AS x, o.y, o.wx, o.wy FROM p c JOIN p o ON o.stream = c.stream AND o.us > c.us - {6 * HOUR} AND o.us <= c.us + {6 * HOUR}), b0 AS MATERIALIZED (SELECT event_id, regr_slope(y, x) AS b FROM j GROUP BY event_id HAVING max(x) > min(x))"
+    step = ", m{k} AS MATERIALIZED (SELECT event_id, b, sum({w} * x) / sum({w}) AS xm, sum({w} * y) / sum({w}) AS ym FROM j JOIN b{k} USING (event_id) GROUP BY event_id, b), b{n} AS MATERIALIZED (SELECT event_id, sum(v * t * (y - ym)) / sum(v * t * (x - xm)) AS b FROM (SELECT *, {w} AS v, {w} * ((x - xm) / wy + b * (y - ym) / wx) AS t FROM j JOIN m{k} USING (event_id)) GROUP BY event_id)"
+    last = step.split(", b{n}")[0].format(k=rounds, w=w)
+    return f"WITH {head}{''.join(step.format(k=k, n=k + 1, w=w) for k in range(rounds))}{last}, e AS (SELECT *, {w} AS v, {w} * ((x - xm) / wy + b * (y - ym) / wx) AS t FROM j JOIN m{rounds} USING (event_id)), f AS (SELECT event_id, any_value(b) AS slope, 1 / sqrt(sum(v * t * t) - sum(v * t) * sum(v * t) / sum(v)) AS sb FROM e GROUP BY event_id) SELECT stream, event_id, round(slope, 5) AS slope, round(sb, 5) AS sigma_slope, n FROM (SELECT stream, event_id, count(*) AS n FROM j GROUP BY ALL) LEFT JOIN f USING (event_id)"
+
+
+@query(_rolling_york_sql())
+def rolling_york(spark, sf):
+    v = F.col("value")
+    p = events(spark, sf, "event_id", "user_id").select("stream", "us", "event_id", v.alias("x"), (0.5 * v + 0.3 * (F.col("user_id") % 7)).alias("y"), (0.5 + 0.02 * v).alias("sx"), (0.4 + 0.01 * v).alias("sy"))
+    out = regress.rolling_york(p, KEYS, "us", 12 * HOUR, chunk_us=CHUNK)
+    return out.select("stream", "event_id", F.round("slope", 5).alias("slope"), F.round("sigma_slope", 5).alias("sigma_slope"), "n")
+
+
 _FOUND = _CATALOG.split("SELECT stream || ")[0]
 
 
