@@ -125,3 +125,38 @@ def test_clock_outages_noise_and_blocks(spark):
     two = ar1(clock.repartition(9), 5, "n", 10.0, 10**12, "e").toPandas().sort_values("i").e.to_numpy()
     assert abs(one - two).max() < 1e-12 and abs(one.std() - 1) < 0.25
     assert abs((one[1:] * one[:-1]).mean() / (one * one).mean() - 0.905) < 0.05
+
+
+def test_rows_above_a_header_are_told_by_place(spark, tmp_path):
+    def inst(glob, **more):
+        return InstrumentConfig.read({"loader": {"format": "csv", "path_template": glob, "time": {"column": "t", "format": "unix"}, **more}, "variables": {"v": {"column": "v", "units": ""}}})
+
+    read = lambda i: sorted((r.us // 1_000_000, r.v, r.w) for r in read_delimited(spark, f"file://{tmp_path}", i).collect())
+    (tmp_path / "p1.csv").write_text("1700000002,instrument serial\nt,v,w\n1700000001,1,a\n1700000002,2,b\n1700000003,3,c\n")
+    (tmp_path / "p2.csv").write_text("1700000003,other serial\nt,v,w\n1700000004,4,d\n1700000001,5,t\n")
+    want = [(1700000001, "1", "a"), (1700000001, "5", "t"), (1700000002, "2", "b"), (1700000003, "3", "c"), (1700000004, "4", "d")]
+    assert read(inst("p*.csv", header_row=1)) == want
+    # comments and blank lines count nowhere, be they many; the same where a task reads several files or a file is many blocks
+    for k in (1, 2):
+        text = (tmp_path / f"p{k}.csv").read_text().split("\n")
+        (tmp_path / f"q{k}.csv").write_text("﻿"[: k - 1] + "".join(f"# note {i}\n" for i in range(200)) + "\n\n".join(text[:1]) + "\n# more\n\n" + "\n#x\n".join(text[1:]))
+    assert read(inst("q*.csv", header_row=1, comment="#")) == want
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        (tmp_path / "long.csv").write_text("title\nt,v,w\n" + "".join(f"{1700000000 + i},{i},title\n" for i in range(5000)))
+        assert read(inst("long.csv", header_row=1)) == [(1700000000 + i, str(i), "title") for i in range(5000)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    (tmp_path / "p3.csv").write_text("serial\nt,w,v\n1700000009,9,x\n")
+    with pytest.raises(Exception, match="its header"):
+        read(inst("p*.csv", header_row=1))
+    (tmp_path / "r1.csv").write_text('t,v,w\n1700000001,"1,5",a\n1700000002\n')
+    (tmp_path / "r2.csv").write_text("t,w,v\n1700000003,1,a\n")
+    assert read(inst("r1.csv")) == [(1700000001, "1,5", "a"), (1700000002, None, None)]
+    with pytest.raises(Exception, match="its header"):
+        read(inst("r*.csv"))
+    (tmp_path / "twice.csv").write_text("t,v,v\n1,2,3\n")
+    with pytest.raises(IngestError):
+        read(inst("twice.csv"))
+    (tmp_path / "head.csv").write_text("t,v,w\n")
+    assert read(inst("head.csv")) == []
