@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geodesy, scalar, time
-from ..operators import align, circular, cluster, detect, masks, noise, ordered, profile, propagate, regress, select
+from ..operators import align, areas, circular, cluster, detect, masks, noise, ordered, profile, propagate, regress, select
 from ..operators.baseline import baseline_sigma, baseline_sweep
 from ..scratch import Scratch
 
@@ -29,12 +29,20 @@ def query(sql: str | None = None):
     def keep(f):
         QUERIES[f.__name__] = f
         if sql is not None:
-            ORACLES[f.__name__] = sql.replace("$E", EVENTS)
+            ORACLES[f.__name__] = sql.replace("$A", _NESTED_AREA).replace("$E", EVENTS)
         return f
 
     return keep
 
 
+#: Trapezoids of samples' steps clipped to events, as weights of the samples.
+_AREA = """
+st AS (SELECT *, value - b AS v, lag({{'t': us, 'v': value - b, 's': 0.5 + 0.02 * value}}) OVER (PARTITION BY stream{more} ORDER BY us) AS a FROM {source} WHERE value - b IS NOT NULL),
+m AS (SELECT st.*, x.event_no, least(st.us, hi) - greatest(a.t, lo) AS span, (pow(least(st.us, hi) - a.t, 2) - pow(greatest(a.t, lo) - a.t, 2)) / (2 * (st.us - a.t)) AS late FROM st JOIN x ON x.stream = st.stream{on} AND st.us > lo AND a.t < hi WHERE st.us > a.t AND st.us - a.t <= {gap}),
+w AS (SELECT stream{more}, event_no, t, any_value(v) AS v, any_value(s) AS s, sum(w) / 1e6 AS w, sum(span) AS span FROM (SELECT stream{more}, event_no, us AS t, v, 0.5 + 0.02 * value AS s, late AS w, span FROM m UNION ALL SELECT stream{more}, event_no, a.t, a.v, a.s, span - late, 0 FROM m) GROUP BY ALL),
+g AS (SELECT stream{more}, event_no, sum(w * v) AS area, sqrt(sum(w * w * s * s)) AS sigma_rand, sum(span)::BIGINT AS covered_us FROM w GROUP BY ALL)"""
+_NESTED_AREA = _AREA.format(more=", level", source="bb", event="event_no", on=" AND x.level = st.level", gap=HOUR)
+
 EVENTS = "(SELECT event_type AS stream, epoch_us(ts) AS us, event_id, user_id, value, props FROM events)"
 
 
@@ -410,6 +418,36 @@ def nested_links(spark, sf):
     return detect.nested_links(ev, KEYS, "level").withColumn("child_level", F.col("child_level").cast("long"))
 
 
+def _nested_levels_sql(level: int, name: str, window: int) -> str:
+    w = f"(PARTITION BY stream ORDER BY us RANGE BETWEEN {window // 2 - 1} PRECEDING AND {window // 2} FOLLOWING)"
+    return f"SELECT stream, {level} AS level, us, value, quantile_cont(value, 0.05) OVER {w} AS b FROM $E"
+
+
+@query(
+    f"""
+{_NOISE},{_events_sql("s", 12 * HOUR, 0.05, 1.0)},{_events_sql("l", 48 * HOUR, 0.05, 1.0)},
+x AS (SELECT stream, 0 AS level, event_no, start_us AS lo, end_us AS hi FROM s_e UNION ALL SELECT stream, 1, event_no, start_us, end_us FROM l_e),
+bb AS ({_nested_levels_sql(0, "s", 12 * HOUR)} UNION ALL {_nested_levels_sql(1, "l", 48 * HOUR)}),"""
+    + "$A"
+    + """, k AS (SELECT s.stream, s.event_no AS child_no, arg_min(l.event_no, row(l.end_us - l.start_us, l.event_no)) AS event_no FROM s_e s JOIN l_e l ON l.stream = s.stream AND s.start_us >= l.start_us AND s.end_us <= l.end_us GROUP BY s.stream, s.event_no),
+z AS (SELECT x.stream, x.level, x.event_no, coalesce(area, 0) AS area FROM x LEFT JOIN g USING (stream, level, event_no)),
+i AS (SELECT k.stream, k.event_no, sum(z.area) AS inner_area, count(*) AS n FROM k JOIN z ON z.stream = k.stream AND z.event_no = k.child_no AND z.level = 0 GROUP BY ALL)
+SELECT z.stream, z.level, z.event_no, round(z.area, 4) AS area, round(z.area - CASE WHEN z.level = 1 THEN coalesce(inner_area, 0) ELSE 0 END, 4) AS net_area, CASE WHEN z.level = 1 THEN coalesce(i.n, 0) ELSE 0 END AS n_children FROM z LEFT JOIN i ON i.stream = z.stream AND i.event_no = z.event_no
+"""
+)
+def net_areas(spark, sf):
+    from ..operators.sweep import detection_sweep
+
+    windows = [12 * HOUR, 48 * HOUR]
+    level = F.when(F.col("window_us") == windows[0], 0).otherwise(1).alias("level")
+    found = detection_sweep(events(spark, sf), KEYS, "us", "value", windows_us=windows, quantiles=[0.05], enter=[1.0], leave=0.3, noise_window_us=24 * HOUR, max_gap_us=HOUR, min_duration_us=60 * SECOND, chunk_us=CHUNK)
+    found = Scratch(spark, "nested").write(found.withColumn("level", level), "events")
+    base = baseline_sweep(events(spark, sf), KEYS, "us", "value", windows, [0.05], chunk_us=CHUNK).withColumn("level", level)
+    own = areas.event_areas(base, found, ["stream", "level"], "us", "enhancement", max_gap_us=HOUR, chunk_us=CHUNK)
+    out = areas.net_areas(own, detect.nested_links(found, KEYS, "level"), KEYS, "level")
+    return out.select("stream", "level", "event_no", F.round("area", 4).alias("area"), F.round("net_area", 4).alias("net_area"), "n_children")
+
+
 @query(_NOISE + "".join("," + _events_sql(*c) for c in _CELLS) + " UNION ALL ".join(f" SELECT stream, window_us, quantile, enter_sigma, start_us, peak_us, end_us, round(amplitude, 6) AS amplitude, n, event_no FROM {c[0]}_e" for c in _CELLS))
 def detection_sweep(spark, sf):
     from ..operators.sweep import detection_sweep as sweep
@@ -526,6 +564,14 @@ def rolling_york(spark, sf):
     return out.select("stream", "event_id", F.round("slope", 5).alias("slope"), F.round("sigma_slope", 5).alias("sigma_slope"), "n")
 
 
+@query(_CATALOG.split("SELECT stream || ")[0].rstrip() + ", x AS (SELECT stream, row_number() OVER (PARTITION BY stream ORDER BY start_us) - 1 AS event_no, start_us AS lo, end_us AS hi FROM e)," + _AREA.format(more="", source="(SELECT stream, us, value, CASE WHEN n_valid >= 2 THEN b END AS b FROM b)", event="event_no", on="", gap=HOUR) + " SELECT stream, event_no, round(coalesce(area, 0), 4) AS area, round(coalesce(sigma_rand, 0), 5) AS sigma_rand, coalesce(covered_us, 0) AS covered_us FROM x LEFT JOIN g USING (stream, event_no)")
+def event_areas(spark, sf):
+    ev = events(spark, sf)
+    b = baseline_sweep(ev, KEYS, "us", "value", [12 * HOUR], [0.05], chunk_us=CHUNK).withColumn("s", 0.5 + 0.02 * F.col("value"))
+    out = areas.event_areas(b, _detected(spark, sf), KEYS, "us", "enhancement", sigma="s", max_gap_us=HOUR, chunk_us=CHUNK)
+    return out.select("stream", "event_no", F.round("area", 4).alias("area"), F.round("sigma_rand", 5).alias("sigma_rand"), "covered_us")
+
+
 _FOUND = _CATALOG.split("SELECT stream || ")[0]
 
 
