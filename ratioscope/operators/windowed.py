@@ -176,6 +176,17 @@ def sliding(t: np.ndarray, x: np.ndarray, half: int, rows: np.ndarray, weights:
         yield window
 
 
+def members(first: np.ndarray, last: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Members of the runs [first, last), none of them empty, laid end to end, about ``most`` at a time: which runs (from, to), the
+    members' places, each one's run, and where runs start."""
+    size = last - first
+    cuts = np.flatnonzero(np.diff(np.cumsum(size) // most, prepend=-1))
+    for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(size)]):
+        k = size[lo:hi]
+        starts = np.cumsum(k) - k
+        yield lo, hi, np.arange(k.sum()) + np.repeat(first[lo:hi] - starts, k), np.repeat(np.arange(hi - lo), k), starts
+
+
 def rolling_order(df: DataFrame, keys: list[str], us: str, value: str, window_us: int, outputs: dict[str, str], fn: Callable[[SortedWindow, float], tuple], *, chunk_us: int = DAY) -> DataFrame:
     """``fn`` of each sample's centred window, and of its own value, gives the values of ``outputs`` (name: SQL type)."""
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geodesy, scalar, time
-from ..operators import align, areas, circular, cluster, detect, masks, noise, ordered, profile, propagate, regress, select
+from ..operators import align, areas, circular, cluster, detect, masks, noise, ordered, profile, propagate, regress, select, states
 from ..operators.baseline import baseline_sigma, baseline_sweep
 from ..scratch import Scratch
 
@@ -418,6 +418,36 @@ def nested_links(spark, sf):
     return detect.nested_links(ev, KEYS, "level").withColumn("child_level", F.col("child_level").cast("long"))
 
 
+@query(
+    _CATALOG.split("t AS (SELECT")[0].replace("WITH b AS", "WITH RECURSIVE b AS")
+    + """
+q AS (SELECT stream, us, event_id, row_number() OVER (PARTITION BY stream ORDER BY us) AS i, coalesce(pow(delta / sigma, 2) / 2 - pow((delta / sigma - 4) / 3, 2) / 2 - ln(3), 0) AS e FROM c),
+f AS (SELECT stream, i, ln(0.02) - ln(0.98) + e AS d FROM q WHERE i = 1 UNION ALL SELECT q.stream, q.i, least(greatest(d + ln(0.9) - ln(0.98), ln(0.02) - ln(0.98)), ln(0.9) - ln(0.1)) + q.e FROM f JOIN q ON q.stream = f.stream AND q.i = f.i + 1),
+g AS (SELECT stream, max(i) AS i, 0.0::DOUBLE AS d FROM q GROUP BY stream UNION ALL SELECT g.stream, g.i - 1, least(greatest(d + q.e + ln(0.9) - ln(0.98), ln(0.1) - ln(0.98)), ln(0.9) - ln(0.02)) FROM g JOIN q ON q.stream = g.stream AND q.i = g.i WHERE g.i > 1)
+SELECT q.stream, q.event_id, (f.d + g.d > 0)::INT AS state FROM q JOIN f USING (stream, i) JOIN g USING (stream, i)"""
+)
+def hmm_states(spark, sf):
+    ev = events(spark, sf, "event_id")
+    sig = noise.diff_mad(ev, KEYS, "us", "value", chunk_us=CHUNK).select("stream", "sigma")
+    b = baseline_sweep(ev, KEYS, "us", "value", [12 * HOUR], [0.05], chunk_us=CHUNK).join(sig, "stream")
+    b = b.withColumn("delta", detect.corrected(F.col("enhancement"), F.col("sigma"), 0.05)).select("stream", "us", "event_id", "delta", "sigma")
+    return states.hmm_states(b, KEYS, "us", F.col("delta"), F.col("sigma"), enter=0.02, leave=0.1, chunk_us=CHUNK).select("stream", "event_id", "state")
+
+
+@query(f"""
+WITH p AS (SELECT stream, us, event_id, value - 50 AS v, 5 + 0.1 * value AS s FROM $E),
+k AS (SELECT a.stream, a.us, a.event_id, sum(w * b.v / (b.s * b.s)) AS kv, sum(w * w / (b.s * b.s)) AS kk FROM p a JOIN (SELECT * FROM p) b ON b.stream = a.stream AND b.us BETWEEN a.us - {2 * HOUR} AND a.us + {2 * HOUR}, LATERAL (SELECT exp(-pow((b.us - a.us) / 1e6 / 1800, 2) / 2) AS w) GROUP BY ALL),
+c AS (SELECT stream, us, event_id, kv / sqrt(kk) AS score, kv / kk AS amplitude FROM k)
+SELECT stream, event_id, round(score, 6) AS score, round(amplitude, 5) AS amplitude FROM c WHERE score >= 1.5 AND NOT EXISTS (SELECT 1 FROM c o WHERE o.stream = c.stream AND o.us BETWEEN c.us - {HOUR} AND c.us + {HOUR} AND o.score > c.score)
+""")
+def matched_filter(spark, sf):
+    from ..functions.shapes import Kernel
+
+    ev = events(spark, sf, "event_id").withColumn("v", F.col("value") - 50).withColumn("s", 5 + F.lit(0.1) * F.col("value"))
+    out = states.matched_peaks(ev, KEYS, "us", "v", "s", Kernel.build(1800.0), threshold=1.5, apart_us=HOUR, chunk_us=CHUNK)
+    return out.select("stream", "event_id", F.round("score", 6).alias("score"), F.round("amplitude", 5).alias("amplitude"))
+
+
 def _nested_levels_sql(level: int, name: str, window: int) -> str:
     w = f"(PARTITION BY stream ORDER BY us RANGE BETWEEN {window // 2 - 1} PRECEDING AND {window // 2} FOLLOWING)"
     return f"SELECT stream, {level} AS level, us, value, quantile_cont(value, 0.05) OVER {w} AS b FROM $E"
