@@ -35,7 +35,7 @@ class BaselineConfig(Spec):
 class DetectionConfig(Spec):
     enter_sigma = many(number(), (3.0,), least=1)
     exit_sigma = number(1.0, gt=0)
-    noise_estimator = choice("diff_mad", "mad", default="diff_mad")
+    noise_estimator = choice("diff_mad", "mad", "diff_qn", "qn", default="diff_mad")
     noise_window = duration("10min")
     min_duration = duration("3s")
     max_internal_gap = duration("5s")

@@ -44,8 +44,9 @@ def quantization_sigma(step: float) -> float:
     return step / 12**0.5
 
 
-def floor_sigma(sigma: Column, step: float | None) -> Column:
-    return sigma if step is None else F.greatest(sigma, F.lit(quantization_sigma(step)))
+def floor_sigma(sigma: Column, step: float | Column | None) -> Column:
+    """At least the spread of rounding to ``step``; an unknown sigma stays unknown."""
+    return sigma if step is None else F.when(sigma.isNotNull(), F.greatest(sigma, (step if isinstance(step, Column) else F.lit(step)) / 12**0.5))
 
 
 def wrap_angle(x: Column) -> Column:

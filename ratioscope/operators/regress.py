@@ -165,9 +165,13 @@ def total_sigma(fit: Column, sys: Column, method: Column) -> Column:
     return F.sqrt(F.pow(fit, 2) + F.pow(F.coalesce(sys, zero), 2) + F.pow(F.coalesce(method, zero), 2))
 
 
-def closing_cells(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """Sweep cells ranked by how near their Birge ratio is to 1 (candidate rule for primary cells)."""
-    rank = Window.partitionBy(*keys).orderBy(F.abs(F.col("birge") - 1)) if keys else Window.orderBy(F.abs(F.col("birge") - 1))
+def closing_cells(cells: DataFrame, keys: list[str], ties: tuple[str, ...] = ()) -> DataFrame:
+    """Sweep cells ranked by how near their Birge ratio is to 1 (candidate rule for primary cells), equals by ``ties``.
+
+    A cell is a row: without keys one task ranks as many rows as the sweep has combinations.
+    """
+    order = [F.abs(F.col("birge") - 1), *(F.col(t) for t in ties)]
+    rank = Window.partitionBy(*keys).orderBy(*order) if keys else Window.orderBy(*order)
     return cells.where("birge is not null").withColumn("closure_rank", F.row_number().over(rank))
 
 

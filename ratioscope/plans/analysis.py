@@ -14,12 +14,15 @@ from ..config.spec import micros, seconds
 from ..functions.scalar import declared_sigma, floor_sigma, reported_sigma, source_label
 from ..functions.time import from_us
 from ..operators.align import check_grid, interpolate, output_grid, pmf_matrix
+from ..operators.areas import event_areas, net_areas
+from ..operators.baseline import baseline_sweep
 from ..operators.cluster import dbscan
 from ..operators.detect import nested_links
 from ..operators.masks import ingest_variable
-from ..operators.noise import ROLLING
+from ..operators.noise import ROLLING, resolution
 from ..operators.ordered import DAY, range_join
-from ..operators.regress import METHODS, birge, fit_events, method_sigma, ols, ratios, total_sigma
+from ..operators.regress import METHODS, birge, closing_cells, fit_events, method_sigma, ols, ratios, total_sigma
+from ..operators.select import quantiles
 from ..operators.smooth import butterworth
 from ..operators.sweep import detection_sweep
 from ..scratch import Scratch
@@ -68,12 +71,15 @@ def long_form(streams: dict[str, DataFrame], species: dict[str, list[str]]) -> D
     return out
 
 
-def with_noise(long: DataFrame, cfg: AnalysisConfig, *, step: float | None = None, chunk_us: int = DAY) -> DataFrame:
+def with_noise(long: DataFrame, cfg: AnalysisConfig, *, step: float | str | None = None, chunk_us: int = DAY) -> DataFrame:
     """Known samples, whose random sigma is declared or reported, else the empirical one, labelled so.
 
-    A reporting step's floor holds for all three.
+    A reporting step's floor holds for all three; with "detect" each stream's step is found in its values.
     """
     d = cfg.detection
+    if step == "detect":
+        found = Scratch(long.sparkSession, "steps").write(resolution(long, ["stream"], "us", "value", chunk_us=chunk_us).withColumnRenamed("step", "_step"), "steps")
+        return with_noise(long, cfg, chunk_us=chunk_us).join(found, "stream", "left").withColumn("sigma_rand", floor_sigma(F.col("sigma_rand"), F.coalesce("_step", F.lit(0.0)))).select(*long.columns)
     est = ROLLING[d.noise_estimator](long.where("value is not null"), ["stream"], "us", "value", micros(d.noise_window), name="_emp", step=step, chunk_us=chunk_us)
     return est.withColumn("sigma_rand", floor_sigma(F.coalesce("sigma_rand", "_emp"), step)).drop("_emp")
 
@@ -114,15 +120,20 @@ class Analysis:
     links: DataFrame | None = None
     clusters: DataFrame | None = None
     met: DataFrame | None = None
+    primary: DataFrame | None = None
+    areas: DataFrame | None = None
 
 
-def analyse(long: DataFrame, cfg: AnalysisConfig, periods_us: dict[str, int], *, step: float | None = None, chunk_us: int = DAY, scale_sigma: dict[str, float] | None = None, scratch: Scratch | None = None, streams: dict[str, DataFrame] | None = None) -> Analysis:
+def analyse(long: DataFrame, cfg: AnalysisConfig, periods_us: dict[str, int], *, step: float | str | None = None, baseline_sigma: str | None = None, detector: str = "hysteresis", chunk_us: int = DAY, scale_sigma: dict[str, float] | None = None, scratch: Scratch | None = None, streams: dict[str, DataFrame] | None = None) -> Analysis:
     """Noise, baselines, events of the reference species, pairs, fits and their spread over the sweep; grid and matrix.
 
     Every smoothing cutoff is a cell of the sweep: ``smoothing_cutoff`` ("none" without smoothing) is a key of samples, events,
     ratios, closure, grid and matrix.  Detection measures in each sample's own sigma, declared or reported before empirical.
     ``links`` joins an event to the tightest event of the next longer baseline window that holds it.  Ratios have
     sigma_method (spread over the sweep) and sigma_total.  ``periods_us``: each species' sampling period.  ``scale_sigma``: relative scale errors by species.
+    ``primary`` is the sweep cell of each species and method whose error budget closes best (Birge ratio nearest to 1).
+    ``areas`` are the areas of the reference's events, net of nested ones, with their baselines' uncertainty where ``baseline_sigma``
+    names a way to estimate it; thresholds count that in too.  ``detector``: a name of ``states.DETECTORS``.
     """
     check_grid(micros(cfg.output_grid.freq), periods_us)
     scratch = scratch or Scratch(long.sparkSession, "analysis")
@@ -138,7 +149,7 @@ def analyse(long: DataFrame, cfg: AnalysisConfig, periods_us: dict[str, int], *,
             # what was measured from the raw values is measured again from the smooth ones
             smooth = smooth.withColumn("value", F.col("smooth")).drop("smooth").withColumn("sigma_rand", F.when(F.col("source") != "empirical", F.col("sigma_rand")))
             own, tag = scratch.write(with_noise(smooth, cfg, step=step, chunk_us=chunk_us), "smoothed"), f"_c{c}"
-        ev = detection_sweep(own.where(F.col("stream") == ref).select("stream", "us", "value", "sigma_rand"), ["stream"], "us", "value", windows_us=[micros(w) for w in b.windows], quantiles=list(b.quantiles), enter=list(d.enter_sigma), leave=d.exit_sigma, noise=d.noise_estimator, noise_window_us=micros(d.noise_window), max_gap_us=micros(d.max_internal_gap), min_duration_us=micros(d.min_duration), min_valid_fraction=b.min_valid_fraction, sigma="sigma_rand", chunk_us=chunk_us, scratch=scratch)
+        ev = detection_sweep(own.where(F.col("stream") == ref).select("stream", "us", "value", "sigma_rand"), ["stream"], "us", "value", windows_us=[micros(w) for w in b.windows], quantiles=list(b.quantiles), enter=list(d.enter_sigma), leave=d.exit_sigma, noise=d.noise_estimator, noise_window_us=micros(d.noise_window), max_gap_us=micros(d.max_internal_gap), min_duration_us=micros(d.min_duration), min_valid_fraction=b.min_valid_fraction, sigma="sigma_rand", baseline_sigma=baseline_sigma, detector=detector, chunk_us=chunk_us, scratch=scratch)
         ev = ev.withColumn("smoothing_cutoff", F.lit(c)).withColumn("event_id", F.format_string("%s_w%d_q%s_s%s%s_%05d", "stream", F.col("window_us"), F.col("quantile").cast("string"), F.col("enter_sigma").cast("string"), F.lit(tag), F.col("event_no")))
         ev = scratch.write(ev, "events")
         pairs = scratch.write(event_pairs(ev.select("event_id", "smoothing_cutoff", "window_us", "quantile", "enter_sigma", "start_us", "end_us"), own, ref, periods_us), "pairs")
@@ -170,7 +181,20 @@ def analyse(long: DataFrame, cfg: AnalysisConfig, periods_us: dict[str, int], *,
         end = _us(g.end) if g.end else hi + 1
         grid = output_grid(samples, ["smoothing_cutoff", "stream"], "us", "value", step_us, start, end, statistic=g.bin_statistic, sigma_rand="sigma_rand", sigma_sys="sigma_sys")
         pmf = reduce(DataFrame.unionByName, [pmf_matrix(grid.where(F.col("smoothing_cutoff") == c), "stream", "value", sorted(periods_us), {k: F.first(k) for k in ("sigma_rand", "sigma_sys")}).withColumn("smoothing_cutoff", F.lit(c)) for c in cutoffs]).withColumn("time", from_us(F.col("cell_us")))
-    return Analysis(streams or {}, samples, ev, out, closure, grid, pmf, links)
+    primary = closing_cells(closure, ["species", "method"], ("smoothing_cutoff", "window_us", "quantile", "enter_sigma")).where("closure_rank = 1").drop("closure_rank")
+    areas = _areas(samples.where(F.col("stream") == ref), ev, links, cfg, baseline_sigma, chunk_us)
+    return Analysis(streams or {}, samples, ev, out, closure, grid, pmf, links, primary=primary, areas=areas)
+
+
+def _areas(samples: DataFrame, ev: DataFrame, links: DataFrame, cfg: AnalysisConfig, baseline_sigma: str | None, chunk_us: int) -> DataFrame:
+    """Areas of the events of every sweep cell, in that cell's own enhancement; gaps longer than events bridge hold none."""
+    b, windows = cfg.baseline, [micros(w) for w in cfg.baseline.windows]
+    level = F.array_position(F.array(*(F.lit(w).cast("long") for w in windows)), F.col("window_us")) - 1
+    base = baseline_sweep(samples, ["smoothing_cutoff", "stream"], "us", "value", windows, list(b.quantiles), min_valid_fraction=b.min_valid_fraction, sigma=baseline_sigma, chunk_us=chunk_us)
+    base = base.withColumn("enter_sigma", F.explode(F.array(*(F.lit(float(e)) for e in cfg.detection.enter_sigma)))).withColumn("level", level)
+    keys = ["stream", "smoothing_cutoff", "quantile", "enter_sigma"]
+    own = event_areas(base, ev.withColumn("level", level), [*keys, "level"], "us", "enhancement", sigma="sigma_rand", common="baseline_sigma" if baseline_sigma else None, max_gap_us=micros(cfg.detection.max_internal_gap), chunk_us=chunk_us)
+    return net_areas(own, links, keys, "level").withColumn("window_us", F.element_at(F.array(*(F.lit(w).cast("long") for w in windows)), (F.col("level") + 1).cast("int")))
 
 
 def _us(t) -> int:
@@ -179,29 +203,52 @@ def _us(t) -> int:
     return int(pd.Timestamp(t).value // 1000)
 
 
-def run(spark: SparkSession, cfg: RunConfig, *, chunk_us: int = DAY) -> Analysis:
+def align_aux(streams: dict[str, DataFrame], cfg: RunConfig, *, chunk_us: int = DAY) -> dict[str, DataFrame]:
+    """Streams of gases with the met and aux variables of all other instruments on their own clock.
+
+    Each variable is lerped by itself, angles along the shorter arc, and is null outside its span and across steps longer than
+    ``max_interp_gap``.
+    """
+    gap, out = micros(cfg.analysis.alignment.max_interp_gap), dict(streams)
+    roles = {i: {v: c for v, c in inst.variables.items() if c.role in ("met", "aux")} for i, inst in cfg.manifest.instruments.items()}
+    for i, inst in cfg.manifest.instruments.items():
+        if any(c.role == "gas" for c in inst.variables.values()):
+            for other, variables in roles.items():
+                for v, c in variables.items() if other != i else ():
+                    if v not in out[i].columns:
+                        out[i] = interpolate(out[i], streams[other].select("us", F.col(v).cast("double").alias(v)), [], "us", [v], max_gap_us=gap, clamp=False, angles=(v,) if c.circular else (), chunk_us=chunk_us)
+    return out
+
+
+def run(spark: SparkSession, cfg: RunConfig, *, baseline_sigma: str | None = None, detector: str = "hysteresis", chunk_us: int = DAY) -> Analysis:
     """Files to ratios, as a manifest and an analysis say.
 
+    Streams of gases carry the met and aux variables, aligned to their clock.  Sigmas are at least the spread of rounding to the
+    step that a stream reports in, which is found in its values.
+
     Declared relative systematic errors are the axes' scale errors.  With clustering on, ``clusters`` places the reference's
     events.  ``met`` is the output grid of met variables, circular ones averaged as vectors.
     """
     scratch = Scratch(spark, "run")
     streams = {k: scratch.write(d, k) for k, d in place(ingest(spark, cfg, chunk_us=chunk_us), cfg, chunk_us=chunk_us).items()}
+    aligned = align_aux(streams, cfg, chunk_us=chunk_us)
+    streams = {k: d if d is streams[k] else scratch.write(d, f"{k}-aligned") for k, d in aligned.items()}
     species = {i: [v for v, c in inst.variables.items() if c.role == "gas"] for i, inst in cfg.manifest.instruments.items()}
     species = {i: s for i, s in species.items() if s}
     periods = {}
     from ..operators.ordered import previous
 
     for i, names in species.items():
-        p = previous(streams[i].select("us"), [], "us", ["us"], "_p", chunk_us=chunk_us).agg(F.percentile(F.col("us") - F.col("_p.us"), F.lit(0.5))).first()[0]
-        periods |= dict.fromkeys(names, int(p or 1))
+        steps = previous(streams[i].select("us"), [], "us", ["us"], "_p", chunk_us=chunk_us).select(F.lit(i).alias("i"), (F.col("us") - F.col("_p.us")).alias("d"))
+        p = quantiles(steps, ["i"], {"p": (F.col("d"), [0.5])}).first()
+        periods |= dict.fromkeys(names, int(p.p[0]) if p and p.p and p.p[0] else 1)
     scale = {}
     for i, names in species.items():
         for v in names:
             u = cfg.manifest.instruments[i].variables[v].uncertainty
             if u and isinstance(u.systematic, DeclaredUncertainty):
                 scale[v] = u.systematic.relative
-    out = analyse(long_form(streams, species), cfg.analysis, periods, chunk_us=chunk_us, scale_sigma=scale, scratch=scratch, streams=streams)
+    out = analyse(long_form(streams, species), cfg.analysis, periods, step="detect", baseline_sigma=baseline_sigma, detector=detector, chunk_us=chunk_us, scale_sigma=scale, scratch=scratch, streams=streams)
     home = next((i for i, names in species.items() if cfg.analysis.regression.reference_species in names), None)
     if cfg.analysis.clustering.enabled and home:
         out.clusters = cluster_events(out.events, streams[home].select("us", "latitude", "longitude"), cfg.analysis, chunk_us=chunk_us)
@@ -235,4 +282,4 @@ def cluster_events(events: DataFrame, track: DataFrame, cfg: AnalysisConfig, *,
     return ids.join(found, "no").select("event_id", "latitude", "longitude", "cluster", "core")
 
 
-__all__ = ["Analysis", "analyse", "cluster_events", "event_pairs", "ingest", "long_form", "place", "run", "with_noise"]
+__all__ = ["Analysis", "align_aux", "analyse", "cluster_events", "event_pairs", "ingest", "long_form", "place", "run", "with_noise"]

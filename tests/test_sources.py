@@ -160,3 +160,42 @@ def test_rows_above_a_header_are_told_by_place(spark, tmp_path):
         read(inst("twice.csv"))
     (tmp_path / "head.csv").write_text("t,v,w\n")
     assert read(inst("head.csv")) == []
+
+
+def test_catalog_order_and_counts(spark):
+    from ratioscope.sources import catalog
+
+    cfg = SyntheticConfig.read(SYNTHETIC)
+    ds = generate(spark, cfg)
+    rows = catalog.in_order(ds.catalog, cfg)
+    got = [(r.instrument, r.species, r.peak_time) for r in rows.collect()]
+    places = [(i, s) for i, spec in cfg.instruments.items() for s in spec.species]
+    assert got == sorted(got, key=lambda r: (places.index(r[:2]), r[2])) and len(got) == ds.catalog.count()
+    ids = [r.event_id for r in catalog.event_ids(rows).collect()]
+    assert ids == list(dict.fromkeys(r.event_id for r in rows.collect()))
+    n = catalog.counts(ds.catalog).first()
+    assert n.n_rows == len(got) and n.n_events == len(ids) and n.n_children == len({r.event_id for r in rows.collect() if r.parent_event_id})
+    some = got[0][1]
+    assert {r.species for r in catalog.for_species(ds.catalog, some).collect()} == {some}
+    assert catalog.counts(ds.catalog.limit(0)).first().n_rows == 0 and catalog.event_ids(catalog.in_order(ds.catalog.limit(0), cfg)).count() == 0
+
+
+@pytest.mark.parametrize("form", ["csv", "parquet"])
+def test_series_of_real_shape(spark, tmp_path, form):
+    from ratioscope.operators.profile import profile
+    from ratioscope.sources.series import read_series
+
+    lines = [("2026-01-01 00:00:%02d" % (i % 60) if i < 60 else "2026-01-01 00:01:%02d" % (i - 60), 1900 + (i * 37 % 11) / 10) for i in range(100)]
+    lines += [lines[7][:1] + (5.0,), lines[3][:1] + (6.0,)]  # repeated stamps, out of order
+    if form == "csv":
+        (tmp_path / "s.csv").write_text("no,stamp,CH4 dry,note\n" + "".join(f"{k},{t},{v},x\n" for k, (t, v) in enumerate(lines)) + "102,,1.0,x\n")
+    else:
+        spark.createDataFrame([(k, t, v) for k, (t, v) in enumerate(lines)], "no int, t string, `CH4 dry` double").coalesce(1).select("no", F.col("t").cast("timestamp_ntz").alias("stamp"), "CH4 dry").write.parquet(f"{tmp_path}/s.parquet")
+    got = read_series(spark, f"file://{tmp_path}/s.{form}")
+    rows = got.orderBy("us").collect()
+    assert len(rows) == 100 and [r["CH4 dry"] for r in rows] == [v for _, v in lines[:100]] and rows[1].us - rows[0].us == 1_000_000
+    p = profile(got.withColumn("name", F.lit("a")), "name", "us", "CH4 dry", window_us=20_000_000, block_length=10)
+    assert p.stats.first().n_source_points == 100 and p.stats.first().sample_period_s == 1.0
+    with pytest.raises(IngestError):
+        spark.createDataFrame([(1,)], "a int").write.parquet(f"{tmp_path}/none.parquet")
+        read_series(spark, f"file://{tmp_path}/none.parquet")
