@@ -67,6 +67,12 @@ def running_sum(df: DataFrame, keys: list[str], us: str, value: Column, name: st
     return c.withColumn(name, F.coalesce("_in", zero) + F.coalesce("_carry", zero)).drop(CHUNK, "_v", "_in", "_carry")
 
 
+def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The last row of each key by the columns ``order``; of rows that are equal in them any.  Rows are combined before the shuffle."""
+    top = df.groupBy(*keys).agg(F.max_by(F.struct(*(c for c in df.columns if c not in keys)), F.struct(*order)).alias("_row"))
+    return top.select(*(c if c in keys else F.col("_row").getField(c).alias(c) for c in df.columns))
+
+
 def islands(df: DataFrame, keys: list[str], us: str, gap_us: int | Column, name: str, *, chunk_us: int = DAY) -> DataFrame:
     """Number, from 0, of the run of rows that follow each other by at most ``gap_us``; 0 starts a run."""
     gap = F.lit(gap_us) if isinstance(gap_us, int) else gap_us

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass
 from functools import reduce
 
@@ -14,6 +15,7 @@ from ..config.spec import micros, seconds
 from ..functions.scalar import declared_sigma, floor_sigma, reported_sigma, source_label
 from ..functions.time import from_us
 from ..operators.align import check_grid, interpolate, output_grid, pmf_matrix
+from ..logs import NAME
 from ..operators.areas import event_areas, net_areas
 from ..operators.baseline import baseline_sweep
 from ..operators.cluster import dbscan
@@ -253,6 +255,8 @@ def run(spark: SparkSession, cfg: RunConfig, *, baseline_sigma: str | None = Non
     if cfg.analysis.clustering.enabled and home:
         out.clusters = cluster_events(out.events, streams[home].select("us", "latitude", "longitude"), cfg.analysis, chunk_us=chunk_us)
     out.met = _met_grid(streams, cfg, out.samples)
+    n, inner = out.events.count(), out.links.count()
+    logging.getLogger(NAME).info("%s: %d events, %d of them nested, %d instruments, %d species", cfg.manifest.name, n, inner, len(streams), len(periods))
     return out
 
 

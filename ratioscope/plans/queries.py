@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geodesy, scalar, time
@@ -238,16 +238,22 @@ def pair_fast_slow(spark, sf):
     return r6(out, "x", "y")
 
 
-_T0, _T1 = 1_704_067_200 * SECOND, (1_704_067_200 + 30 * 86_400) * SECOND
 _GRID = f"""
-WITH c AS (SELECT unnest(generate_series({_T0}, {_T1} - 1, {HOUR})) AS cell_us), k AS (SELECT DISTINCT stream FROM $E),
-b AS (SELECT stream, (us - {_T0}) // {HOUR} * {HOUR} + {_T0} AS cell_us, avg(value) AS value, count(value) AS n_native FROM $E WHERE us >= {_T0} AND us < {_T1} GROUP BY ALL),
+WITH c AS (SELECT unnest(generate_series(min(us) // {HOUR} * {HOUR}, max(us), {HOUR})) AS cell_us FROM $E), k AS (SELECT DISTINCT stream FROM $E),
+b AS (SELECT stream, us // {HOUR} * {HOUR} AS cell_us, avg(value) AS value, count(value) AS n_native FROM $E GROUP BY ALL),
 g AS (SELECT k.stream, c.cell_us, b.value, coalesce(b.n_native, 0) AS n_native FROM k CROSS JOIN c LEFT JOIN b ON b.stream = k.stream AND b.cell_us = c.cell_us)
 """
 
 
+def _span(ev: DataFrame) -> tuple[int, int]:
+    """The table's own span, from a whole hour on."""
+    lo, hi = ev.agg(F.min("us"), F.max("us")).first()
+    return (0, 0) if lo is None else (lo // HOUR * HOUR, hi + 1)
+
+
 def _grid(spark, sf) -> DataFrame:
-    return align.output_grid(events(spark, sf), KEYS, "us", "value", HOUR, _T0, _T1)
+    ev = events(spark, sf)
+    return align.output_grid(ev, KEYS, "us", "value", HOUR, *_span(ev))
 
 
 @query(_GRID + "SELECT stream, cell_us, round(value, 6) AS value, n_native FROM g")
@@ -258,13 +264,13 @@ def output_grid(spark, sf):
 @query(_GRID.replace("avg(value) AS value,", "median(value) AS value, sqrt(sum(pow(0.5 + 0.02 * value, 2))) / count(value) * sqrt(pi() / 2) AS sigma_rand, avg(0.01 * value) AS sigma_sys,").replace("b.value, coalesce", "b.value, b.sigma_rand, b.sigma_sys, coalesce") + "SELECT stream, cell_us, round(value, 6) AS value, round(sigma_rand, 6) AS sigma_rand, round(sigma_sys, 6) AS sigma_sys, n_native FROM g")
 def output_grid_sigma(spark, sf):
     ev = events(spark, sf).withColumn("sigma_rand", 0.5 + 0.02 * F.col("value")).withColumn("sigma_sys", 0.01 * F.col("value"))
-    return r6(align.output_grid(ev, KEYS, "us", "value", HOUR, _T0, _T1, statistic="median", sigma_rand="sigma_rand", sigma_sys="sigma_sys"), "value", "sigma_rand", "sigma_sys")
+    return r6(align.output_grid(ev, KEYS, "us", "value", HOUR, *_span(ev), statistic="median", sigma_rand="sigma_rand", sigma_sys="sigma_sys"), "value", "sigma_rand", "sigma_sys")
 
 
 @query(_GRID.replace("avg(value) AS value,", "fmod(degrees(atan2(avg(sin(radians(value * 3))), avg(cos(radians(value * 3))))) + 360, 360) AS value,") + "SELECT stream, cell_us, round(value, 4) AS value, n_native FROM g")
 def output_grid_circular(spark, sf):
     ev = events(spark, sf).withColumn("value", F.col("value") * 3)
-    return align.output_grid(ev, KEYS, "us", "value", HOUR, _T0, _T1, statistic="circular").withColumn("value", F.round("value", 4))
+    return align.output_grid(ev, KEYS, "us", "value", HOUR, *_span(ev), statistic="circular").withColumn("value", F.round("value", 4))
 
 
 _STREAMS = ["click", "error", "purchase", "signup", "view"]
@@ -351,8 +357,7 @@ def circular_mean(spark, sf):
 
 @query("SELECT user_id, stream, event_id, us, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, stream ORDER BY us DESC, event_id DESC) AS k FROM $E) WHERE k = 1")
 def dedupe_latest(spark, sf):
-    w = Window.partitionBy("user_id", "stream").orderBy(F.desc("us"), F.desc("event_id"))
-    return events(spark, sf, "user_id", "event_id").withColumn("k", F.row_number().over(w)).where("k = 1").select("user_id", "stream", "event_id", "us", "value")
+    return ordered.latest(events(spark, sf, "user_id", "event_id"), ["user_id", "stream"], ["us", "event_id"]).select("user_id", "stream", "event_id", "us", "value")
 
 
 _PLACE = "SELECT event_id AS id, 40 + (user_id % 50) * 0.001 AS lat, -110 + value * 0.0001 AS lon, us FROM $E"

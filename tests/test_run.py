@@ -1,6 +1,8 @@
+import logging
 import math
 
 from ratioscope.config import RunConfig
+from ratioscope.logs import setup_logging
 from ratioscope.plans.analysis import run
 
 
@@ -49,7 +51,11 @@ def _campaign(tmp_path, seconds=900, declared=1e-6):
 
 
 def test_run_aligns_floors_and_picks(spark, tmp_path):
+    log = setup_logging("INFO", tmp_path / "logs" / "run.log")
     a = run(spark, _campaign(tmp_path), baseline_sigma="order", chunk_us=200_000_000)
+    said = (tmp_path / "logs" / "run.log").read_text()
+    assert f"steps: {a.events.count()} events, {a.links.count()} of them nested" in said and "INFO" in said
+    assert len(setup_logging("ERROR").handlers) == 1 and log.level == logging.ERROR
     box = {(r.us - 1700000000_000000) // 1_000_000: r for r in a.streams["box"].collect()}
     assert len(box) == 900
     for i, r in box.items():
