@@ -100,37 +100,47 @@ def fit_events(df: DataFrame, keys: list[str], line: Callable[..., Line], x: str
 
 
 def york(df: DataFrame, keys: list[str], x: str = "x", y: str = "y", sx: str = "sx", sy: str = "sy", r: str | None = None, *, rounds: int = 12, tol: float = 1e-12, scratch: Scratch | None = None) -> DataFrame:
-    """York's fit of groups of any size: every round is two aggregations over all pairs.
+    """York's fit of groups of any size: every round is one aggregation over all pairs.
 
-    Slopes start from least squares.  Rounds stop when no group's slope moves by more than ``tol`` of itself.
+    Slopes start from least squares.  Rounds stop when no group's slope moves by more than ``tol`` of itself.  At a slope, the mean
+    and the next slope are made of sums of 1, x, y, xx, xy, yy under four weights; pairs are centred first, so that these keep
+    their digits.
     """
     scratch = scratch or Scratch(df.sparkSession, "york")
     need = [x, y, sx, sy, *([r] if r else [])]
     rows = df.where(" and ".join(f"`{c}` is not null" for c in need)).select(*keys, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), (1 / F.pow(sx, 2)).alias("wx"), (1 / F.pow(sy, 2)).alias("wy"), (F.col(r).cast("double") if r else F.lit(0.0)).alias("r"))
-    rows = scratch.write(rows, "pairs")
-    fit = rows.groupBy(*keys).agg(F.regr_slope("y", "x").alias("b")).where("b is not null")
+    first = scratch.write(rows.groupBy(*keys).agg(F.regr_slope("y", "x").alias("b"), F.avg("x").alias("x0"), F.avg("y").alias("y0")).where("b is not null"), "starts")
     c = F.col
+    rows = rows.join(first.drop("b"), keys).withColumn("x", c("x") - c("x0")).withColumn("y", c("y") - c("y0")).drop("x0", "y0")
+    rows, fit = scratch.write(rows, "pairs"), first.select(*keys, "b")
     alpha = F.sqrt(c("wx") * c("wy"))
     w = c("wx") * c("wy") / (c("wx") + c("b") * c("b") * c("wy") - 2 * c("b") * c("r") * alpha)
-    u, v = c("x") - c("xm"), c("y") - c("ym")
-    beta = c("w") * (u / c("wy") + c("b") * v / c("wx") - (c("b") * u + v) * c("r") / alpha)
-
-    def around(fit: DataFrame) -> DataFrame:
-        weighed = rows.join(fit.select(*keys, "b"), keys).withColumn("w", w)
-        mean = weighed.groupBy(*keys).agg((F.sum(c("w") * c("x")) / F.sum("w")).alias("xm"), (F.sum(c("w") * c("y")) / F.sum("w")).alias("ym"))
-        return weighed.join(mean, keys).withColumn("beta", beta)
-
+    weights = {"w": c("w"), "p": c("w") * c("w") / c("wy"), "q": c("w") * c("w") / c("wx"), "o": c("w") * c("w") * c("r") / alpha}
+    powers = {"": F.lit(1.0), "x": c("x"), "y": c("y"), "xx": c("x") * c("x"), "xy": c("x") * c("y"), "yy": c("y") * c("y")}
+    sums = [F.sum(v * m).alias(f"_{k}{n}") for k, v in weights.items() for n, m in powers.items()]
+    xm, ym = c("_wx") / c("_w"), c("_wy") / c("_w")
+
+    def about(k: str, a: str, b: str) -> Column:
+        """Sum of (a - its mean) (b - its mean) under weight ``k``."""
+        mean = {"x": xm, "y": ym}
+        return c(f"_{k}{a}{b}") - mean[a] * c(f"_{k}{b}") - mean[b] * c(f"_{k}{a}") + mean[a] * mean[b] * c(f"_{k}")
+
+    up = about("p", "x", "y") + c("b") * about("q", "y", "y") - c("b") * about("o", "x", "y") - about("o", "y", "y")
+    down = about("p", "x", "x") + c("b") * about("q", "x", "y") - c("b") * about("o", "x", "x") - about("o", "x", "y")
     for k in range(rounds):
-        new = around(fit).groupBy(*keys).agg((F.sum(c("w") * c("beta") * v) / F.sum(c("w") * c("beta") * u)).alias("b"), F.first("b").alias("last"))
-        fit = scratch.write(new, f"slopes{k}")
+        got = rows.join(fit.select(*keys, "b"), keys).withColumn("w", w).groupBy(*keys).agg(F.first("b").alias("b"), *sums)
+        fit = scratch.write(got.select(*keys, (up / down).alias("b"), c("b").alias("last")), f"slopes{k}")
         if not fit.where(F.abs(c("b") - c("last")) > tol * F.greatest(F.lit(1.0), F.abs("b"))).head(1):
             break
-    end = around(fit).withColumn("a", c("ym") - c("b") * c("xm")).withColumn("adj", c("xm") + c("beta"))
-    # of u = adj - mean(adj): sum w u^2 by one pass about xm
-    d = c("adj") - c("xm")
-    out = end.groupBy(*keys).agg(F.first("b").alias("slope"), F.first("a").alias("intercept"), F.sum("w").alias("sw"), F.sum(c("w") * d).alias("wd"), F.sum(c("w") * d * d).alias("wdd"), F.first("xm").alias("xm"), F.sum(c("w") * F.pow(c("y") - c("b") * c("x") - c("a"), 2)).alias("s"), F.count("*").alias("n"))
+    weighed = rows.join(fit.select(*keys, "b"), keys).withColumn("w", w)
+    mean = weighed.groupBy(*keys).agg((F.sum(c("w") * c("x")) / F.sum("w")).alias("xm"), (F.sum(c("w") * c("y")) / F.sum("w")).alias("ym"))
+    u, v = c("x") - c("xm"), c("y") - c("ym")
+    # beta is how far adjusted points lie from xm: the spread of these is taken about their own mean
+    end = weighed.join(mean, keys).withColumn("a", c("ym") - c("b") * c("xm")).withColumn("d", c("w") * (u / c("wy") + c("b") * v / c("wx") - (c("b") * u + v) * c("r") / alpha))
+    out = end.groupBy(*keys).agg(F.first("b").alias("slope"), F.first("a").alias("_a"), F.sum("w").alias("sw"), F.sum(c("w") * c("d")).alias("wd"), F.sum(c("w") * c("d") * c("d")).alias("wdd"), F.first("xm").alias("xm"), F.sum(c("w") * F.pow(c("y") - c("b") * c("x") - c("a"), 2)).alias("s"), F.count("*").alias("n"))
     sb = F.sqrt(1 / (c("wdd") - c("wd") * c("wd") / c("sw")))
-    return out.select(*keys, "slope", "intercept", sb.alias("sigma_slope"), F.sqrt(1 / c("sw") + F.pow((c("xm") + c("wd") / c("sw")) * sb, 2)).alias("sigma_intercept"), "s", "n")
+    out = out.join(first.select(*keys, "x0", "y0"), keys).withColumn("intercept", c("_a") + c("y0") - c("slope") * c("x0"))
+    return out.select(*keys, "slope", "intercept", sb.alias("sigma_slope"), F.sqrt(1 / c("sw") + F.pow((c("xm") + c("x0") + c("wd") / c("sw")) * sb, 2)).alias("sigma_intercept"), "s", "n")
 
 
 def ratios(fit: DataFrame, *, min_points: int = 8, confidence: float = 0.95, scale_x: float = 0.0, scale_y: float = 0.0) -> DataFrame:
