@@ -453,6 +453,26 @@ def matched_filter(spark, sf):
     return out.select("stream", "event_id", F.round("score", 6).alias("score"), F.round("amplitude", 5).alias("amplitude"))
 
 
+@query(f"""
+WITH RECURSIVE v AS (SELECT stream, us // {2 * HOUR} * {2 * HOUR} AS us, avg(value) AS x FROM $E GROUP BY ALL),
+g AS (SELECT *, sum(g) OVER (PARTITION BY stream ORDER BY us ROWS UNBOUNDED PRECEDING)::BIGINT AS seg FROM (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY stream ORDER BY us) > {2 * HOUR} THEN 1 ELSE 0 END AS g FROM v)),
+h AS (SELECT *, x - first_value(x) OVER (PARTITION BY stream, seg ORDER BY us) AS y FROM g),
+p AS (SELECT *, sum(y) OVER o AS s1, sum(y * y) OVER o AS s2 FROM h WINDOW o AS (PARTITION BY stream, seg ORDER BY us ROWS UNBOUNDED PRECEDING)),
+l AS MATERIALIZED (SELECT stream, seg, count(*) AS n, list_prepend(0.0, list(s1 ORDER BY us)) AS s1, list_prepend(0.0, list(s2 ORDER BY us)) AS s2, list(us ORDER BY us) AS us, list(x ORDER BY us) AS x FROM p GROUP BY ALL),
+r AS (SELECT stream, seg, 0 AS i, [-6.0::DOUBLE] AS f, CAST([] AS BIGINT[]) AS b FROM l
+  UNION ALL SELECT stream, seg, i + 1, list_append(f, list_min(c)), list_append(b, list_position(c, list_min(c)))
+  FROM (SELECT r.*, list_transform(range(1, i + 2), lambda j: f[j] + 6 + (s2[i + 2] - s2[j] - pow(s1[i + 2] - s1[j], 2) / (i + 2 - j)) / 225) AS c FROM r JOIN l USING (stream, seg) WHERE i < n)),
+e AS (SELECT stream, seg, n AS hi, b[n] AS lo, b FROM r JOIN l USING (stream, seg) WHERE i = n UNION ALL SELECT stream, seg, lo - 1, b[lo - 1], b FROM e WHERE lo > 1)
+SELECT stream, seg AS segment, us[lo] AS start_us, us[hi] AS end_us, round(list_avg(x[lo:hi]), 6) AS level, hi - lo + 1 AS n FROM e JOIN l USING (stream, seg)
+""")
+def change_points(spark, sf):
+    """Two-hourly means, cut into parts of 100 samples."""
+    from ..operators.changes import change_points as pieces
+
+    bins = events(spark, sf).groupBy("stream", (F.floor(F.col("us") / F.lit(2 * HOUR)) * (2 * HOUR)).alias("us")).agg(F.avg("value").alias("value")).withColumn("s", F.lit(15.0))
+    return r6(pieces(bins, KEYS, "us", "value", "s", penalty=6.0, max_gap_us=2 * HOUR, part_rows=100, chunk_us=CHUNK), "level")
+
+
 def _nested_levels_sql(level: int, name: str, window: int) -> str:
     w = f"(PARTITION BY stream ORDER BY us RANGE BETWEEN {window // 2 - 1} PRECEDING AND {window // 2} FOLLOWING)"
     return f"SELECT stream, {level} AS level, us, value, quantile_cont(value, 0.05) OVER {w} AS b FROM $E"
