@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import ProfilingError
@@ -12,7 +12,7 @@ from ..functions.scalar import MAD_SCALE, known
 from ..scratch import Scratch
 from .baseline import baseline_sweep
 from .noise import diff_mad
-from .ordered import DAY, islands, previous
+from .ordered import DAY, islands, previous, running_sum
 from .select import quantiles
 
 
@@ -80,15 +80,15 @@ def profile(df: DataFrame, name: str, us: str, value: str, *, window_us: int = 1
 
 
 def blocks(df: DataFrame, keys: list[str], us: str, value: str, gap_us, length: int, most: int, *, chunk_us: int = DAY) -> DataFrame:
-    """keys, block_id (from 0), values: full runs of ``length`` gap-free samples, less their means; at most ``most`` a key."""
-    seg = islands(df, keys, us, gap_us, "_seg", chunk_us=chunk_us)
-    # a row's place in its segment: running count less the count before the segment
-    from .ordered import running_sum
-
-    seg = running_sum(seg, keys, us, F.lit(1).cast("long"), "_row", chunk_us=chunk_us)
-    first = seg.groupBy(*keys, "_seg").agg(F.min("_row").alias("_first"))
-    at = seg.join(first, [*keys, "_seg"]).withColumn("_b", F.floor((F.col("_row") - F.col("_first")) / length))
-    full = at.groupBy(*keys, "_seg", "_b").agg(F.array_sort(F.collect_list(F.struct(us, value))).alias("_v"), F.avg(value).alias("_m")).where(F.size("_v") == length)
-    ids = Window.partitionBy(*keys).orderBy("_seg", "_b")
-    out = full.withColumn("block_id", F.row_number().over(ids) - 1).where(F.col("block_id") < most)
-    return out.select(*keys, "block_id", F.transform(F.col("_v"), lambda s: s[value] - F.col("_m")).alias("values"))
+    """keys, block_id (from 0), values: full runs of ``length`` gap-free samples, less their means; at most ``most`` a key.
+
+    A block's number is its place in its segment beyond the blocks of the segments before: a sum over a row a segment, so that no
+    task orders a stream's blocks, and rows of blocks beyond ``most`` go before blocks are made.
+    """
+    rows = running_sum(islands(df, keys, us, gap_us, "_seg", chunk_us=chunk_us), keys, us, F.lit(1).cast("long"), "_row", chunk_us=chunk_us)
+    segments = rows.groupBy(*keys, "_seg").agg(F.min("_row").alias("_first"), F.floor(F.count("*") / length).alias("_k"))
+    segments = running_sum(segments, keys, "_seg", F.col("_k"), "_upto", chunk_us=100_000).where("_k > 0").withColumn("_before", F.col("_upto") - F.col("_k"))
+    at = rows.join(segments, [*keys, "_seg"]).withColumn("_b", F.floor((F.col("_row") - F.col("_first")) / length)).where("_b < _k")
+    at = at.withColumn("block_id", F.col("_before") + F.col("_b")).where(F.col("block_id") < most)
+    full = at.groupBy(*keys, "block_id").agg(F.array_sort(F.collect_list(F.struct(us, value))).alias("_v"), F.avg(value).alias("_m"))
+    return full.select(*keys, "block_id", F.transform(F.col("_v"), lambda s: s[value] - F.col("_m")).alias("values"))
