@@ -26,7 +26,7 @@ def test_library_does_not_import_llm():
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
-@pytest.mark.parametrize("name", ["baseline_enhancement", "plume_catalog", "rolling_noise", "aux_interp", "pmf_matrix", "ols_ratio", "declared_detection", "nested_links", "space_time_clusters", "detection_score", "output_grid_sigma", "output_grid_circular", "angle_interp", "odr_ratio", "butterworth_bins", "baseline_sigma_order", "baseline_sigma_bootstrap", "rolling_york", "rolling_qn_noise", "net_areas", "hmm_states", "matched_filter", "change_points", "block_centre"])
+@pytest.mark.parametrize("name", ["baseline_enhancement", "plume_catalog", "rolling_noise", "aux_interp", "pmf_matrix", "ols_ratio", "declared_detection", "nested_links", "space_time_clusters", "detection_score", "output_grid_sigma", "output_grid_circular", "angle_interp", "odr_ratio", "baseline_sigma_order", "rolling_york", "net_areas", "hmm_states", "delimited_files", "qaqc_rules"])
 def test_queries_equal_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     c = duckdb.connect()
