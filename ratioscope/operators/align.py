@@ -2,17 +2,52 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import ConfigError
 from .circular import circular_mean
-from .ordered import DAY, last_known, range_join
+from .ordered import DAY, last_known, over_chunks
 from .propagate import random_of_mean, random_of_median, systematic_of_mean
+from .windowed import SortedWindow, window_sums
 
 BIN_STATISTICS = {"mean": lambda x: F.avg(x), "median": lambda x: F.percentile(x, F.lit(0.5)), "circular": circular_mean}
 
 
+def _window_mean(x: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    fine = np.isfinite(x)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        out = window_sums(np.where(fine, x, 0.0), first, last) / (last - first)
+    for i in np.flatnonzero(window_sums(~fine, first, last)):
+        out[i] = x[first[i] : last[i]].mean()
+    return out
+
+
+def _window_median(x: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    order = SortedWindow()
+    out, lo, hi, xs = np.full(len(first), np.nan), 0, 0, np.where(np.isnan(x), np.inf, x).tolist()
+    for i, (a, b) in enumerate(zip(first.tolist(), last.tolist())):
+        if a >= hi:
+            order, lo, hi = SortedWindow(), a, a
+        for j in range(hi, b):
+            order.add(xs[j])
+        for j in range(lo, a):
+            order.remove(xs[j])
+        lo, hi = a, b
+        out[i] = order.quantile(0.5)
+    return out
+
+
+def _window_circular(x: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    s, c = (_window_mean(f(np.radians(x)), first, last) for f in (np.sin, np.cos))
+    return np.where(s * s + c * c > 1e-24, np.degrees(np.arctan2(s, c)) % 360.0, np.nan)
+
+
+#: ``BIN_STATISTICS`` of the runs [first, last), neither of which falls.
+WINDOW_STATISTICS = {"mean": _window_mean, "median": _window_median, "circular": _window_circular}
+
+
 def interpolate(targets: DataFrame, source: DataFrame, keys: list[str], us: str, values: list[str], *, max_gap_us: int | None = None, clamp: bool = True, angles: tuple[str, ...] = (), chunk_us: int = DAY) -> DataFrame:
     """Targets with the source's ``values`` lerped onto their times.
 
@@ -50,10 +85,20 @@ def pair(fast: DataFrame, slow: DataFrame, keys: list[str], us: str, fast_value:
     Unknown values take no part, and slow samples with no fast one are dropped: no pair is made up.
     """
     half = period_us // 2
-    cells = slow.where(F.col(slow_value).isNotNull()).select(*keys, F.col(us).alias("t"), (F.col(us) - half).alias("_lo"), (F.col(us) - half + period_us).alias("_hi"), F.col(slow_value).alias("y"))
-    pts = fast.where(F.col(fast_value).isNotNull()).select(*keys, F.col(us).alias("_t"), F.col(fast_value).alias("_x"))
-    met = range_join(cells, pts, "_lo", "_hi", "_t", max(period_us, 1), on=keys)
-    return met.groupBy(*keys, "t", "y").agg(BIN_STATISTICS[statistic](F.col("_x")).alias("x"), F.count("_x").alias("n_native")).select(*keys, F.col("t").alias(us), "x", "y", "n_native")
+    cells = slow.where(F.col(slow_value).isNotNull()).groupBy(*keys, F.col(us).alias("t"), F.col(slow_value).alias("y")).agg(F.count("*").alias("_k"))
+    pts = fast.where(F.col(fast_value).isNotNull()).select(*keys, F.col(us).alias("t"), F.col(fast_value).cast("double").alias("_x"))
+    of = WINDOW_STATISTICS[statistic]
+
+    def go(t: np.ndarray, c: dict[str, np.ndarray], own: np.ndarray) -> dict:
+        known = np.flatnonzero(np.isnan(c["_k"].astype(float)))  # a slow sample has a number of copies, a fast one has none
+        x, at = c["_x"].astype(float)[known], t[known]
+        first, last = np.searchsorted(at, t[own] - half), np.searchsorted(at, t[own] - half + period_us)
+        return {"x": of(x, first, last), "_n": last - first}
+
+    # slow samples and fast ones by time: a window moves over these, and pairs of both are never rows
+    both = cells.withColumn("_x", F.lit(None).cast("double")).unionByName(pts, allowMissingColumns=True)
+    met = over_chunks(both, keys, "t", 2 * period_us + 2, {"x": "double", "_n": "bigint"}, go, only=F.col("_k").isNotNull(), chunk_us=max(DAY, 2 * period_us))
+    return met.where("_n > 0").select(*keys, F.col("t").alias(us), "x", "y", (F.col("_n") * F.col("_k")).alias("n_native"))
 
 
 def check_grid(step_us: int, periods_us: dict[str, int]) -> None:

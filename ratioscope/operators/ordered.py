@@ -10,12 +10,14 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 CHUNK = "_chunk"
 DAY = 86_400_000_000
+_ARROW = {"double": pa.float64(), "bigint": pa.int64(), "boolean": pa.bool_()}
 
 
 def chunked(df: DataFrame, us: str, chunk_us: int) -> DataFrame:
@@ -81,29 +83,44 @@ def islands(df: DataFrame, keys: list[str], us: str, gap_us: int | Column, name:
     return out.drop("_prev")
 
 
-def over_chunks(df: DataFrame, keys: list[str], us: str, window_us: int, outputs: dict[str, str], fn: Callable[[np.ndarray, dict[str, np.ndarray], np.ndarray], dict], *, chunk_us: int = DAY) -> DataFrame:
+class _Columns(dict):
+    """A chunk's columns in its order of time, made when asked for."""
+
+    def __init__(self, table: pa.Table, order: np.ndarray):
+        super().__init__()
+        self.table, self.order = table, order
+
+    def __missing__(self, name: str) -> np.ndarray:
+        self[name] = self.table[name].to_numpy()[self.order]
+        return self[name]
+
+
+def over_chunks(df: DataFrame, keys: list[str], us: str, window_us: int, outputs: dict[str, str], fn: Callable[[np.ndarray, dict[str, np.ndarray], np.ndarray], dict], *, chunk_us: int = DAY, only: Column | None = None) -> DataFrame:
     """``df`` with ``outputs`` (name: SQL type), made chunk by chunk, each with half a window of copied rows on either side.
 
     ``fn(times, columns, own)`` gets a chunk's rows by time, copies among them, and the places of the chunk's own rows; it returns
-    arrays for these.  A task holds a chunk and its halo, not a stream.
+    arrays for these.  A task holds a chunk and its halo, not a stream, as Arrow; columns that ``fn`` doesn't ask for stay so.
+    With ``only`` rows that it isn't true for are seen by ``fn``, but have no output.
     """
     half = window_us // 2
     t = F.col(us)
     span = F.sequence(F.floor((t - half) / F.lit(chunk_us)), F.floor((t + half) / F.lit(chunk_us)))
-    copies = df.withColumn("_own", F.floor(t / F.lit(chunk_us))).withColumn(CHUNK, F.explode(span))
+    own_chunk = F.floor(t / F.lit(chunk_us))
+    copies = df.withColumn("_own", own_chunk if only is None else F.when(only, own_chunk)).withColumn(CHUNK, F.explode(span))
     columns = list(df.columns)  # the function must not hold the frame
     schema = T.StructType(list(df.schema.fields) + [T.StructField(k, T._parse_datatype_string(v)) for k, v in outputs.items()])
 
-    def go(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(us, kind="stable").reset_index(drop=True)
-        own = np.flatnonzero((pdf["_own"] == pdf[CHUNK]).to_numpy())
-        out = pdf.iloc[own][columns].copy()
-        got = fn(pdf[us].to_numpy(), {c: pdf[c].to_numpy() for c in columns}, own) if len(own) else {k: [] for k in outputs}
-        for k in outputs:
-            out[k] = got[k]
+    def go(table: pa.Table) -> pa.Table:
+        order = np.argsort(table[us].to_numpy(), kind="stable")
+        c = _Columns(table, order)
+        own = np.flatnonzero(c["_own"] == c[CHUNK])
+        got = fn(c[us], c, own) if len(own) else {k: [] for k in outputs}
+        out = table.select(columns).take(order[own])
+        for k, v in outputs.items():
+            out = out.append_column(k, pa.array(got[k], _ARROW[v], from_pandas=True))
         return out
 
-    return copies.groupBy(*keys, CHUNK).applyInPandas(go, schema)
+    return copies.groupBy(*keys, CHUNK).applyInArrow(go, schema)
 
 
 def rolling(df: DataFrame, keys: list[str], us: str, value: str, window_us: int, outputs: dict[str, str], fn: Callable[[pd.Series, object], dict], *, chunk_us: int = DAY) -> DataFrame:

@@ -1,7 +1,7 @@
 """Order statistics of moving windows.
 
 A window's values are kept in sorted blocks that take a value in or out, and tell the value of a rank, in logarithmic time; a window
-moves to the next sample by the few values that leave and enter.
+moves to the next sample by the few values that leave and enter.  Sums come from running sums.
 """
 
 from __future__ import annotations
@@ -23,14 +23,15 @@ QN_SMALL = {2: 0.399, 3: 0.994, 4: 0.512, 5: 0.844, 6: 0.611, 7: 0.857, 8: 0.669
 class SortedWindow:
     """A multiset of numbers in sorted blocks of at most ``2 * load``."""
 
-    def __init__(self, load: int = 256):
-        self.load, self.blocks, self.tops, self._before = load, [], [], None
+    def __init__(self, load: int = 1024):
+        self.load, self.blocks, self.tops, self._before, self.size = load, [], [], None, 0
 
     def __len__(self) -> int:
-        return sum(map(len, self.blocks))
+        return self.size
 
     def add(self, x: float) -> None:
         self._before = None
+        self.size += 1
         if not self.blocks:
             self.blocks, self.tops = [[x]], [x]
             return
@@ -45,6 +46,7 @@ class SortedWindow:
 
     def remove(self, x: float) -> None:
         self._before = None
+        self.size -= 1
         k = bisect_left(self.tops, x)
         block = self.blocks[k]
         del block[bisect_left(block, x)]
@@ -149,7 +151,10 @@ def qn(values: np.ndarray) -> float:
     if n < 2:
         return np.nan
     h = n // 2 + 1
-    d = kth_difference(values, h * (h - 1) // 2)
+    return _scaled(kth_difference(values, h * (h - 1) // 2), n)
+
+
+def _scaled(d: float, n: int) -> float:
     return QN_SCALE * d * (QN_SMALL[n] if n in QN_SMALL else n / (n + 1.4) if n % 2 else n / (n + 3.8))
 
 
@@ -176,6 +181,140 @@ def sliding(t: np.ndarray, x: np.ndarray, half: int, rows: np.ndarray, weights:
         yield window
 
 
+def _reach(x: np.ndarray, a: float) -> np.ndarray:
+    """For each of the sorted ``x`` the place after the last number that is at most ``a`` more, as differences are rounded."""
+    n = len(x)
+    if a < 0:
+        return np.arange(1, n + 1)
+    h = np.searchsorted(x, x + a, side="right")
+    while (more := (h < n) & (x[np.minimum(h, n - 1)] - x <= a)).any():
+        h = np.where(more, np.searchsorted(x, x[np.minimum(h, n - 1)], side="right"), h)
+    while (less := x[h - 1] - x > a).any():
+        h = np.where(less, np.searchsorted(x, x[h - 1], side="left"), h)
+    return h
+
+
+class QnWindow:
+    """Qn of a multiset that numbers enter and leave.
+
+    How many differences are at most ``low``, and which lie in (low, high], is kept up with each number that comes or goes: it
+    meets few others at such a distance.  The bracket holds a few differences a number, and is laid anew when the wanted
+    rank, which moves by a share of the numbers a step, has left it; so a step costs little more in large windows than in small ones.
+    """
+
+    def __init__(self, per: float = 4.0):
+        self.per, self.x, self.low, self.high, self.until, self.inner, self.count = per, [], None, 0.0, 0, None, 0
+
+    def _change(self, v: float, sign: int) -> None:
+        """Takes the differences between ``v`` and all of ``x`` (without it) in or out."""
+        x, off = self.x, lambda u: u - v
+        i, j = bisect_left(x, -self.low, key=off), bisect_right(x, self.low, key=off)
+        if self.low < 0:  # no difference is that small
+            i = j = bisect_left(x, v)
+        self.until += sign * (j - i)
+        h, k = bisect_left(x, -self.high, 0, i, key=off), bisect_right(x, self.high, j, key=off)
+        self.count += sign * (i - h + k - j)
+        if self.inner is not None:
+            each = self.inner.add if sign > 0 else self.inner.remove
+            for u in x[h:i]:
+                each(v - u)
+            for u in x[j:k]:
+                each(u - v)
+
+    def add(self, v: float) -> None:
+        if self.low is not None:
+            self._change(v, 1)
+        insort(self.x, v)
+
+    def remove(self, v: float) -> None:
+        del self.x[bisect_left(self.x, v)]
+        if self.low is not None:
+            self._change(v, -1)
+
+    def _lay(self, x: np.ndarray, k: int, low: float, high: float) -> bool:
+        """A bracket, if it holds rank ``k`` and not too many differences."""
+        a, b = _reach(x, low), _reach(x, high)
+        place = np.arange(1, len(x) + 1)
+        until, count = int((a - place).sum()), int((b - a).sum())
+        if not until < k <= until + count or count > 4 * self.per * len(x) + 64:
+            return False
+        self.low, self.high, self.until, self.count, self.inner = low, high, until, count, SortedWindow()
+        size = b - a
+        d = x[np.arange(count) + np.repeat(a - np.cumsum(size) + size, size)] - np.repeat(x, size)
+        d.sort()
+        load = self.inner.load
+        self.inner.blocks = [d[i : i + load].tolist() for i in range(0, count, load)]
+        self.inner.tops, self.inner.size = [b[-1] for b in self.inner.blocks], count
+        return True
+
+    def _anew(self, k: int) -> None:
+        x = np.array(self.x)
+        half = self.per * len(x) / 2
+        if self.low is not None and self.count and self.high > self.low:  # from the last one, by the density of its differences
+            wide = (self.high - self.low) / self.count
+            middle = self.low + (k - self.until) * wide
+            if self._lay(x, k, max(middle - half * wide, -1.0), middle + half * wide):
+                return
+        pairs = len(x) * (len(x) - 1) // 2
+        low = kth_difference(x, max(1, int(k - half)))
+        if not self._lay(x, k, np.nextafter(low, -np.inf), kth_difference(x, min(pairs, int(k + half) + 1))):
+            # very many equal differences: these alone, counted
+            only = kth_difference(x, k)
+            self.low, self.high, self.inner = float(np.nextafter(only, -np.inf)), only, None
+            a, b = _reach(x, self.low), _reach(x, only)
+            self.until, self.count = int((a - np.arange(1, len(x) + 1)).sum()), int((b - a).sum())
+
+    def qn(self) -> float:
+        n = len(self.x)
+        if n < 16:
+            self.low = None
+            return qn(np.array(self.x))
+        h = n // 2 + 1
+        k = h * (h - 1) // 2
+        if self.low is None or not self.until < k <= self.until + self.count:
+            self._anew(k)
+        d = self.high if self.inner is None else self.inner.at(k - self.until - 1)
+        return _scaled(d, n)
+
+
+def rolling_qn_of(t: np.ndarray, x: np.ndarray, half: int, rows: np.ndarray) -> list[float]:
+    """Qn of the known values in (t - half, t + half] of each of ``rows``."""
+    window, lo, hi, out = QnWindow(), 0, 0, []
+    first, last = (np.searchsorted(t, t[rows] + e, side="right").tolist() for e in (-half, half))
+    xs, known = x.tolist(), np.isfinite(x).tolist()
+    if not np.isfinite(x[~np.isnan(x)]).all():  # infinite values have no differences
+        return [qn(np.array(w.values())) for w in sliding(t, x, half, rows)]
+    for a, b in zip(first, last):
+        if a >= hi:  # nothing in common with the window before
+            window, lo, hi = QnWindow(), a, a
+        for i in range(hi, b):
+            if known[i]:
+                window.add(xs[i])
+        for i in range(lo, a):
+            if known[i]:
+                window.remove(xs[i])
+        lo, hi = a, b
+        out.append(window.qn())
+    return out
+
+
+def window_sums(v: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Sums over the runs [first, last) as differences of running sums, in extended precision; ``v`` must be finite."""
+    run = np.concatenate([[0], np.cumsum(v, dtype=np.longdouble)])
+    return (run[last] - run[first]).astype(float)
+
+
+def window_max(v: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Largest of the runs [first, last), by runs of powers of two; minus infinity of empty ones."""
+    out = np.full(len(first), -np.inf)
+    size, top, span = last - first, v.astype(float), 1
+    while (live := size >= span).any():
+        now = np.flatnonzero(live & (size < 2 * span))
+        out[now] = np.maximum(top[first[now]], top[last[now] - span])
+        top, span = np.maximum(top[:-span], top[span:]) if len(top) > span else top[:0], 2 * span
+    return out
+
+
 def members(first: np.ndarray, last: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """Members of the runs [first, last), none of them empty, laid end to end, about ``most`` at a time: which runs (from, to), the
     members' places, each one's run, and where runs start."""
