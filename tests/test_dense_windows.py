@@ -27,3 +27,8 @@ def test_pairs_are_never_rows(spark, statistic):
     got = {(r.k, r.us, r.y): (pytest.approx(r.x, abs=1e-9), r.n_native) for r in out.collect()}
     assert got == {(r.k, r.t, r.y): (r.x, r.n) for r in want.collect()} and got
     assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_neighbours_go_by_no_broadcast(spark):
+    df = spark.range(100).selectExpr("id", "40 + id % 7 * 0.001 as lat", "-110 + id % 11 * 0.001 as lon", "id * 1000000 as us")
+    assert "BroadcastHashJoin" not in cluster.neighbours(df, "id", "lat", "lon", "us", 500.0, 0.5)._jdf.queryExecution().executedPlan().toString()
