@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..scratch import Scratch
 from .ordered import over_chunks
+from .windowed import window_max, window_sums
 
 
 def ols(df: DataFrame, keys: list[str], x: str = "x", y: str = "y") -> DataFrame:
@@ -187,13 +188,22 @@ def closing_cells(cells: DataFrame, keys: list[str], ties: tuple[str, ...] = ())
 
 def rolling_ols(df: DataFrame, keys: list[str], us: str, x: str, y: str, window_us: int, *, chunk_us: int = 86_400_000_000) -> DataFrame:
     """Least squares over a centred window at every pair: slope, n."""
+
+    def go(t: np.ndarray, c: dict[str, np.ndarray], own: np.ndarray) -> dict:
+        u, v = c[x].astype(float), c[y].astype(float)
+        first, last = (np.searchsorted(t, t[own] + e, side="right") for e in (-(window_us // 2), window_us // 2))
+        n = last - first
+        good = np.isfinite(u) & np.isfinite(v)
+        u, v = (np.where(good, w - (w[good].mean() if good.any() else 0.0), 0.0) for w in (u, v))  # centred, so that sums keep their digits
+        sx, sy, sxx, sxy = (window_sums(w, first, last) for w in (u, v, u * u, u * v))
+        several = window_max(u, first, last) > -window_max(-u, first, last)
+        whole = window_sums(~good, first, last) == 0
+        with np.errstate(divide="ignore", invalid="ignore"):
+            slope = (sxy - sx * sy / n) / (sxx - sx * sx / n)
+        return {"slope": np.where(several & whole, slope, np.nan), "n": n}
+
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    packed = both.withColumn("_xy", F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")))
-    half = window_us // 2
-    out = packed.withColumn("_own", F.floor(F.col(us) / F.lit(chunk_us))).withColumn("_chunk", F.explode(F.sequence(F.floor((F.col(us) - half) / F.lit(chunk_us)), F.floor((F.col(us) + half) / F.lit(chunk_us)))))
-    w = Window.partitionBy(*keys, "_chunk").orderBy(us).rangeBetween(-(half - 1), half)
-    out = out.withColumn("slope", F.regr_slope(F.col("_xy.y"), F.col("_xy.x")).over(w)).withColumn("n", F.count("*").over(w))
-    return out.where("_own = _chunk").drop("_own", "_chunk", "_xy")
+    return over_chunks(both, keys, us, window_us, {"slope": "double", "n": "bigint"}, go, chunk_us=max(chunk_us, window_us))
 
 
 def york_windows(x: np.ndarray, y: np.ndarray, sx: np.ndarray, sy: np.ndarray, r: np.ndarray, first: np.ndarray, last: np.ndarray, *, rounds: int = 100, tol: float = 1e-14, pairs: int = 1 << 20) -> np.ndarray:
