@@ -255,6 +255,113 @@ def york_windows(x: np.ndarray, y: np.ndarray, sx: np.ndarray, sy: np.ndarray, r
     return out
 
 
+#: Windows of fewer pairs are fitted pair by pair; larger ones are this many at a time.
+DENSE, SLAB = 512, 20_000
+
+
+def york_dense(x: np.ndarray, y: np.ndarray, sx: np.ndarray, sy: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """``york_windows`` of uncorrelated errors at a cost that doesn't grow with the windows' sizes.
+
+    A round needs sums over a window that are smooth functions of its slope.  They are taken, as differences of running sums, at
+    Chebyshev nodes of the span of the windows' slopes, so many that what lies between is right to a double's digits.
+    """
+    ok = np.isfinite(x).all() and np.isfinite(y).all() and np.isfinite(sx).all() and np.isfinite(sy).all() and (sx > 0).all() and (sy > 0).all()
+    dense = (last - first >= DENSE) & ok
+    out = np.full((len(first), 6), np.nan)
+    out[~dense] = york_windows(x, y, sx, sy, np.zeros(len(x)), first[~dense], last[~dense])
+    at = np.flatnonzero(dense)
+    for i in range(0, len(at), SLAB):
+        rows = at[i : i + SLAB]
+        lo, hi = first[rows].min(), last[rows].max()
+        out[rows] = _york_slab(x[lo:hi], y[lo:hi], sx[lo:hi], sy[lo:hi], first[rows] - lo, last[rows] - lo)
+    return out
+
+
+def _york_slab(x: np.ndarray, y: np.ndarray, sx: np.ndarray, sy: np.ndarray, first: np.ndarray, last: np.ndarray, *, rounds: int = 100, tol: float = 1e-13) -> np.ndarray:
+    out = np.full((len(first), 6), np.nan)
+    n = out[:, 5] = last - first
+    x0, y0 = x.mean(), y.mean()
+    x, y, vx, vy = x - x0, y - y0, sx * sx, sy * sy
+    powers = {"": np.ones(len(x)), "x": x, "y": y, "xx": x * x, "xy": x * y, "yy": y * y}
+    # the weight and what it is multiplied by: of a round, and of the errors at the end
+    steps = [("w", k) for k in ("", "x", "y")] + [("p", k) for k in ("", "x", "y", "xx", "xy")] + [("q", k) for k in ("", "x", "y", "xy", "yy")]
+    ends = [*steps, *(("w", k) for k in ("xx", "xy", "yy")), *(("pp", k) for k in ("", "x", "xx")), *(("pq", k) for k in ("", "x", "y", "xy")), *(("qq", k) for k in ("", "y", "yy"))]
+
+    def sums(b: float, which: list, rows: np.ndarray) -> np.ndarray:
+        w = 1 / (vy + b * b * vx)
+        weight = {"w": w, "p": w * w * vy, "q": w * w * vx, "pp": w**3 * vy * vy, "pq": w**3 * vx * vy, "qq": w**3 * vx * vx}
+        return np.stack([window_sums(weight[k] * powers[m], first[rows], last[rows]) for k, m in which])
+
+    def about(s: dict, k: str, a: str, b: str) -> np.ndarray:
+        return s[k, a + b] - s["m", a] * s[k, b] - s["m", b] * s[k, a] + s["m", a] * s["m", b] * s[k, ""]
+
+    def named(got: np.ndarray, which: list) -> dict:
+        s = dict(zip(which, got))
+        return s | {("m", "x"): s["w", "x"] / s["w", ""], ("m", "y"): s["w", "y"] / s["w", ""]}
+
+    fx, fy, fxx, fxy = (window_sums(powers[k], first, last) for k in ("x", "y", "xx", "xy"))
+    spread = window_max(x, first, last) > -window_max(-x, first, last)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        slope = np.where(spread, (fxy - fx * fy / n) / (fxx - fx * fx / n), np.nan)
+    far = float(np.sqrt((vy / vx).min()))  # how far from real slopes the weights have their poles
+    todo, left = [np.flatnonzero(np.isfinite(slope))], np.full(len(first), rounds)
+    while todo:
+        rows = todo.pop()
+        if not len(rows):
+            continue
+        lo, hi = slope[rows].min(), slope[rows].max()
+        if hi - lo > far and len(rows) > 1:  # halves need fewer nodes
+            low = slope[rows] <= (lo + hi) / 2
+            todo += [rows[low], rows[~low]]
+            continue
+        half = (hi - lo) / 2 * 1.25 + 0.1 * far
+        middle = (lo + hi) / 2
+        m = int(np.ceil(38 / np.log((far + np.hypot(far, half)) / half))) + 4
+        u = np.cos(np.pi * (np.arange(m) + 0.5) / m)
+        inner = np.cos(np.outer(np.arange(m), np.arccos(u))) * (2 / m)
+        inner[0] /= 2
+
+        def share(b: np.ndarray) -> np.ndarray:  # of each node in the value at a slope, nodes by slopes
+            return (np.cos(np.outer(np.arccos(np.clip((b - middle) / half, -1, 1)), np.arange(m))) @ inner).T  # noqa: B023
+
+        nodes = np.stack([sums(middle + half * v, steps, rows) for v in u])
+        b, live, away = slope[rows].copy(), np.arange(len(rows)), []
+        while len(live):
+            s = named(np.einsum("mr,mkr->kr", share(b[live]), nodes[:, :, live]), steps)
+            c = b[live]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                new = (about(s, "p", "x", "y") + c * about(s, "q", "y", "y")) / (about(s, "p", "x", "x") + c * about(s, "q", "x", "y"))
+            left[rows[live]] -= 1
+            none = ~np.isfinite(new)
+            still = ~none & (np.abs(new - c) > tol * np.maximum(1.0, np.abs(new))) & (left[rows[live]] > 0)
+            gone = still & (np.abs(new - middle) > half)
+            b[live] = new
+            away.append(live[gone])
+            live = live[still & ~gone]
+        slope[rows] = b
+        away = np.concatenate(away)
+        todo.append(rows[away])  # with nodes of their own
+        done = np.setdiff1d(np.arange(len(rows)), away)
+        done = done[np.isfinite(b[done]) & (np.abs(b[done] - middle) <= half)]
+        ending, part = np.zeros((len(ends), len(done))), share(b[done])
+        for v, k in zip(u, part):
+            ending += sums(middle + half * v, ends, rows[done]) * k
+        s, c = named(ending, ends), b[done]
+        sw, xm, ym = s["w", ""], s["m", "x"], s["m", "y"]
+        a = ym - c * xm
+        # beta = w (u vy + b v vx), with u and v about the means
+        wb = s["p", "x"] - xm * s["p", ""] + c * (s["q", "y"] - ym * s["q", ""])
+        du = s["pp", "xx"] - 2 * xm * s["pp", "x"] + xm * xm * s["pp", ""]
+        duv = s["pq", "xy"] - xm * s["pq", "y"] - ym * s["pq", "x"] + xm * ym * s["pq", ""]
+        dv = s["qq", "yy"] - 2 * ym * s["qq", "y"] + ym * ym * s["qq", ""]
+        wbb = du + 2 * c * duv + c * c * dv
+        rest = about(s, "w", "y", "y") - 2 * c * about(s, "w", "x", "y") + c * c * about(s, "w", "x", "x")
+        with np.errstate(divide="ignore", invalid="ignore"):
+            sb = 1 / np.sqrt(wbb - wb * wb / sw)
+            out[rows[done], :5] = np.stack([c, a + y0 - c * x0, sb, np.sqrt(1 / sw + ((xm + x0 + wb / sw) * sb) ** 2), rest], axis=1)
+    return out
+
+
 def rolling_york(df: DataFrame, keys: list[str], us: str, window_us: int, x: str = "x", y: str = "y", sx: str = "sx", sy: str = "sy", r: str | None = None, *, chunk_us: int = 86_400_000_000) -> DataFrame:
     """York's fit over a centred window at every pair whose values and sigmas are all known; null with fewer than two distinct x."""
     cols = [x, y, sx, sy, *([r] if r else [])]
@@ -264,7 +371,7 @@ def rolling_york(df: DataFrame, keys: list[str], us: str, window_us: int, x: str
     def go(t: np.ndarray, c: dict[str, np.ndarray], own: np.ndarray) -> dict:
         v = [c[k].astype(float) for k in cols]
         first, last = (np.searchsorted(t, t[own] + e, side="right") for e in (-half, half))
-        fit = york_windows(*v[:4], v[4] if r else np.zeros(len(t)), first, last)
+        fit = york_windows(*v[:4], v[4], first, last) if r else york_dense(*v, first, last)
         return dict(zip(names, fit.T)) | {"n": (last - first)}
 
     both = df.where(" and ".join(f"`{c}` is not null" for c in cols))

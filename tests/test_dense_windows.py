@@ -14,6 +14,21 @@ from ratioscope.plans.queries import _turned
 from ratioscope.sources.series import read_series
 
 
+def test_york_of_large_windows():
+    rng = np.random.default_rng(3)
+    n = 6_000
+    x = rng.exponential(50, n)
+    y, sx, sy = 0.5 * x + rng.integers(0, 7, n) * 0.3, 0.5 + 0.02 * x, 0.4 + 0.01 * x
+    first = np.maximum(np.arange(0, n, 9) - 700, 0)
+    last = np.minimum(np.arange(0, n, 9) + 700, n)
+    want = regress.york_windows(x, y, sx, sy, np.zeros(n), first, last)
+    np.testing.assert_allclose(regress.york_dense(x, y, sx, sy, first, last), want, rtol=1e-9)
+    steep = regress.york_windows(x, -9 * y, sx, sy, np.zeros(n), first, last)
+    np.testing.assert_allclose(regress.york_dense(x, -9 * y, sx, sy, first, last), steep, rtol=1e-8)
+    same = regress.york_dense(np.ones(n), y, sx, sy, first, last)
+    assert np.isnan(same[:, 0]).all() and (same[:, 5] == last - first).all()
+
+
 @pytest.mark.parametrize("statistic", ["mean", "median", "circular"])
 def test_pairs_are_never_rows(spark, statistic):
     rng = random.Random(6)
