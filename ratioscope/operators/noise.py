@@ -4,15 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import MAD_SCALE, floor_sigma
 from ..scratch import Scratch
-from .ordered import DAY, previous, rolling
+from .ordered import DAY, over_chunks, previous, rolling
 from .select import quantiles
-from .windowed import qn, rolling_order
+from .windowed import rolling_order, rolling_qn_of
 
 _SQRT2 = 2**0.5
 
@@ -55,7 +54,8 @@ def rolling_mad(df: DataFrame, keys: list[str], us: str, value: str, window_us:
 
 def rolling_qn(df: DataFrame, keys: list[str], us: str, value: str, window_us: int, *, name: str = "sigma", step: float | None = None, chunk_us: int = DAY) -> DataFrame:
     """Qn of a centred window's values at every sample; null with fewer than two."""
-    out = rolling_order(df, keys, us, value, window_us, {name: "double"}, lambda w, _: (qn(np.array(w.values())),), chunk_us=max(chunk_us, window_us))
+    go = lambda t, c, own: {name: rolling_qn_of(t, c[value].astype(float), window_us // 2, own)}
+    out = over_chunks(df, keys, us, window_us, {name: "double"}, go, chunk_us=max(chunk_us, window_us))
     return out.withColumn(name, floor_sigma(F.nanvl(F.col(name), F.lit(None)), step))
 
 

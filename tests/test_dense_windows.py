@@ -14,6 +14,24 @@ from ratioscope.plans.queries import _turned
 from ratioscope.sources.series import read_series
 
 
+@pytest.mark.parametrize("kind", ["normal", "rounded", "few", "equal", "unknown"])
+def test_rolling_qn_is_that_of_each_window(kind):
+    rng = np.random.default_rng(1)
+    n = 400
+    make = {"normal": lambda: rng.normal(size=n), "rounded": lambda: np.round(rng.exponential(50, n), 2), "few": lambda: rng.integers(0, 4, n).astype(float), "equal": lambda: np.zeros(n), "unknown": lambda: np.where(rng.random(n) < 0.2, np.nan, rng.normal(size=n))}
+    t, x, rows = np.sort(rng.integers(0, 50_000, n)), make[kind](), np.arange(n)
+    want = [qn(np.array(w.values())) for w in sliding(t, x, 6_000, rows)]
+    np.testing.assert_array_equal(rolling_qn_of(t, x, 6_000, rows), want)
+
+
+def test_rolling_qn_of_large_windows_takes_no_pass_over_each():
+    rng = np.random.default_rng(2)
+    x = np.round(rng.exponential(50, 9_000), 2)
+    began = time.process_time()
+    rolling_qn_of(np.arange(9_000), x, 2_500, np.arange(2_500, 6_500))
+    assert time.process_time() - began < 4  # window by window: about 30 s
+
+
 def test_york_of_large_windows():
     rng = np.random.default_rng(3)
     n = 6_000
