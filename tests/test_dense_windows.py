@@ -65,3 +65,9 @@ def test_pairs_are_never_rows(spark, statistic):
 def test_neighbours_go_by_no_broadcast(spark):
     df = spark.range(100).selectExpr("id", "40 + id % 7 * 0.001 as lat", "-110 + id % 11 * 0.001 as lon", "id * 1000000 as us")
     assert "BroadcastHashJoin" not in cluster.neighbours(df, "id", "lat", "lon", "us", 500.0, 0.5)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sql_turns_like_the_operator():
+    duckdb = pytest.importorskip("duckdb")
+    got = duckdb.sql(f"SELECT {_turned('x')} FROM (VALUES (-2.842170943040401e-14), (-1.0), (0.0), (359.5), (360.0), (725.0)) v(x)").fetchall()
+    assert [r[0] for r in got] == [0, 359, 0, 359.5, 0, 5]
