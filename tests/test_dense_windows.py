@@ -62,6 +62,18 @@ def test_pairs_are_never_rows(spark, statistic):
     assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_files_follow_each_other_by_name(spark, tmp_path):
+    when = "timestamp_ntz'2024-01-01 00:00:00'"
+    for name, value, rows in (("a", 1.0, 1), ("b", 2.0, 50_000)):  # Spark reads the larger file first
+        spark.range(rows).selectExpr(f"{when} as t", f"{value} as v", "uuid() as x").coalesce(1).write.parquet(str(tmp_path / name))
+        next((tmp_path / name).glob("*.parquet")).rename(tmp_path / f"{name}.parquet")
+    for f in ("a", "b"):
+        for p in (tmp_path / f).iterdir():
+            p.unlink()
+        (tmp_path / f).rmdir()
+    assert [r.v for r in read_series(spark, str(tmp_path), "parquet").collect()] == [1]
+
+
 def test_neighbours_go_by_no_broadcast(spark):
     df = spark.range(100).selectExpr("id", "40 + id % 7 * 0.001 as lat", "-110 + id % 11 * 0.001 as lon", "id * 1000000 as us")
     assert "BroadcastHashJoin" not in cluster.neighbours(df, "id", "lat", "lon", "us", 500.0, 0.5)._jdf.queryExecution().executedPlan().toString()
