@@ -49,10 +49,15 @@ def effective_n(n: Column, spacing_s: Column, tau_s: float) -> Column:
 def exact_random_of_mean(df: DataFrame, cell: list[str], us: str, sigma: str, tau_s: float) -> DataFrame:
     """The double sum of rho_ij sigma_i sigma_j over a cell's samples, rho = exp(-|dt| / tau): cell, sigma_mean.
 
-    A cell's samples are gathered in one array: cells must be small, as bins are.
+    A cell's samples are gathered in one array, by time: what all earlier ones add to a sample decays from one sample to the next, so
+    the double sum is one pass.
     """
-    got = df.where(F.col(sigma).isNotNull()).groupBy(*cell).agg(F.collect_list(F.struct(F.col(us).alias("t"), F.col(sigma).cast("double").alias("s"))).alias("_a"))
+    got = df.where(F.col(sigma).isNotNull()).groupBy(*cell).agg(F.sort_array(F.collect_list(F.struct(F.col(us).alias("t"), F.col(sigma).cast("double").alias("s")))).alias("_a"))
     a = F.col("_a")
-    row = lambda p: F.aggregate(a, F.lit(0.0), lambda acc, q: acc + p["s"] * q["s"] * F.exp(-F.abs(p["t"] - q["t"]) / F.lit(tau_s * 1e6)))
-    total = F.aggregate(a, F.lit(0.0), lambda acc, p: acc + row(p))
-    return got.select(*cell, (F.sqrt(total) / F.size(a)).alias("sigma_mean"))
+    start = F.struct(F.lit(0.0).alias("total"), F.lit(0.0).alias("before"), a[0]["t"].alias("t"))
+
+    def step(acc: Column, p: Column) -> Column:
+        before = acc["before"] * F.exp((acc["t"] - p["t"]) / F.lit(tau_s * 1e6))
+        return F.struct((acc["total"] + p["s"] * (p["s"] + 2 * before)).alias("total"), (before + p["s"]).alias("before"), p["t"].alias("t"))
+
+    return got.select(*cell, (F.sqrt(F.aggregate(a, start, step, lambda acc: acc["total"])) / F.size(a)).alias("sigma_mean"))

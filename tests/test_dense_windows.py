@@ -62,6 +62,19 @@ def test_pairs_are_never_rows(spark, statistic):
     assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_exact_sigma_is_one_pass(spark):
+    n = 20_000
+    df = spark.range(n).select(F.lit(1).alias("bin"), F.expr("(id * 7919) % 20000 * 1000").alias("us"), (F.col("id") % 5 + 1.0).alias("s"))
+    got = propagate.exact_random_of_mean(df, ["bin"], "us", "s", 0.5).first().sigma_mean
+    s = np.array([r.s for r in df.orderBy("us").select("s").collect()])
+    decay, before, total = np.exp(-1000 / 0.5e6), 0.0, 0.0
+    for v in s:
+        before *= decay
+        total += v * (v + 2 * before)
+        before += v
+    assert got == pytest.approx(np.sqrt(total) / n)
+
+
 def test_files_follow_each_other_by_name(spark, tmp_path):
     when = "timestamp_ntz'2024-01-01 00:00:00'"
     for name, value, rows in (("a", 1.0, 1), ("b", 2.0, 50_000)):  # Spark reads the larger file first
