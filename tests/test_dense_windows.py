@@ -47,6 +47,25 @@ def test_york_of_large_windows():
     assert np.isnan(same[:, 0]).all() and (same[:, 5] == last - first).all()
 
 
+def test_matched_scores_of_large_windows(monkeypatch):
+    rng = np.random.default_rng(4)
+    t = np.sort(rng.integers(0, 40_000_000_000, 5_000))
+    kernel, v, w = Kernel.build(1800.0), rng.normal(size=5_000), rng.random(5_000) + 0.1
+    first, last = np.searchsorted(t, t - 7_200_000_000), np.searchsorted(t, t + 7_200_000_000, side="right")
+    kv, kk = states._kernel_sums(kernel, t, v * w, w, t, first, last)
+    k = [kernel.evaluate((t[a:b] - c) / 1e6) for a, b, c in zip(first, last, t)]
+    np.testing.assert_allclose(kv, [(p * v[a:b] * w[a:b]).sum() for p, a, b in zip(k, first, last)], atol=1e-10)
+    np.testing.assert_allclose(kk, [(p * p * w[a:b]).sum() for p, a, b in zip(k, first, last)], rtol=1e-10)
+
+
+def test_largest_of_windows():
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=100)
+    first = rng.integers(0, 90, 300)
+    last = first + rng.integers(0, 11, 300)
+    assert windowed.window_max(v, first, last).tolist() == [max(v[a:b], default=-np.inf) for a, b in zip(first, last)]
+
+
 @pytest.mark.parametrize("statistic", ["mean", "median", "circular"])
 def test_pairs_are_never_rows(spark, statistic):
     rng = random.Random(6)
