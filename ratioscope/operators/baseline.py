@@ -5,11 +5,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ordered import DAY, over_chunks, rolling
-from .windowed import SortedWindow, rolling_order, sliding
+from .windowed import SortedWindow, rolling_order, window_sums
 
 
 def baseline_sweep(df: DataFrame, keys: list[str], us: str, value: str, windows_us: list[int], quantiles: list[float], *, min_valid_fraction: float = 0.0, min_valid: int = 2, sigma: str | None = None, chunk_us: int = DAY) -> DataFrame:
@@ -93,13 +94,24 @@ def baseline_sigma(df: DataFrame, keys: list[str], us: str, value: str, window_u
 
         def go(t: np.ndarray, c: dict[str, np.ndarray], own: np.ndarray) -> dict:
             x, weights = c[value].astype(float), np.stack(c["_w"])
-            enough = [len(w) >= 2 for w in sliding(t, x, window_us // 2, own)]
-            q = np.array([[w.quantile(quantile) for w in sliding(t, x, window_us // 2, own, weights[:, r])] for r in range(replicates)])
+            first, last = (np.searchsorted(t, t[own] + e, side="right") for e in (-(window_us // 2), window_us // 2))
+            enough = window_sums(~np.isnan(x), first, last) >= 2
+            q = np.array([drawn_quantile(t, x, weights[:, r])[own] for r in range(replicates)])
             some = (~np.isnan(q)).sum(axis=0)
             mean = np.nansum(q, axis=0) / np.maximum(some, 1)
             var = np.nansum((q - mean) ** 2, axis=0) / np.maximum(some - 1, 1)
             return {name: np.where(enough & (some >= 2), np.sqrt(var), np.nan)}
 
+        def drawn_quantile(t: np.ndarray, x: np.ndarray, times: np.ndarray) -> np.ndarray:
+            """Of every sample's window in which values are so many times as they are drawn: each sample has an unknown value, for
+            its window, and its own value ``times``."""
+            size = times + 1
+            mark = np.cumsum(size) - size
+            v = np.repeat(x, size)
+            v[mark] = np.nan
+            s = pd.Series(v, index=pd.to_datetime(np.repeat(t, size), unit="us"))
+            return s.rolling(pd.Timedelta(window_us, "us"), center=True, min_periods=1).quantile(quantile).to_numpy()[mark]
+
         drawn = df.withColumn("_w", block_weights(F.col(us), block_us, replicates, seed))
         out = over_chunks(drawn, keys, us, window_us, {name: "double"}, go, chunk_us=wide).drop("_w")
     else:

@@ -115,3 +115,13 @@ def test_sql_turns_like_the_operator():
     duckdb = pytest.importorskip("duckdb")
     got = duckdb.sql(f"SELECT {_turned('x')} FROM (VALUES (-2.842170943040401e-14), (-1.0), (0.0), (359.5), (360.0), (725.0)) v(x)").fetchall()
     assert [r[0] for r in got] == [0, 359, 0, 359.5, 0, 5]
+
+
+def test_bootstrap_draws_values_as_often_as_weights_say(spark):
+    rng = random.Random(7)
+    df = spark.createDataFrame([("a", i * 10 + rng.randint(0, 3), rng.choice([None, rng.gauss(0, 1)])) for i in range(300)], "k string, us long, v double")
+    rows = df.withColumn("w", baseline.block_weights(F.col("us"), 50, 4, 1)).orderBy("us").collect()
+    t, x, w = np.array([r.us for r in rows]), np.array([np.nan if r.v is None else r.v for r in rows]), np.array([r.w for r in rows])
+    q = np.array([[s.quantile(0.3) for s in sliding(t, x, 200, np.arange(len(t)), w[:, r])] for r in range(4)])
+    got = baseline.baseline_sigma(df, ["k"], "us", "v", 400, 0.3, method="bootstrap", block_us=50, replicates=4, seed=1, chunk_us=700).orderBy("us").collect()
+    np.testing.assert_allclose([r.baseline_sigma for r in got], q.std(axis=0, ddof=1), atol=1e-12)
