@@ -100,9 +100,10 @@ def over_chunks(df: DataFrame, keys: list[str], us: str, window_us: int, outputs
 
     ``fn(times, columns, own)`` gets a chunk's rows by time, copies among them, and the places of the chunk's own rows; it returns
     arrays for these.  A task holds a chunk and its halo, not a stream, as Arrow; columns that ``fn`` doesn't ask for stay so.
+    No chunk is longer than a day or a window, whatever ``chunk_us`` says: dense streams have many samples in either.
     With ``only`` rows that it isn't true for are seen by ``fn``, but have no output.
     """
-    half = window_us // 2
+    half, chunk_us = window_us // 2, min(chunk_us, max(DAY, window_us))
     t = F.col(us)
     span = F.sequence(F.floor((t - half) / F.lit(chunk_us)), F.floor((t + half) / F.lit(chunk_us)))
     own_chunk = F.floor(t / F.lit(chunk_us))

@@ -125,3 +125,13 @@ def test_bootstrap_draws_values_as_often_as_weights_say(spark):
     q = np.array([[s.quantile(0.3) for s in sliding(t, x, 200, np.arange(len(t)), w[:, r])] for r in range(4)])
     got = baseline.baseline_sigma(df, ["k"], "us", "v", 400, 0.3, method="bootstrap", block_us=50, replicates=4, seed=1, chunk_us=700).orderBy("us").collect()
     np.testing.assert_allclose([r.baseline_sigma for r in got], q.std(axis=0, ddof=1), atol=1e-12)
+
+
+def test_chunks_travel_as_arrow_and_keep_their_columns(spark):
+    df = spark.sql("select 'a' s, id * 10 us, if(id % 3 = 0, null, double('NaN')) v, if(id % 2 = 0, null, id) i, map('k', id) m from range(20)")
+    out = ordered.over_chunks(df, ["s"], "us", 20, {"n": "bigint"}, lambda t, c, own: {"n": np.full(len(own), len(t))}, chunk_us=50, only=F.col("us") < 100)
+    rows = {r.us: r for r in out.collect()}
+    assert sorted(rows) == list(range(0, 100, 10)) and rows[30].i == 3 and rows[20].i is None and rows[30].m == {"k": 3}
+    assert rows[0].v is None and rows[10].v != rows[10].v
+    far = df.unionByName(df.withColumn("us", F.col("us") + 3 * ordered.DAY))
+    assert ordered.over_chunks(far, ["s"], "us", 20, {"n": "bigint"}, lambda t, c, own: {"n": np.full(len(own), t[-1] - t[0])}, chunk_us=10 * ordered.DAY).agg(F.max("n")).first()[0] == 190
